@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievework.llm import groups
+from sievework.llm import groups, neardup
 
-_MODULES = [groups]
+_MODULES = [groups, neardup]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
