@@ -1,0 +1,218 @@
+"""A chart recogniser built from grammar text.
+
+A grammar is compiled once per process: FIRST sets become prediction tables that pick the
+alternatives a lookahead token allows, and rules marked ``%memo`` keep a chart of (rule, position)
+so that no span is parsed twice where alternatives overlap. Alternatives are tried in order.
+
+Grammar text, one rule per line (continued lines are indented)::
+
+    name = item item / item ...      # ordered alternatives
+    'x'  NAME  UPPER                 # terminal, rule, class of terminals
+    x?  x*  x+  (..)  &x  !x         # as in parsing expression grammars
+    $nonl $nl $semi $adj $arrow $eof # tests of the token stream's layout
+    [flag] alternative               # only in dialects that have the flag
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+_ITEM = re.compile(r"\s*('(?:[^'])+'|\$\w+|\[!?\w+\]|[A-Za-z_]\w*|[()/?*+&!])")
+
+#: Layout tests: an expression over the position ``p``.
+TESTS = {
+    "$nonl": "not NL[{p}]",
+    "$nl": "NL[{p}]",
+    "$adj": "AD[{p}]",
+    "$arrow": "K[M[{p}] + 1] in ARROW",
+    "$eof": "K[{p}] == 'EOF'",
+    "$end": "K[{p}] in ENDS or NL[{p}]",
+}
+
+
+class Grammar:
+    def __init__(self, text: str, flags: frozenset[str], classes: dict[str, frozenset[str]], start: str):
+        self.flags, self.classes, self.start = flags, dict(classes), start
+        self.rules: dict[str, tuple] = {}
+        self.memo: set[str] = set()
+        text = re.sub(r"(?m)(^|\s)#.*$", "", text)
+        for m in re.finditer(r"(?m)^(%memo\s+)?(\w+)\s*=((?:.*)(?:\n[ \t]+.*)*)", text):
+            self.tokens = [t for t in _ITEM.findall(m[3])]
+            self.at = 0
+            self.rules[m[2]] = self._alternatives()
+            if m[1]:
+                self.memo.add(m[2])
+        self._first()
+
+    # --- reading -------------------------------------------------------------------------
+    def _alternatives(self) -> tuple:
+        alts = []
+        while True:
+            keep, seq = True, []
+            while self.at < len(self.tokens) and self.tokens[self.at] not in ("/", ")"):
+                t = self.tokens[self.at]
+                if t[0] == "[":
+                    self.at += 1
+                    keep &= (t[2:-1] not in self.flags) if t[1] == "!" else (t[1:-1] in self.flags)
+                    continue
+                seq.append(self._postfix())
+            if keep:
+                alts.append(("seq", seq))
+            if self.at < len(self.tokens) and self.tokens[self.at] == "/":
+                self.at += 1
+                continue
+            return ("alt", alts)
+
+    def _postfix(self) -> tuple:
+        t = self.tokens[self.at]
+        self.at += 1
+        if t in "&!":
+            return ("and" if t == "&" else "not", self._postfix())
+        if t == "(":
+            x = self._alternatives()
+            self.at += 1
+            name = f"g{len(self.rules)}_{self.at}_{len(self.memo)}"
+            while name in self.rules:
+                name += "x"
+            self.rules[name] = x
+            x = ("ref", name)
+        elif t[0] == "'":
+            x = ("tok", t[1:-1])
+        elif t[0] == "$":
+            x = ("test", t)
+        elif t.isupper() or t in self.classes:
+            x = ("cls", t) if t in self.classes else ("tok", t)
+        else:
+            x = ("ref", t)
+        while self.at < len(self.tokens) and self.tokens[self.at] in ("?", "*", "+"):
+            x = ({"?": "opt", "*": "star", "+": "plus"}[self.tokens[self.at]], x)
+            self.at += 1
+        return x
+
+    # --- prediction tables -----------------------------------------------------------------
+    def _first(self) -> None:
+        self.nullable = dict.fromkeys(self.rules, False)
+        self.firsts: dict[str, set[str]] = {r: set() for r in self.rules}
+        moved = True
+        while moved:
+            moved = False
+            for name, x in self.rules.items():
+                f, n = self.first(x)
+                if n != self.nullable[name] or f - self.firsts[name]:
+                    self.nullable[name] = n
+                    self.firsts[name] |= f
+                    moved = True
+
+    def first(self, x: tuple) -> tuple[set[str], bool]:
+        kind = x[0]
+        if kind == "tok":
+            return {x[1]}, False
+        if kind == "cls":
+            return set(self.classes[x[1]]), False
+        if kind == "ref":
+            return self.firsts[x[1]], self.nullable[x[1]]
+        if kind in ("opt", "star"):
+            return self.first(x[1])[0], True
+        if kind == "plus":
+            return self.first(x[1])
+        if kind in ("and", "not", "test"):
+            return set(), True
+        if kind == "seq":
+            out: set[str] = set()
+            for y in x[1]:
+                f, n = self.first(y)
+                out |= f
+                if not n:
+                    return out, False
+            return out, True
+        fs = [self.first(y) for y in x[1]]
+        return set().union(*[f for f, _ in fs]), any(n for _, n in fs)
+
+    # --- code ------------------------------------------------------------------------------
+    def compile(self) -> Callable:
+        self.consts: dict[str, object] = {"ARROW": frozenset(("=>", ":")) if "ts" in self.flags else frozenset(("=>",)), "ENDS": frozenset((";", "}", "EOF"))}
+        self.names: dict[frozenset, str] = {}
+        out = ["def recognise(K, NL, AD, M, far=None):"]
+        for name in self.memo:
+            out.append(f"    m_{name} = {{}}")
+        for name, x in self.rules.items():
+            out += self._rule(name, x)
+        out.append(f"    return r_{self.start}(0)")
+        space = dict(self.consts)
+        exec(compile("\n".join(out), f"<grammar {self.start}>", "exec"), space)
+        return space["recognise"]
+
+    def _set(self, s: set[str]) -> str:
+        key = frozenset(s)
+        if key not in self.names:
+            self.names[key] = f"F{len(self.names)}"
+            self.consts[self.names[key]] = key
+        return self.names[key]
+
+    def _test(self, s: set[str], p: str = "p") -> str:
+        return f"K[{p}] == {next(iter(s))!r}" if len(s) == 1 else f"K[{p}] in {self._set(s)}"
+
+    def _rule(self, name: str, x: tuple) -> list[str]:
+        memo = name in self.memo
+        out = [f"    def r_{name}(p0):"]
+        if memo:
+            out += [f"        got = m_{name}.get(p0)", "        if got is not None: return got"]
+        done = f"m_{name}[p0] = {{}}; return {{}}" if memo else None
+        for _, seq in x[1]:
+            f, n = self.first(("seq", seq))
+            guard = "while 1:" if n else f"while {self._test(f, 'p0')}:"
+            body = ["            p = p0"]
+            for i, y in enumerate(seq):
+                body += self._item(y, 12, first=(i == 0 and not n))
+            body.append("            " + (done.format("p", "p") if memo else "return p"))
+            out += [f"        {guard}", *body]
+        out.append("        " + (done.format("-1", "-1") if memo else "return -1"))
+        return out
+
+    def _item(self, y: tuple, ind: int, first: bool = False) -> list[str]:
+        s, kind = " " * ind, y[0]
+        if kind in ("tok", "cls"):
+            f = self.first(y)[0]
+            step = [f"{s}p += 1", f"{s}if far is not None and p > far[0]: far[0] = p"] if False else [f"{s}p += 1"]
+            return step if first else [f"{s}if not ({self._test(f)}): break", *step]
+        if kind == "test":
+            if y[1] == "$semi":
+                return [f"{s}if K[p] == ';': p += 1", f"{s}elif not ({TESTS['$end'].format(p='p')}): break"]
+            return [f"{s}if not ({TESTS[y[1]].format(p='p')}): break"]
+        if kind == "ref":
+            f, n = self.first(y)
+            look = [] if n or first else [f"{s}if not ({self._test(f)}): break"]
+            return [*look, f"{s}p = r_{y[1]}(p)", f"{s}if p < 0: break"]
+        if kind in ("and", "not"):
+            z = y[1]
+            f, n = self.first(z)
+            neg = kind == "not"
+            if z[0] in ("tok", "cls"):
+                return [f"{s}if {'' if neg else 'not '}({self._test(f)}): break"]
+            if z[0] == "test":
+                return [f"{s}if {'' if neg else 'not '}({TESTS[z[1]].format(p='p')}): break"]
+            return [f"{s}if r_{z[1]}(p) {'>=' if neg else '<'} 0: break"]
+        z = y[1]
+        f, n = self.first(z)
+        if kind == "plus":
+            return self._item(z, ind, first) + self._item(("star", z), ind)
+        if z[0] in ("tok", "cls"):
+            return [f"{s}{'if' if kind == 'opt' else 'while'} {self._test(f)}: p += 1"]
+        if z[0] == "test":
+            raise ValueError("a layout test can't be optional")
+        cond = "1" if n else self._test(f)
+        if kind == "opt":
+            return [f"{s}if {cond}:", f"{s}    q = r_{z[1]}(p)", f"{s}    if q >= 0: p = q"]
+        return [f"{s}while {cond}:", f"{s}    q = r_{z[1]}(p)", f"{s}    if q <= p: break", f"{s}    p = q"]
+
+
+class Watched(list):
+    """Token kinds that remember the farthest position looked at; used only to place an error."""
+
+    far = 0
+
+    def __getitem__(self, i):
+        if i.__class__ is int and i > self.far:
+            self.far = i
+        return list.__getitem__(self, i)
