@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,19 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    Workers on other machines need it installed or sent with ``--py-files``.
+    """
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), here)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table; ``sf_dir`` holds one Parquet file or folder per table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
