@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators.components import connected_components
-from sievework.session import Scratch, broadcast_if_small, read
+from sievework.session import BROADCAST_BYTES, Scratch, broadcast_if_small, read
 
 #: Minima per band and bands: a pair at Jaccard 0.65 shares no band with probability
 #: (1 - 0.65**8)**240 < 5e-4, one at 0.7 with 1e-6; at the usual background of 0.2 one pair in 1,600 meets.
@@ -43,90 +43,124 @@ def _mix(cols: np.ndarray, band: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _signer(rows: int, bands: int, seed: int):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    sets = batch.column(batch.schema.get_field_index("sh"))
+    flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))])
+    return (flat[ends[i] : ends[i + 1]] for i in range(batch.num_rows))
+
+
+def _fresh(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+    """The rows whose set the task has not met; copies within a task are signed once."""
+    return batch.filter(pa.array([x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()], pa.bool_()))
+
+
+def _bander(rows: int, bands: int, seed: int):
+    """(sid, sh) to (sid, keys): per band its key in the upper 48 bits, the set's size in the lower 16."""
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _constants(rows * bands, seed)
-        sa, sb = _constants(SKETCH, seed + 1)
-        number = np.arange(bands)
-        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        seen: set[int] = set()  # copies within a task are signed once
+        number, seen = np.arange(bands), set()
         for batch in batches:
-            fresh = [x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()]
-            batch = batch.filter(pa.array(fresh, pa.bool_()))
-            sets = batch.column(batch.schema.get_field_index("sh"))
-            flat = sets.flatten().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))])
+            batch = _fresh(batch, seen)
             n = batch.num_rows
-            keys, sketch = np.empty((n, bands), np.int64), np.empty((n, 3), np.int64)
-            for i in range(n):
-                s = flat[ends[i] : ends[i + 1]].view(np.uint64)
-                keys[i] = _mix(minima(s, a, b).reshape(bands, rows), number)
-                # a high bit of the minimum's own hash, as bits of a minimum near 0 are not even
-                bits = (minima(s, sa, sb) * np.uint32(2654435761) >> np.uint32(31)).astype(np.uint64)
-                sketch[i] = (bits.reshape(3, 64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
+            keys = np.empty((n, bands), np.int64)
+            for i, s in enumerate(_sets(batch)):
+                keys[i] = (_mix(minima(s, a, b).reshape(bands, rows), number) & ~np.int64(0xFFFF)) | np.int64(min(len(s), 0xFFFF))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(3)]], ["sid", "size", "keys", "s0", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["sid", "keys"])
+
+    return band
+
+
+def _sketcher(seed: int):
+    """(sid, sh) to (sid, s0, s1, s2): one bit of each of the signature's minima."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _constants(SKETCH, seed + 1)
+        weights, seen = np.uint64(1) << np.arange(64, dtype=np.uint64), set()
+        for batch in batches:
+            batch = _fresh(batch, seen)
+            out = np.empty((batch.num_rows, 3), np.int64)
+            for i, s in enumerate(_sets(batch)):
+                # a high bit of the minimum's own hash, as bits of a minimum near 0 are not even
+                bits = (minima(s, a, b) * np.uint32(2654435761) >> np.uint32(31)).astype(np.uint64)
+                out[i] = (bits.reshape(3, 64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(3)]], ["sid", "s0", "s1", "s2"])
 
-    return sign
+    return sketch
 
 
 def _bucket_pairs(threshold: float, block: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a bucket may go on in the next batch."""
+        """(key with size, sid), sorted; a bucket may go on in the next batch.
+
+        Pairs come as (0, a, b, -1), members of a bucket beyond ``block`` as (key, sid, size, number of its block).
+        """
         names = ["key", "a", "b", "blk"]
 
         def out(key, a, b, blk):
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(blk, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b, blk)], names)
+
+        def paired(s, z, i, j):
+            ok = (s[i] != s[j]) & ((np.minimum(z[i], z[j]) >= threshold * np.maximum(z[i], z[j]) - 1e-9) | (np.maximum(z[i], z[j]) >= 0xFFFF))
+            x, y = s[i[ok]], s[j[ok]]
+            return out(np.zeros(len(x), np.int64), np.minimum(x, y), np.maximum(x, y), np.full(len(x), -1))
 
         held: list[tuple[np.ndarray, ...]] = []  # of the bucket that is open
-        held_n, spilt, open_key = 0, 0, None
+        spilt = 0
 
-        def flush(rows):
+        def flush():
             nonlocal spilt
-            k, s, z = (np.concatenate(c) for c in zip(*rows))
+            k, s = (np.concatenate(c) for c in zip(*held))
+            z = k & 0xFFFF
             if spilt or len(s) > block:
                 blk = spilt + np.arange(len(s)) // block
                 spilt = int(blk[-1]) + 1
-                return out(k, s, z.astype(np.int64), blk)
-            i, j = np.triu_indices(len(s), 1)
-            ok = (s[i] != s[j]) & (np.minimum(z[i], z[j]) >= threshold * np.maximum(z[i], z[j]) - 1e-9)
-            i, j = i[ok], j[ok]
-            lo, hi = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
-            return out(k[i], lo, hi, np.full(len(i), -1)) if len(i) else None
+                return out(k >> 16, s, z, blk)
+            return paired(s, z, *np.triu_indices(len(s), 1))
 
         last = None
         for batch in batches:
-            key, sid, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            key, sid = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
             if not len(key):
                 continue
             # copies that other tasks signed too lie side by side
             same = np.concatenate([[last == (key[0], sid[0])], (key[1:] == key[:-1]) & (sid[1:] == sid[:-1])])
             last = (key[-1], sid[-1])
-            key, sid, size = key[~same], sid[~same], size[~same]
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+            key, sid = key[~same], sid[~same]
             if not len(key):
                 continue
-            # the first run may continue what is held, the last one stays open; lone runs between give no pair
-            multi = np.flatnonzero(stops - starts > 1)
-            for r in sorted({0, len(starts) - 1, *multi.tolist()}):
-                p, q = starts[r], stops[r]
-                part = (key[p:q], sid[p:q], size[p:q])
-                if open_key is not None and key[p] != open_key:
-                    if held_n > 1 or spilt:
-                        if (got := flush(held)) is not None:
-                            yield got
-                    held, held_n, spilt = [], 0, 0
-                held.append(part)
-                held_n += q - p
-                open_key = key[p]
-                while held_n > 64 * block:  # of a bucket that large only blocks are kept
-                    if (got := flush(held)) is not None:
-                        yield got
-                    held, held_n = [], 0
-        if held_n > 1 or (spilt and held_n):
-            if (got := flush(held)) is not None:
-                yield got
+            bucket, size = key >> 16, key & 0xFFFF
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+            # the first run may continue what is held and the last one stays open
+            if held and held[-1][0][0] >> 16 != bucket[0]:
+                yield flush()
+                held, spilt = [], 0
+            held.append((key[: stops[0]], sid[: stops[0]]))
+            if len(starts) > 1:
+                yield flush()
+                held, spilt = [(key[starts[-1] :], sid[starts[-1] :])], 0
+            while sum(len(h[0]) for h in held) > 64 * block:  # of a bucket that large only blocks are kept
+                yield flush()
+                held = []
+            # the closed runs between, all of one length at a time
+            starts, length = starts[1:-1], (stops - starts)[1:-1]
+            for m in np.unique(length[length > 1]):
+                at = starts[length == m]
+                if m > block:
+                    for p in at:
+                        blk = np.arange(m) // block
+                        yield out(bucket[p : p + m], sid[p : p + m], size[p : p + m], blk)
+                    continue
+                i, j = np.triu_indices(m, 1)
+                step = max(1, 200_000 // len(i))
+                for q in range(0, len(at), step):
+                    p = at[q : q + step, None]
+                    yield paired(sid, size, (p + i).ravel(), (p + j).ravel())
+        if held:
+            yield flush()
 
     return pairs
 
@@ -156,33 +190,39 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int, scratch: Scra
     is far below the threshold, the exact Jaccard decides. Buckets beyond ``block`` members are
     paired block by block over many tasks, so none is capped.
     """
-    sets = sets.select("sid", F.size("sh").alias("size"), "sh").filter(F.col("size") >= min_size)
-    signed = sets.mapInArrow(_signer(rows, bands, seed), "sid long, size int, keys array<long>, s0 long, s1 long, s2 long")
-    signed = scratch.cut(signed)
-    banded = signed.select(F.explode("keys").alias("key"), "sid", "size").repartition("key").sortWithinPartitions("key", "sid")
-    met = scratch.cut(banded.mapInArrow(_one_batch(_bucket_pairs(threshold, block)), "key long, a long, b long, blk long").dropDuplicates(["key", "a", "b", "blk"]))
-    pairs = met.filter("blk < 0").select("a", "b")
+    sets = sets.select("sid", "sh").filter(F.size("sh") >= min_size)
+    sk = sets.mapInArrow(_sketcher(seed), "sid long, s0 long, s1 long, s2 long").dropDuplicates(["sid"])
+    sk = scratch.cut(sk)
+    n = sk.count()
+    banded = sets.mapInArrow(_bander(rows, bands, seed), "sid long, keys array<long>").select(F.explode("keys").alias("key"), "sid")
+    banded = banded.repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "sid")
+    met = banded.mapInArrow(_one_batch(_bucket_pairs(threshold, block)), "key long, a long, b long, blk long")
+    # signature: the share of equal one-bit minima is (1 + J) / 2
+    p = (1 + threshold) / 2
+    need = int(SKETCH * (p - SLACK * (p * (1 - p) / SKETCH) ** 0.5))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            side = sk.select(F.col("sid").alias(x), *[F.col(f"s{k}").alias(f"{x}{k}") for k in range(3)])
+            pairs = pairs.join(broadcast_if_small(side, n, 64), x, "left")
+        differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(3)), F.lit(0))
+        return pairs.filter((F.col("blk") >= 0) | (SKETCH - differ >= need)).select("key", "a", "b", "blk")
+
+    # a small signature table is looked up where pairs arise, a larger one after equal pairs are merged
+    small = n * 64 <= BROADCAST_BYTES
+    met = scratch.cut(verified(met).distinct() if small else verified(met.distinct()))
+    close = met.filter("blk < 0").select("a", "b")
     big = met.filter("blk >= 0")
     if big.head(1):
-        n_blk = big.groupBy("key").agg((F.max("blk") + 1).alias("nb"))
-        spread = big.join(F.broadcast(n_blk) if n_blk.count() < 100_000 else n_blk, "key")
+        spread = big.join(big.groupBy("key").agg((F.max("blk") + 1).alias("nb")), "key")
         left = spread.select("key", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("j"), F.col("a").alias("x"), F.col("b").alias("zx"))
         right = spread.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("i"), F.col("blk").alias("j"), F.col("a").alias("y"), F.col("b").alias("zy"))
         both = left.join(right, ["key", "i", "j"]).filter((F.col("x") != F.col("y")) & (F.least("zx", "zy") >= threshold * F.greatest("zx", "zy") - 1e-9))
-        pairs = pairs.union(both.select(F.least("x", "y"), F.greatest("x", "y")))
-    pairs = pairs.distinct()
-    # signature: the share of equal one-bit minima is (1 + J) / 2
-    n = signed.count()
-    p = (1 + threshold) / 2
-    need = int(SKETCH * (p - SLACK * (p * (1 - p) / SKETCH) ** 0.5))
-    sk = signed.select("sid", "s0", "s1", "s2").dropDuplicates(["sid"])
-    side = lambda x: broadcast_if_small(sk.select(F.col("sid").alias(x), *[F.col(f"s{k}").alias(f"{x}{k}") for k in range(3)]), n, 64)
-    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(3)), F.lit(0))
-    close = scratch.cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(SKETCH - differ >= need).select("a", "b"))
+        both = both.select(F.lit(0).cast("long").alias("key"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(-1).cast("long").alias("blk"))
+        close = scratch.cut(close.union(verified(both.distinct()).select("a", "b")).distinct())
     # the exact check reads only the sets that are left
     ids = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    full = sets.dropDuplicates(["sid"]).join(ids, "sid", "left_semi") if not sets.isStreaming else sets
-    full = scratch.cut(full.select("sid", "sh"))
+    full = scratch.cut(sets.join(ids, "sid", "left_semi").dropDuplicates(["sid"]))
     j = close.join(full.select(F.col("sid").alias("a"), F.col("sh").alias("sa")), "a").join(full.select(F.col("sid").alias("b"), F.col("sh").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return j.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
