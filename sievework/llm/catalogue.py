@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievework.llm import groups, neardup, parsefail
+from sievework.llm import groups, neardup, parsefail, percentiles
 
-_MODULES = [groups, neardup, parsefail]
+_MODULES = [groups, neardup, parsefail, percentiles]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
