@@ -61,65 +61,95 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(list(held))
 
 
-def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, q, vals, lo, hi): cut to lo < v < hi; out come the rest, its median and its length."""
+def _parts(b: pa.RecordBatch, first: int = 2) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    """Row, its values, and the bounds of what lies strictly between lo and hi."""
+    vals, lo, hi = (b.column(i) for i in range(first, first + 3))
+    arrays, off = vals.values.to_numpy(zero_copy_only=False), vals.offsets.to_numpy()
+    lo, hi = lo.to_numpy(zero_copy_only=False), hi.to_numpy(zero_copy_only=False)
+    for i in range(b.num_rows):
+        x = arrays[off[i] : off[i + 1]]
+        yield i, x, int(np.searchsorted(x, lo[i], "right")), int(np.searchsorted(x, hi[i], "left"))
+
+
+def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, q, vals, lo, hi) to (g, q, med, n): the median of what is possible in each run, and its weight."""
     for b in batches:
-        g, q, vals, lo, hi = (b.column(i) for i in range(5))
-        arrays = vals.values.to_numpy(zero_copy_only=False)
-        off = vals.offsets.to_numpy()
-        lo, hi = lo.to_numpy(zero_copy_only=False), hi.to_numpy(zero_copy_only=False)
-        rest, med = [], []
-        for i in range(b.num_rows):
-            x = arrays[off[i] : off[i + 1]]
-            x = x[np.searchsorted(x, lo[i], "right") : np.searchsorted(x, hi[i], "left")]
-            rest.append(x)
-            med.append(x[(len(x) - 1) // 2] if len(x) else np.nan)
-        n = np.array([len(x) for x in rest], np.int64)
-        keep = pa.array(n > 0)
-        t = pa.RecordBatch.from_arrays([g, q, pa.array(rest, pa.list_(pa.float64())), pa.array(med), pa.array(n)], ["g", "q", "vals", "med", "n"])
-        yield t.filter(keep)
+        rows = [(i, x[(p + q - 1) // 2], q - p) for i, x, p, q in _parts(b) if q > p]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], ["g", "q", "med", "n"])
+
+
+def _cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, q, vals, lo, hi) to (g, q, vals): what is not ruled out."""
+    for b in batches:
+        rows = [(i, x[p:q]) for i, x, p, q in _parts(b) if q > p]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["g", "q", "vals"])
 
 
 def _three_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, q, vals, pivot) to (g, q, less, equal)."""
+    """(g, q, vals, lo, hi, pivot) to (g, q, less, equal), less counted above lo only."""
     for b in batches:
-        vals, pivot = b.column(2), b.column(3).to_numpy(zero_copy_only=False)
-        arrays, off = vals.values.to_numpy(zero_copy_only=False), vals.offsets.to_numpy()
+        pivot = b.column(5).to_numpy(zero_copy_only=False)
         less, equal = np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.int64)
-        for i in range(b.num_rows):
-            x = arrays[off[i] : off[i + 1]]
-            less[i] = np.searchsorted(x, pivot[i], "left")
-            equal[i] = np.searchsorted(x, pivot[i], "right") - less[i]
+        for i, x, p, _ in _parts(b):
+            at = int(np.searchsorted(x, pivot[i], "left"))
+            less[i] = max(0, at - p)
+            equal[i] = np.searchsorted(x, pivot[i], "right") - at
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(less), pa.array(equal)], ["g", "q", "less", "equal"])
 
 
-def multi_select(values: DataFrame, targets: DataFrame, scratch: Scratch, max_rounds: int = 80) -> DataFrame:
-    """``(g, q, value, n)``: the value of nearest rank ``ceil(q n)`` (at least 1) of each group.
+_SLICE = "g string, q double, vals array<double>"
+
+
+def _gather(slices: DataFrame, by: list[str]) -> DataFrame:
+    return slices.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("vals"))).alias("all"))
+
+
+def _nth(k) -> F.Column:
+    return F.element_at("all", F.greatest(F.least(k, F.size("all").cast("long")), F.lit(1)).cast("int"))
+
+
+def make_runs(values: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sorted runs (g, vals) of the values (g string, v double), written once."""
+    return scratch.cut(values.mapInArrow(_runs, "g string, vals array<double>"))
+
 
-    ``values`` is (g string, v double) without nulls and NaN; ``targets`` is (g, q, k, n) with the
-    1-based rank k wanted among the group's n values.
+def multi_select(runs: DataFrame, targets: DataFrame, scratch: Scratch, max_rounds: int = 80) -> DataFrame:
+    """``(g, q, value, n)``: the value of rank k of each target (g, q, k, n), k from 1 among the n values of g.
+
+    Groups of up to FINISH values are sorted as they are; the others go through the rounds. Runs
+    stay where they lie while the bounds close in; once a quarter or less is possible the slices
+    are written, so later rounds read only these.
     """
-    runs = scratch.cut(values.mapInArrow(_runs, "g string, vals array<double>"))
-    state = scratch.cut(targets.select("g", "q", "k", "n", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(True).alias("open"), F.lit(None).cast("double").alias("value")))
+    small = targets.filter(F.col("n") <= FINISH)
+    n_groups = targets.select("g").distinct().count()
+    few = broadcast_if_small(small.select("g").distinct(), n_groups, 64)
+    done = _gather(runs.join(few, "g"), ["g"]).join(small, "g").select("g", "q", _nth(F.col("k")).alias("value"), "n")
+    big = targets.filter(F.col("n") > FINISH)
+    state = scratch.cut(big.select("g", "q", "k", "n", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(True).alias("open"), F.lit(None).cast("double").alias("value")))
     n_state = state.count()
-    # every target starts from the same runs; later rounds carry its own slices only
     slices, own = runs, False
+    base = None
     for _ in range(max_rounds):
+        if not state.filter("open").head(1):
+            return done.unionByName(state.select("g", "q", "value", "n"))
+        on = ["g", "q"] if own else ["g"]
         live = broadcast_if_small(state.filter("open").select("g", "q", "lo", "hi"), n_state, 96)
-        joined = slices.join(live, ["g", "q"] if own else "g").select("g", "q", "vals", "lo", "hi")
-        cut = scratch.cut(joined.mapInArrow(_narrow, "g string, q double, vals array<double>, med double, n long"))
-        if own:
-            scratch.drop(slices)
-        slices, own = cut, True
-        left = slices.groupBy("g", "q").agg(F.sum("n").alias("left"), F.expr("percentile(med, 0.5, n)").alias("pivot"))
+        bounded = slices.join(live, on).select("g", "q", "vals", "lo", "hi")
+        left = bounded.mapInArrow(_proposals, "g string, q double, med double, n long").groupBy("g", "q").agg(F.sum("n").alias("left"), F.expr("percentile(med, 0.5, n)").alias("pivot"))
         left = scratch.cut(left)
+        total = left.agg(F.sum("left")).first()[0] or 0
+        base = base or total
+        if not own and total * 4 <= base:
+            slices, own = scratch.cut(bounded.mapInArrow(_cut_off, _SLICE)), True
+            bounded = slices.join(live, ["g", "q"]).select("g", "q", "vals", "lo", "hi")
         # little enough is left: sorted at one place, whose size is known
-        few = left.filter(F.col("left") <= FINISH).select("g", "q")
-        rest = slices.join(broadcast_if_small(few, n_state, 64), ["g", "q"]).groupBy("g", "q").agg(F.array_sort(F.flatten(F.collect_list("vals"))).alias("all"))
-        many = left.filter(F.col("left") > FINISH)
-        counted = slices.join(broadcast_if_small(many.select("g", "q", "pivot"), n_state, 96), ["g", "q"]).select("g", "q", "vals", "pivot")
-        counts = counted.mapInArrow(_three_ways, "g string, q double, less long, equal long").groupBy("g", "q").agg(F.sum("less").alias("less"), F.sum("equal").alias("equal"))
-        s = state.join(rest, ["g", "q"], "left").join(counts, ["g", "q"], "left").join(many.select("g", "q", "pivot"), ["g", "q"], "left")
+        close = broadcast_if_small(left.filter(F.col("left") <= FINISH).select("g", "q"), n_state, 64)
+        rest = _gather(bounded.join(close, ["g", "q"]).mapInArrow(_cut_off, _SLICE), ["g", "q"])
+        many = left.filter(F.col("left") > FINISH).select("g", "q", "pivot")
+        counts = bounded.join(broadcast_if_small(many, n_state, 96), ["g", "q"]).mapInArrow(_three_ways, "g string, q double, less long, equal long").groupBy("g", "q").agg(F.sum("less").alias("less"), F.sum("equal").alias("equal"))
+        s = state.join(rest, ["g", "q"], "left").join(counts, ["g", "q"], "left").join(many, ["g", "q"], "left")
         k, less, equal = F.col("k"), F.col("less"), F.col("equal")
         below, hit = F.col("open") & (k <= less), F.col("open") & (k > less) & (k <= less + equal)
         above = F.col("open") & (k > less + equal)
@@ -129,16 +159,28 @@ def multi_select(values: DataFrame, targets: DataFrame, scratch: Scratch, max_ro
             F.when(above, F.col("pivot")).otherwise(F.col("lo")).alias("lo"),
             F.when(below, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
             F.when(F.col("all").isNotNull() | hit, False).otherwise(F.col("open")).alias("open"),
-            F.when(F.col("all").isNotNull(), F.element_at("all", F.greatest(F.least(k, F.size("all")), F.lit(1)).cast("int"))).when(hit, F.col("pivot")).otherwise(F.col("value")).alias("value"),
+            F.when(F.col("all").isNotNull(), _nth(k)).when(hit, F.col("pivot")).otherwise(F.col("value")).alias("value"),
         )
         new = scratch.cut(s)
         scratch.drop(state, left)
         state = new
-        if not state.filter("open").head(1):
-            return state.select("g", "q", "value", "n")
     raise RuntimeError(f"percentiles were not found in {max_rounds} rounds")
 
 
+def _keyed(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(g, v): the measured values under one JSON text of the keys, in which null and "" differ."""
+    v = F.col(value).cast("double")
+    g = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]), {"ignoreNullFields": "false"})
+    # -0.0 and 0.0 are one value
+    return rows.filter(v.isNotNull() & ~F.isnan(v) & (v != -1)).select(g.alias("g"), (v + F.lit(0.0)).alias("v"))
+
+
+def _unkeyed(df: DataFrame, rows: DataFrame, keys: Sequence[str], *rest: str) -> DataFrame:
+    kinds = ", ".join(f"k{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(keys))
+    x = F.from_json("g", kinds)
+    return df.select(*[x[f"k{i}"].alias(c) for i, c in enumerate(keys)], *rest)
+
+
 def percentiles(rows: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], scratch: Scratch | None = None) -> DataFrame:
     """``(*keys, q, value, n)`` with exact nearest-rank percentiles of each group.
 
@@ -147,16 +189,10 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, qs: Sequence[f
     values are ordinary; an empty table gives no rows; other columns are not read.
     """
     scratch = scratch or Scratch(rows.sparkSession, "percentiles")
-    v = F.col(value).cast("double")
-    kept = rows.filter(v.isNotNull() & ~F.isnan(v) & (v != -1))
-    # -0.0 and 0.0 are one value; keys travel as one JSON text, in which null and "" differ
-    g = F.to_json(F.struct(*[F.col(c) for c in keys]), {"ignoreNullFields": "false"})
-    kept = kept.select(g.alias("g"), *keys, (v + F.lit(0.0)).alias("v"))
-    names = scratch.cut(kept.groupBy("g").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in keys]))
-    q = F.explode(F.array(*[F.lit(float(x)) for x in qs]))
-    targets = names.select("g", "n", q.alias("q")).withColumn("k", F.greatest(F.ceil(F.col("q") * F.col("n") - 1e-9), F.lit(1)).cast("long"))
-    found = multi_select(kept.select("g", "v"), targets, scratch)
-    return found.join(names.drop("n"), "g").select(*keys, "q", "value", "n")
+    runs = make_runs(_keyed(rows, keys, value), scratch)
+    names = runs.groupBy("g").agg(F.sum(F.size("vals")).alias("n"))
+    targets = names.select("g", "n", F.explode(F.array(*[F.lit(float(x)) for x in qs])).alias("q")).withColumn("k", F.greatest(F.ceil(F.col("q") * F.col("n") - 1e-9), F.lit(1)).cast("long"))
+    return _unkeyed(multi_select(runs, scratch.cut(targets), scratch), rows, keys, "q", "value", "n")
 
 
 def summarize(rows: DataFrame, keys: Sequence[str], part: str, value: str, eps: float = EPS) -> DataFrame:
@@ -167,20 +203,17 @@ def summarize(rows: DataFrame, keys: Sequence[str], part: str, value: str, eps:
     is kept whole.
     """
     scratch = Scratch(rows.sparkSession, "summaries")
-    v = F.col(value).cast("double")
-    kept = rows.filter(v.isNotNull() & ~F.isnan(v) & (v != -1)).withColumn("_v", v + F.lit(0.0))
     cols = [*keys, part]
-    g = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
-    kept = kept.select(g.alias("g"), *cols, F.col("_v").alias("v"))
-    names = scratch.cut(kept.groupBy("g").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in cols]))
+    runs = make_runs(_keyed(rows, cols, value), scratch)
+    names = runs.groupBy("g").agg(F.sum(F.size("vals")).alias("n"))
     step = F.greatest(F.floor(F.col("n") * F.lit(eps)), F.lit(1)).cast("long")
     ranks = names.select("g", "n", step.alias("r")).select("g", "n", F.explode(F.array_distinct(F.concat(F.sequence("r", "n", "r"), F.array("n")))).alias("k"))
     # multi-select by rank: q only names the target here
-    found = multi_select(kept.select("g", "v"), ranks.select("g", F.col("k").cast("double").alias("q"), "k", "n"), scratch)
+    found = multi_select(runs, scratch.cut(ranks.select("g", F.col("k").cast("double").alias("q"), "k", "n")), scratch)
     w = Window.partitionBy("g").orderBy("q")
     pts = found.withColumn("w", (F.col("q") - F.coalesce(F.lag("q").over(w), F.lit(0.0))).cast("long"))
     pts = pts.groupBy("g", "n").agg(F.array_sort(F.collect_list(F.struct("value", "w"))).alias("points"))
-    return pts.join(names.drop("n"), "g").select(*cols, "n", "points")
+    return _unkeyed(pts, rows, cols, "n", "points")
 
 
 def combine(summaries: DataFrame, keys: Sequence[str], qs: Sequence[float], eps: float = EPS) -> DataFrame:
