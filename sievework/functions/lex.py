@@ -122,3 +122,23 @@ def literal(text: str) -> str | None:
     if len(t) >= 2 and t[0] == t[-1] and t[0] in "'\"`" and not (t[0] == "`" and "${" in t):
         return t[1:-1]
     return None
+
+
+_CONTROL_HEAD = re.compile(r"\b(?:if|else|for|while|switch|try|catch|finally|do)\b\s*(?:\([^)]*\)\s*)?$")
+
+
+def nesting_depth(source: str | None) -> int:
+    """Deepest nesting of control blocks; the word before a brace within 20 characters decides."""
+    masked = mask(source or "", True)
+    depth = most = 0
+    stack: list[bool] = []
+    head = _CONTROL_HEAD
+    for m in re.finditer(r"[{}]", masked):
+        if m[0] == "{":
+            control = bool(head.search(masked[max(0, m.start() - 20) : m.start()]))
+            stack.append(control)
+            depth += control
+            most = max(most, depth)
+        elif stack:
+            depth -= stack.pop()
+    return most
