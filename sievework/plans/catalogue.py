@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sievework.plans import snapshots
+from sievework.plans import detector_queries, snapshots, tables
 
-_MODULES = [snapshots]
+_MODULES = [snapshots, tables, detector_queries]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
-FLAGSHIP = QUERIES["p6_change_counts"]
+FLAGSHIP = QUERIES["near_dup_documents"]

@@ -91,6 +91,7 @@ class Corpus:
     packages: DataFrame | None = None
     file_mtime: DataFrame | None = None
     given_symbols: DataFrame | None = None
+    shared: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -110,7 +111,8 @@ class Corpus:
         return scan_facts(self.files, list(SCANNERS)).persist()
 
     def fact(self, kind: str) -> DataFrame:
-        return self.facts.filter(F.col("kind") == kind)
+        """Facts of one kind, from the shared table if several detectors run, else by its own scan."""
+        return self.facts.filter(F.col("kind") == kind) if self.shared else self.scan(kind)
 
     def scan(self, *kinds: str) -> DataFrame:
         """Facts of a few kinds without touching the shared table."""

@@ -63,6 +63,7 @@ def run(corpus: Corpus, only: Iterable[str] | None = None, skip: Iterable[str] =
     unknown = [n for n in names if n not in REGISTRY]
     if unknown:
         raise ValueError(f"no such detector: {', '.join(unknown)}")
+    corpus.shared |= len(names) > 1
     out = None
     for n in names:
         f = REGISTRY[n](corpus)
