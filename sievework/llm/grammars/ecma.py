@@ -151,7 +151,7 @@ yield_stop = ')' / ']' / '}' / ',' / ';' / ':' / 'EOF' / $nl
     / [ts] 'async'? type_params params return_note? '=>' arrow_body
 paren_arrow = $arrow '('
 arrow_body = block / !'{' assign
-cond = binary ('?' assign ':' assign)?
+cond = binary ('?' assign ':' assign / '?' cond assign_rest? ':' assign)?
 binary = unary binary_rest*
 binary_rest = BINARY unary / '>' $adj '=' unary / shift unary / [ts] 'as' $nonl as_type / [ts] 'satisfies' $nonl type
 shift = '>' $adj '>' $adj '>' !assign_tail / '>' $adj '>' !assign_tail / '>' !assign_tail
