@@ -191,7 +191,7 @@ def load_sources(spark: SparkSession, workspaces: Iterable[Workspace], extension
         if not paths:
             continue
         root = os.path.realpath(w.root).replace(os.sep, "/")
-        d = spark.read.text([f"file://{root}/{p}" for p in paths], wholetext=True).select(F.lit(w.name).alias("workspace"), F.expr(f"substring(url_decode(_metadata.file_path), {len('file://' + root) + 2})").alias("path"), F.col("value").alias("text"))
+        d = spark.read.text([f"file://{root}/{p}" for p in paths], wholetext=True).select(F.lit(w.name).alias("workspace"), F.substring_index(F.expr("url_decode(_metadata.file_path)"), root + "/", -1).alias("path"), F.col("value").alias("text"))
         out = d if out is None else out.unionByName(d)
     return out if out is not None else spark.createDataFrame([], "workspace string, path string, text string")
 
