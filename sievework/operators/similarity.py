@@ -12,7 +12,8 @@ def set_similarity_join(df: DataFrame, id_col: str, items: str, threshold: float
     """``(a, b, jaccard)``, a < b, of all pairs with equal gates and Jaccard >= threshold; nothing is missed.
 
     Items are ordered rarest first; two sets that similar share an item among the first
-    n - ceil(threshold n) + 1 of each, so only these prefixes are joined. Sets are compared as sets, null
+    n - ceil(threshold n) + 1 of each, so only these prefixes are joined; pairs whose positions
+    leave too few common items are dropped before the sets are fetched. Sets are compared as sets, null
     items and sets below ``min_size`` are left out; ids must be unique.
     """
     s = df.select(F.col(id_col).alias("id"), *gates, F.array_distinct(F.filter(items, lambda x: x.isNotNull())).alias("items")).filter(F.col("id").isNotNull() & (F.size("items") >= max(1, min_size)))
@@ -20,12 +21,17 @@ def set_similarity_join(df: DataFrame, id_col: str, items: str, threshold: float
     ranked = s.select("id", *gates, F.size("items").alias("n"), F.explode("items").alias("t")).join(freq, "t")
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     ordered = ranked.groupBy("id", *gates, "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
-    pre = ordered.select("id", *gates, "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("p")).select("id", *gates, "n", F.col("p.t").alias("t"))
+    pre = ordered.select("id", *gates, "n", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("i", "p")).select("id", *gates, "n", "i", F.col("p.t").alias("t"))
     a, b = pre.alias("a"), pre.alias("b")
+    # two sets of n and m items are similar from ceil(threshold / (1 + threshold) * (n + m)) common items on
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     on = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9)
     for g in gates:
         on &= F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-    pairs = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    met = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), need.alias("need"), F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+    # common items of the prefixes, and as many more as can come after the last of them
+    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("need").alias("need"))
+    pairs = met.filter(F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1) >= F.col("need")).select("a", "b")
     full = s.select("id", "items")
     j = pairs.join(full.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))

@@ -38,7 +38,8 @@ def _words(c: str = "text"):
 
 def document_shingles(docs: DataFrame, size: int = 4) -> DataFrame:
     """(doc_id, sh): distinct runs of ``size`` words; hashed, as runs are compared only for equality."""
-    w = docs.filter("text IS NOT NULL").select("doc_id", _words().alias("w")).filter(F.size("w") >= size)
+    # the generator keeps the words from being extracted anew for every run
+    w = docs.filter("text IS NOT NULL").select("doc_id", F.explode(F.array(_words())).alias("w")).filter(F.size("w") >= size)
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))
     return w.select("doc_id", F.array_distinct(runs).alias("sh"))
 
