@@ -27,6 +27,8 @@ _MARKER = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r]|$)").search
 _OPERAND = ecma.ID | frozenset(("NUM", "STR", "REGEX", "TPL", "TPL_TAIL", ")", "]", "this", "super", "null", "true", "false", "J>", "J/>"))
 _WORDS = {w: w for w in ecma.RESERVED | ecma.CONTEXTUAL}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
+#: Punctuators that need no further look.
+_PLAIN = frozenset("... => === !== **= && || ?? &&= ||= ??= <<= == != <= ?. ++ -- += -= *= %= &= |= ^= << ** ; , > + - * % & | ^ ! ~ ? : = . @ #".split())
 _HEADS = frozenset(("if", "while", "for", "with"))
 
 
@@ -34,23 +36,23 @@ def ecma_tokens(text: str, jsx: bool) -> tuple[list, list, list, list, list]:
     """Kinds, new line before, adjacent to the last, index of the matching bracket, offsets."""
     kinds: list[str] = []
     nl: list[bool] = []
-    adj: list[bool] = []
-    match: list[int] = []
     at: list[int] = []
+    ends: list[int] = []
+    closes: list[tuple[int, int]] = []
     stack: list[tuple] = []
     words = _WORDS.get
-    pos, end, prev, last_end = 0, len(text), "", -1
+    add_kind, add_nl, add_at, add_end = kinds.append, nl.append, at.append, ends.append
+    pos, end, prev = 0, len(text), ""
     if text.startswith("#!"):
         pos = len(re.match(r"[^\n\r]*", text)[0])
 
     def push(kind: str, start: int, newline: bool, stop: int) -> None:
-        nonlocal prev, pos, last_end
-        kinds.append(kind)
-        nl.append(newline)
-        adj.append(start == last_end)
-        match.append(len(match))
-        at.append(start)
-        prev, pos, last_end = kind, stop, stop
+        nonlocal prev, pos
+        add_kind(kind)
+        add_nl(newline)
+        add_at(start)
+        add_end(stop)
+        prev, pos = kind, stop
 
     def tag_mode() -> None:
         """From inside a tag up to an expression container or the end of the tag."""
@@ -139,18 +141,20 @@ def ecma_tokens(text: str, jsx: bool) -> tuple[list, list, list, list, list]:
         if m is None:
             raise LexError(len(re.compile(_WS).match(text, pos)[0]) + pos, "no token")
         k = m.lastindex
-        ws = m[1]
-        newline = bool(ws) and ("\n" in ws or "\r" in ws)
-        if k == 1 and m.end() == end and m.end(1) == end:
-            break
-        s, e = m.end(1), m.end()
-        if k == 2:
-            w = m[2]
-            push(words(w, "ID"), s, newline, e)
-        elif k == 3:
-            push("NUM", s, newline, e)
-        elif k == 4:
-            push("STR", s, newline, e)
+        s, e = m.span(k)
+        if k == 1:
+            break  # nothing but white space is left
+        newline = False
+        if s != pos:
+            ws = m[1]
+            newline = "\n" in ws or "\r" in ws
+        if k != 5 or m[5] in _PLAIN:
+            prev = words(m[2], "ID") if k == 2 else m[5] if k == 5 else "NUM" if k == 3 else "STR"
+            add_kind(prev)
+            add_nl(newline)
+            add_at(s)
+            add_end(e)
+            pos = e
         else:
             c = m[5]
             if c in "([{":
@@ -176,7 +180,7 @@ def ecma_tokens(text: str, jsx: bool) -> tuple[list, list, list, list, list]:
                 else:
                     if top[0] != _CLOSE[c]:
                         raise LexError(s, f"unexpected {c}")
-                    match[top[1]] = len(kinds)
+                    closes.append((top[1], len(kinds)))
                     push(c, s, newline, e)
                     if top[2]:
                         prev = "head)"
@@ -200,7 +204,10 @@ def ecma_tokens(text: str, jsx: bool) -> tuple[list, list, list, list, list]:
         raise LexError(end, "not closed at the end")
     for _ in range(2):
         push("EOF", end, True, end)
-    return kinds, nl, adj, match, at
+    match = list(range(len(kinds)))
+    for a, b in closes:
+        match[a] = b
+    return kinds, nl, [False, *(a == b for a, b in zip(ends, at[1:]))], match, at
 
 
 _PY_WS = re.compile(r"(?:[ \t\f]++|\\(?:\r\n|\n|\r))*+").match
