@@ -18,20 +18,23 @@ def nodes_of(imports: DataFrame) -> DataFrame:
     return imports.select(F.explode(F.array("source", "target")).alias("node")).filter("node IS NOT NULL").distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """Nodes that the seeds reach, seeds included, by breadth-first frontiers.
 
     A seed that is no node of the graph is dropped. Each round joins the frontier only; the
-    visited set is written to the shared folder, so a lost executor costs no round.
+    visited set is written to the shared folder, so a lost executor costs no round. It goes on
+    until a frontier is empty; a graph deeper than a given ``max_rounds`` is an error.
     """
     scratch = Scratch(edges.sparkSession, "reach")
     e = scratch.cut(edges.select("src", "dst").distinct())
     known = nodes if nodes is not None else e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     front = scratch.cut(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().join(known, "node", "left_semi"))
     seen = [front]
-    for _ in range(max_rounds):
-        if not front.head(1):
-            break
+    done = 0
+    while front.head(1):
+        if done == max_rounds:
+            raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
+        done += 1
         visited = seen[0]
         for s in seen[1:]:
             visited = visited.union(s)
@@ -41,7 +44,9 @@ def reach(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, ma
             merged = seen[0]
             for s in seen[1:]:
                 merged = merged.union(s)
-            seen = [scratch.cut(merged)]
+            merged = scratch.cut(merged)
+            scratch.drop(*[s for s in seen if s is not front])
+            seen = [merged]
     out = seen[0]
     for s in seen[1:]:
         out = out.union(s)

@@ -1,8 +1,10 @@
 """Kernels against brute force and hand-made cases."""
 
 import hashlib
+import inspect
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -92,6 +94,14 @@ def test_reach_with_cycle_and_foreign_seed(spark):
     assert rows(reach(edges_of(imp), seeds, nodes_of(imp))) == [("a",), ("b",), ("c",), ("f",)]
 
 
+def test_reach_never_stops_short(spark):
+    chain, seed = spark.createDataFrame([(i, i + 1) for i in range(5)], "src int, dst int"), spark.createDataFrame([(0,)], "node int")
+    assert reach(chain, seed).count() == 6
+    with pytest.raises(RuntimeError):
+        reach(chain, seed, max_rounds=3)
+    assert inspect.signature(reach).parameters["max_rounds"].default is None
+
+
 def test_re_exports_forward_to_a_fix_point(spark):
     used = spark.createDataFrame([("barrel", "A"), ("ns", "*")], "file string, name string")
     star = spark.createDataFrame([("barrel", "inner"), ("inner", "barrel")], "src string, dst string")
