@@ -49,14 +49,108 @@ def pairs(src: Source) -> dict[int, int]:
 
 def _skip_generics(masked: str, p: int) -> int:
     if p < len(masked) and masked[p] == "<":
-        depth = 0
-        for i in range(p, min(len(masked), p + 2000)):
-            depth += (masked[i] == "<") - (masked[i] == ">" and masked[i - 1] != "=")
+        depth = inner = 0
+        for i in range(p, len(masked)):
+            c = masked[i]
+            inner += (c in "([{") - (c in ")]}")
+            if inner < 0 or (c == ";" and inner == 0):
+                break
+            depth += (c == "<") - (c == ">" and masked[i - 1] != "=")
             if depth == 0:
                 return i + 1
     return p
 
 
+def _back(masked: str, p: int) -> int:
+    """``p`` moved back over white space."""
+    while p > 0 and masked[p - 1].isspace():
+        p -= 1
+    return p
+
+
+def _word_back(masked: str, p: int, word: str) -> int | None:
+    """Start of ``word`` if it stands before ``p`` and the white space there."""
+    e = _back(masked, p)
+    a = e - len(word)
+    return a if a >= 0 and masked.startswith(word, a) and not (a and (masked[a - 1].isalnum() or masked[a - 1] in "_$.")) else None
+
+
+def _generics_start(masked: str, match: dict[int, int], p: int) -> int:
+    """Start of the type parameters that end before ``p``; ``p`` if there are none."""
+    i = _back(masked, p) - 1
+    if i < 1 or masked[i] != ">" or masked[i - 1] == "=":
+        return p
+    depth = 0
+    while i >= 0:
+        c = masked[i]
+        if c in ")]}":
+            i = match.get(i, 0)
+        elif c in "([{;":
+            return p
+        elif c == ">" and masked[i - 1] != "=":
+            depth += 1
+        elif c == "<":
+            depth -= 1
+            if depth == 0:
+                return i
+        i -= 1
+    return p
+
+
+_DECLARATOR = re.compile(r"\s*([A-Za-z_$][\w$]*)\s*!?\s*(?::|\Z)")
+_GOES_ON = re.compile(r"(?:[|&<,(:?=.]|=>|\b(?:extends|keyof|typeof|infer|is|readonly|unique))\Z")
+
+
+def _binding(masked: str, match: dict[int, int], begin: int) -> tuple[int, int, str] | None:
+    """(keyword, name's offset, name) of the const, let or var that is given the value at ``begin``.
+
+    Walks back from the equals sign over balanced brackets, however long the annotation is.
+    """
+    eq = _back(masked, begin) - 1
+    if eq < 1 or masked[eq] != "=" or masked[eq - 1] in "=!<>+-*/%&|^?":
+        return None
+    i, angle, comma = eq - 1, 0, None
+    while i >= 0:
+        c = masked[i]
+        if c in ")]}":
+            if i not in match:
+                return None
+            i = match[i]
+        elif c in "([{;":
+            return None
+        elif c == ">" and masked[i - 1] == "=":
+            i -= 1
+        elif c == ">" and comma is None:
+            angle += 1
+        elif c == "<" and comma is None:
+            angle -= 1
+        elif angle == 0 and c == "," and comma is None:
+            comma = i
+        elif angle == 0 and c == "=" and comma is None:
+            return None
+        elif angle == 0 and c.isspace() and (k := next((k for w in ("const", "let", "var") if (k := _word_back(masked, i, w)) is not None), None)) is not None:
+            first = (i if comma is None else comma) + 1
+            m = _DECLARATOR.match(masked, first, eq)
+            if not m:
+                return None
+            # a line break in the annotation belongs to it only if the type goes on
+            depth, p = 0, m.end()
+            while p < eq:
+                ch = masked[p]
+                if ch in "([{":
+                    p = match.get(p, eq)
+                elif ch == ">" and masked[p - 1] == "=":
+                    pass
+                elif ch in "<>":
+                    depth += 1 if ch == "<" else -1
+                elif ch == "\n" and depth == 0 and not _GOES_ON.search(masked[m.start() : p].rstrip()) and not re.match(r"[|&?:>=]|extends\b", masked[p:eq + 1].lstrip()):
+                    return None
+                p += 1
+            return k, m.start(1), m[1]
+        i -= 1
+    return None
+
+
 def _space(masked: str, p: int) -> int:
     while p < len(masked) and masked[p].isspace():
         p += 1
@@ -128,8 +222,9 @@ def callables(src: Source) -> list[Callable_]:
             if not n:
                 continue
             start, params = n.start(), (n.start(), n.end())
-        a = re.search(r"(?<![\w$.])async\s*(?:<[^<>]*>\s*)?$", masked[max(0, start - 60) : start])
-        begin = start - (len(a[0]) if a else 0)
+        begin = _generics_start(masked, match, start)
+        a = _word_back(masked, begin, "async")
+        begin = begin if a is None else a
         b = _space(masked, m.end())
         if b in match and masked[b] == "{":
             body = (b, match[b] + 1)
@@ -143,8 +238,8 @@ def callables(src: Source) -> list[Callable_]:
                     break
                 e += 1
             body = (b, e)
-        name = re.search(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*$", masked[max(0, begin - 200) : begin])
-        out.append(Callable_("arrow", name[1] if name else None, bool(a), False, params, ret, begin, body))
+        bound = _binding(masked, match, begin)
+        out.append(Callable_("arrow", bound and bound[2], a is not None, False, params, ret, begin, body))
     for c in re.finditer(r"(?<![\w$.])class\b[^{;]*\{", masked):
         a = c.end() - 1
         if a not in match:
@@ -367,19 +462,23 @@ def symbols(path: str, text: str) -> Iterator[dict]:
     for f in callables(src):
         if not f.name or f.kind not in ("function", "arrow", "expression"):
             continue
-        head = re.search(r"(?:(export)\s+)?(?:(default)\s+)?(?:(?:const|let|var)\s+[\w$]+\s*(?::[^=;]+)?=\s*)?$", masked[max(0, f.start - 240) : f.start])
-        begin = f.start - len(head[0])
-        if not depth0(begin):
-            continue
         variable = f.kind != "function"
-        if variable and not re.search(r"(?:const|let|var)\s", head[0]):
+        bound = _binding(masked, match, f.start)
+        if variable and not bound:
+            continue
+        begin = bound[0] if variable else f.start
+        default = _word_back(masked, begin, "default")
+        begin = begin if default is None else default
+        export = _word_back(masked, begin, "export")
+        begin = begin if export is None else export
+        if not depth0(begin):
             continue
-        start = begin if not variable else begin + re.search(r"(?:const|let|var)\s+", head[0]).end()
+        start = bound[1] if variable else begin
         body = text[f.body[0] : f.body[1]].strip()
         norm = collapse(body)
         ret = f.returns or "unknown"
         fn = {"params": params_of(src, f), "return_type": re.sub(r"\s+", " ", ret), "is_async": f.is_async, "is_generator": f.is_generator, "body": body, "body_normalized": norm, "body_shingles": shingles(norm)}
-        yield row("function", f.name, start, f.body[1], bool(head[1]), None if variable else bool(head[2]), None, fn)
+        yield row("function", f.name, start, f.body[1], export is not None, None if variable else default is not None, None, fn)
 
 
 def _class_fields(src: Source, a: int, b: int) -> list[dict]:

@@ -217,3 +217,19 @@ def test_broken_texts_never_raise():
         list(facts_of("src/a.test.ts", t, SCANNERS))
         list(declare.symbols("a.ts", t))
         list(declare.imports("a.ts", t))
+
+
+def test_long_annotations_keep_their_functions():
+    fields = " ".join(f"field{i}: Array<string>;" for i in range(200))
+    texts = [
+        f"export const handler: Handler<{{ {fields} }}> = async (e) => {{ return e; }};",
+        f"export const handler = async <T extends {{ {fields} }}>(e: T) => {{ return e; }};",
+        "export const handler: (a: number, b: Map<string, number>) => void = async (a, b) => {};",
+        "export const other = 1 > 0,\n  handler: A<B, C> = async (a) => a;",
+    ]
+    for t in texts:
+        (f,) = [x for x in declare.symbols("a.ts", t) if x["kind"] == "function"]
+        assert (f["name"], f["exported"], f["fn_struct"]["is_async"]) == ("handler", True, True) and f["source"].startswith("handler"), t
+    (f,) = declare.symbols("a.ts", f"function f<T extends {{ {fields} }}>(x: T) {{ return x; }}")
+    assert f["name"] == "f"
+    assert not list(declare.symbols("a.ts", "let a: string\nb = () => 1\nexports.c = () => 2"))
