@@ -41,9 +41,10 @@ _VERSION = re.compile(r"\bVERSION\s*=\s*['\"]\d+\.\d+\.\d+['\"]")
 _COMPILED = re.compile(r"Object\.defineProperty\(exports, ['\"]__esModule['\"]|^var __\w+ = \(this && this\.__\w+\)|_interopRequireDefault\(|__webpack_require__|//# sourceMappingURL=\S+\s*$", re.MULTILINE)
 #: File names that generators give.
 _SUFFIX = re.compile(r"(?:_pb2?|_pb2_grpc|\.pb|\.gen|\.g|[._]generated)\.[a-z]+$")
-_BOTTOM = re.compile(r"(?:(?://|#)[^\n\r]*\s*|/\*(?:[^*]|\*(?!/))*\*/\s*)+\Z")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*")
 _STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|b?'(?:[^'\\\n]|\\.)*'")
+#: Strings, the start of a line comment, and a quotation mark whose string doesn't end on the line.
+_LINE_COMMENT = re.compile(rf"{_STRING.pattern}|(?P<c>//|#)|(?P<q>['\"`])")
 
 
 def extension(path: str | None) -> str:
@@ -56,6 +57,35 @@ def leading_comment(text: str) -> str:
     return text[: _TOP.match(text).end()]
 
 
+def _outside(line: str) -> bool:
+    """Whether what follows this start of a line is in neither a string nor a line comment."""
+    bare = _STRING.sub("", line)
+    return not any(x in bare for x in ("//", "'", '"', "`"))
+
+
+def trailing_comment(code: str) -> str:
+    """The comments that end the text, of any length, found backwards from its end."""
+    start = len(code)
+    while True:
+        e = start
+        while e > 0 and code[e - 1].isspace():
+            e -= 1
+        line = code.rfind("\n", 0, e) + 1
+        line = max(line, code.rfind("\r", line, e) + 1)
+        s = -1
+        if code.endswith("*/", 0, e):
+            past = code.rfind("*/", 0, e - 2)
+            s = code.find("/*", past + 2 if past >= 0 else 0, e - 2)
+            while s >= 0 and not _outside(re.split(r"[\r\n]", code[max(0, code.rfind("\n", 0, s)) : s])[-1]):
+                s = code.find("/*", s + 2, e - 2)
+        if s < 0:
+            first = next((m for m in _LINE_COMMENT.finditer(code, line, e) if m.lastgroup), None)
+            s = first.start() if first and first.lastgroup == "c" else -1
+        if s < 0:
+            return code[start:]
+        start = s
+
+
 def body_key(text: str) -> str:
     """The code without its leading comment, white space and line ends: equal for reformatted copies."""
     return re.sub(r"\s+", "", text[_TOP.match(text).end() :])
@@ -98,8 +128,7 @@ def kind_of(path: str | None, text: str | None) -> str | None:
         return None
     top = leading_comment(text)
     code = text[len(top) :]
-    bottom = _BOTTOM.search(code[-2000:])
-    if _GENERATED.search(top) or _SUFFIX.search(name) or (bottom and _GENERATED.search(bottom[0])):
+    if _GENERATED.search(top) or _SUFFIX.search(name) or _GENERATED.search(trailing_comment(code)):
         return "generated"
     if _LIBRARY.search(top):
         return "vendored"

@@ -103,6 +103,17 @@ def test_origin_rules():
     assert k("a.ts", "export const B = '" + "QUJD" * 200 + "';\n" + code) is None and k("a.ts", "") is None and k(None, None) is None
 
 
+def test_long_footers_are_read_whole():
+    k = origin.kind_of
+    code = "import a from 'b';\nexport function f(x) {\n  const g = 'src/*.ts';\n  return a(x, g).map((v) => v + 1);\n}\n"
+    inputs = "".join(f" * src/schema/part{i}/*.proto\n" for i in range(200))
+    assert k("a.ts", code + "/* Code generated by x.\n" + inputs + " */\n") == "generated"
+    assert k("a.ts", code + "// Code generated by x.\n" + "//".join(f" input {i}\n" for i in range(400))) == "generated"
+    assert k("a.ts", code + "// Code generated by x.\n//# sourceMapURL=data:" + "QUJD" * 2000 + "\n") == "generated"
+    # code between a glob and the last comment is no footer
+    assert k("a.ts", code + "const h = 'do not edit';\n/* end */\n") is None
+
+
 def test_shared_subtrees_mark_copies(spark):
     own = "export function own{0}(q) {{\n  return q.filter((z) => z.{0} > {1}).map((z) => z.{0} * {1}).reduce((s, z) => s + z, {1});\n}}\nexport const rest{0} = (p) => p.{0}.slice({1}, {1} + 20).concat(p.extra{0}, [p.{0}, {1}, 'long enough text {0}']);\n"
     data = [
