@@ -20,7 +20,7 @@ from sievework.session import Scratch, read
 
 #: Repositories that must hold a subtree for it to count as third-party.
 MIN_REPOS = 2
-#: Characters of normalized code from which a shared file can mark a subtree.
+#: Characters of normalized code from which a shared file or subtree counts as third-party.
 MIN_BODY = 200
 #: Languages whose files can be library code; shared configuration is common and hand-written.
 CODE = frozenset((".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py"))
@@ -155,12 +155,12 @@ def kind_of(path: str | None, text: str | None) -> str | None:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file_id, repo, path, text) to (file_id, repo, dir, name, kind, body hash or null, parts)."""
+    """(file_id, repo, path, text) to (file_id, repo, dir, name, kind, body hash, characters of code, parts); code is null for blank texts."""
     for b in batches:
-        ids, repos, dirs, names, kinds, hashes, parts_ = [], [], [], [], [], [], []
+        ids, repos, dirs, names, kinds, hashes, sizes, parts_ = [], [], [], [], [], [], [], []
         for i, repo, path, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-            body = body_key(text or "")
             code = extension(path) in CODE
+            body = body_key(text or "") if code else re.sub(r"\s+", "", text or "")
             inner = parts_of(text or "") if code else []
             parts_.append([{"h": h, "n": n} for h, n in inner])
             parts = (path or "").rsplit("/", 1)
@@ -169,44 +169,45 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dirs.append(parts[0] if len(parts) > 1 else "")
             names.append(parts[-1])
             kinds.append(kind_of(path, text))
-            hashes.append(_hash(body) if code and len(body) >= MIN_BODY else None)
+            hashes.append(_hash(body))
+            sizes.append((len(body) if code else 0) if (text or "").strip() else None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(repos, pa.string()), pa.array(dirs, pa.string()), pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(hashes, pa.int64()), pa.array(parts_, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))],
-            ["file_id", "repo", "dir", "name", "kind", "body", "parts"],
+            [pa.array(ids, pa.int64()), pa.array(repos, pa.string()), pa.array(dirs, pa.string()), pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts_, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))],
+            ["file_id", "repo", "dir", "name", "kind", "body", "code", "parts"],
         )
 
 
 def shared_subtrees(files: DataFrame, scratch: Scratch, min_repos: int = MIN_REPOS) -> DataFrame:
-    """``(repo, node)`` of the highest known subtrees that ``min_repos`` repositories share.
+    """``(repo, node)`` of the subtrees, files among them, that ``min_repos`` repositories share.
 
-    ``files`` has (repo, dir, name, body). A directory's hash is a sum over its children's name and
-    hash, so it is built by partial aggregation from the deepest level up and no directory is ever
-    gathered; the directory's own name is left out, as copies are moved. Nodes with a child that
-    can't mark (short, configuration) carry no hash.
+    ``files`` has (repo, dir, name, body, code). A directory's hash is a sum over its children's name
+    and hash, so it is built by partial aggregation from the deepest level up and no directory is ever
+    gathered; the directory's own name is left out, as copies are moved. Every file counts in the
+    hash, short ones and configuration too; a subtree marks only if its code has MIN_BODY characters.
     """
-    leaf = files.select("repo", F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "name").alias("node"), F.col("dir").alias("parent"), "name", F.col("body").alias("h"))
-    leaf = leaf.groupBy("repo", "node", "parent", "name").agg(F.min("h").alias("h"), F.count("*").alias("n"), F.count("h").alias("k"))
-    level = scratch.cut(leaf.select("repo", "node", "parent", "name", F.when(F.col("n") == F.col("k"), F.col("h")).alias("h")).withColumn("depth", F.size(F.split("node", "/"))))
+    leaf = files.select("repo", F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "name").alias("node"), F.col("dir").alias("parent"), "name", F.struct(F.col("body").alias("h"), F.coalesce("code", F.lit(0)).alias("code")).alias("x"))
+    leaf = leaf.groupBy("repo", "node", "parent", "name").agg(F.min("x").alias("x"))
+    level = scratch.cut(leaf.select("repo", "node", "parent", "name", "x.h", "x.code").withColumn("depth", F.size(F.split("node", "/"))))
     top = level.agg(F.max("depth")).first()[0] or 0
-    nodes = [level.select("repo", "node", "h")]
+    nodes = [level.select("repo", "node", "h", "code")]
     current = level
     for d in range(top, 1, -1):
         at = current.filter(F.col("depth") == d)
         up = at.groupBy("repo", "parent").agg(
-            F.sum(F.pmod(F.xxhash64("name", "h"), F.lit(1 << 40))).alias("s"), F.expr("bit_xor(xxhash64(h, name))").alias("x"), F.count("*").alias("n"), F.count("h").alias("k")
+            F.sum(F.pmod(F.xxhash64("name", "h"), F.lit(1 << 40))).alias("s"), F.expr("bit_xor(xxhash64(h, name))").alias("x"), F.count("*").alias("n"), F.sum("code").alias("code")
         )
         parent = F.when(F.instr("parent", "/") > 0, F.regexp_replace("parent", "/[^/]*$", "")).otherwise(F.lit(""))
         up = up.select(
             "repo", F.col("parent").alias("node"), parent.alias("parent"), F.regexp_extract("parent", "([^/]*)$", 1).alias("name"),
-            F.when(F.col("n") == F.col("k"), F.xxhash64("s", "x", "n")).alias("h"), F.lit(d - 1).alias("depth"),
+            F.xxhash64("s", "x", "n").alias("h"), "code", F.lit(d - 1).alias("depth"),
         )
         up = scratch.cut(up)
-        nodes.append(up.select("repo", "node", "h"))
+        nodes.append(up.select("repo", "node", "h", "code"))
         current = current.filter(F.col("depth") < d).unionByName(up)
     every = nodes[0]
     for x in nodes[1:]:
         every = every.unionByName(x)
-    every = every.filter("h IS NOT NULL AND repo IS NOT NULL")
+    every = every.filter((F.col("code") >= MIN_BODY) & F.col("repo").isNotNull())
     # two steps, so that a hash in millions of places is merged map-side
     spread = every.select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("repos")).filter(F.col("repos") >= min_repos).select("h")
     return every.join(spread, "h", "left_semi").select("repo", "node").distinct()
@@ -220,13 +221,13 @@ def not_hand_written(files: DataFrame, key: str = "file_id", repo: str = "repo",
     table gives no rows; other columns are not read. Broken files are judged like others.
     """
     scratch = Scratch(files.sparkSession, "origin")
-    judged = files.select(F.col(key).cast("long"), F.col(repo), F.col(path), F.col(text)).mapInArrow(_judge, "file_id long, repo string, dir string, name string, kind string, body long, parts array<struct<h:long,n:int>>")
+    judged = files.select(F.col(key).cast("long"), F.col(repo), F.col(path), F.col(text)).mapInArrow(_judge, "file_id long, repo string, dir string, name string, kind string, body long, code long, parts array<struct<h:long,n:int>>")
     judged = scratch.cut(judged)
     shared = shared_subtrees(judged, scratch, min_repos).withColumnRenamed("repo", "r")
     # a file is under a shared subtree if its own node or any directory above it is one
     parts = F.split(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "name"), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    open_files = judged.filter("kind IS NULL AND body IS NOT NULL")
+    open_files = judged.filter("kind IS NULL AND code IS NOT NULL")
     marked = open_files.select("file_id", "repo", F.explode(above).alias("at")).join(shared, (F.col("repo") == F.col("r")) & (F.col("at") == F.col("node")), "left_semi").select("file_id").distinct()
     # a file whose top-level parts mostly lie in other repositories too is an altered copy
     parts = judged.filter("size(parts) > 1").select("file_id", "repo", "kind", F.explode("parts").alias("p")).select("file_id", "repo", "kind", "p.h", "p.n")

@@ -126,6 +126,16 @@ def test_shared_subtrees_mark_copies(spark):
     assert origin.not_hand_written(d.limit(0)).count() == 0
 
 
+def test_shared_directories_mark_their_short_files(spark):
+    lib = LIB.replace("/*! lib */\n", "")
+    data = [(10 * r + i, f"r{r}", f"{top}/{name}", text) for r, top in ((1, "third_party/pkg"), (2, "lib/old/pkg")) for i, (name, text) in enumerate([("lib.js", lib), ("index.js", "export * from './lib';\n"), ("package.json", '{"name": "pkg"}'), ("sub/a.js", "export const a = 1;\n"), ("blank.js", " ")])]
+    # shared configuration and short code alone are no third-party subtree
+    data += [(10 * r + 8, f"r{r}", "conf/tsconfig.json", '{"compilerOptions": {"strict": true}, "include": ["' + "src/" * 60 + '"]}') for r in (1, 2)]
+    data += [(10 * r + 9, f"r{r}", "conf/index.js", "export * from './x';\n") for r in (1, 2)]
+    d = spark.createDataFrame(data, "file_id long, repo string, path string, text string")
+    assert rows(origin.not_hand_written(d), "file_id") == [(10,), (11,), (12,), (13,), (20,), (21,), (22,), (23,)]
+
+
 SPLITS = [
     ("The limit is approx. 3.5 MB, i.e. 7 symbols. Dr. Tamsk and K. L. Bran own it. Stop!", 3),
     ("We renamed fields, tests, etc. The U.S. cluster ran at 9 a.m. local time. Really?! Yes.", 4),
