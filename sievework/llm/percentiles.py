@@ -62,13 +62,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(b: pa.RecordBatch, first: int = 2) -> Iterator[tuple[int, np.ndarray, int, int]]:
-    """Row, its values, and the bounds of what lies strictly between lo and hi."""
+    """Row, its values, and the bounds of what lies strictly between lo and hi; a null bound is open."""
     vals, lo, hi = (b.column(i) for i in range(first, first + 3))
     arrays, off = vals.values.to_numpy(zero_copy_only=False), vals.offsets.to_numpy()
-    lo, hi = lo.to_numpy(zero_copy_only=False), hi.to_numpy(zero_copy_only=False)
+    lo, hi = (np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in (lo, hi))
     for i in range(b.num_rows):
         x = arrays[off[i] : off[i + 1]]
-        yield i, x, int(np.searchsorted(x, lo[i], "right")), int(np.searchsorted(x, hi[i], "left"))
+        yield i, x, 0 if np.isnan(lo[i]) else int(np.searchsorted(x, lo[i], "right")), len(x) if np.isnan(hi[i]) else int(np.searchsorted(x, hi[i], "left"))
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def multi_select(runs: DataFrame, targets: DataFrame, scratch: Scratch, max_roun
     few = broadcast_if_small(small.select("g").distinct(), n_groups, 64)
     done = _gather(runs.join(few, "g"), ["g"]).join(small, "g").select("g", "q", _nth(F.col("k")).alias("value"), "n")
     big = targets.filter(F.col("n") > FINISH)
-    state = scratch.cut(big.select("g", "q", "k", "n", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(True).alias("open"), F.lit(None).cast("double").alias("value")))
+    state = scratch.cut(big.select("g", "q", "k", "n", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(True).alias("open"), F.lit(None).cast("double").alias("value")))
     n_state = state.count()
     slices, own = runs, False
     base = None
@@ -138,7 +138,8 @@ def multi_select(runs: DataFrame, targets: DataFrame, scratch: Scratch, max_roun
         live = broadcast_if_small(state.filter("open").select("g", "q", "lo", "hi"), n_state, 96)
         bounded = slices.join(live, on).select("g", "q", "vals", "lo", "hi")
         left = bounded.mapInArrow(_proposals, "g string, q double, med double, n long").groupBy("g", "q").agg(F.sum("n").alias("left"), F.expr("percentile(med, 0.5, n)").alias("pivot"))
-        left = scratch.cut(left)
+        # between -inf and inf any finite pivot will do
+        left = scratch.cut(left.withColumn("pivot", F.when(F.isnan("pivot"), 0.0).otherwise(F.col("pivot"))))
         total = left.agg(F.sum("left")).first()[0] or 0
         base = base or total
         if not own and total * 4 <= base:

@@ -31,6 +31,15 @@ def test_percentiles_are_exact(spark, monkeypatch, finish, run):
     assert percentiles.percentiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
 
 
+def test_infinite_values_count_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "FINISH", 8)
+    inf = float("inf")
+    values = {"a": [-inf] * 30 + [float(i) for i in range(40)] + [inf] * 30, "b": [-inf] * 50 + [inf] * 50}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(3)
+    got = {(r.k, r.q): r.value for r in percentiles.percentiles(df, ["k"], "v", [0.1, 0.5, 0.9]).collect()}
+    assert got == {("a", 0.1): -inf, ("a", 0.5): 19.0, ("a", 0.9): inf, ("b", 0.1): -inf, ("b", 0.5): -inf, ("b", 0.9): inf}
+
+
 def test_combined_summaries_keep_their_bound(spark):
     rnd = random.Random(2)
     data = [("a", d, float(int(rnd.expovariate(0.01)))) for d in range(4) for _ in range(500 + 300 * d)] + [("b", 0, 1.0), (None, 1, 2.0)]
