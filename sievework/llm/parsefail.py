@@ -69,6 +69,8 @@ def first_error(text: str | None, dialect: str | None) -> tuple[int, str] | None
         kinds, nl, adj, match, at = tokens(body, dialect)
     except LexError as e:
         return e.args[0] + bom, f"token: {e.args[1]}"
+    except RecursionError:
+        return 0, "nesting: too deep"
     run = recogniser(dialect)
     try:
         if run(kinds, nl, adj, match) >= 0:
@@ -86,20 +88,26 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
         out: list[tuple] = []
-
-        def work(rows=rows, out=out):
-            sys.setrecursionlimit(DEPTH)
-            for key, path, text in rows:
-                got = first_error(text, dialect_of(path))
-                if got:
-                    head = text[: got[0]]
-                    line = head.count("\n") + head.count("\r") - head.count("\r\n") + 1
-                    out.append((key, line, got[0] - max(head.rfind("\n"), head.rfind("\r")), got[1]))
+        failed: list[BaseException] = []
+
+        def work(rows=rows, out=out, failed=failed):
+            try:
+                sys.setrecursionlimit(DEPTH)
+                for key, path, text in rows:
+                    got = first_error(text, dialect_of(path))
+                    if got:
+                        head = text[: got[0]]
+                        line = head.count("\n") + head.count("\r") - head.count("\r\n") + 1
+                        out.append((key, line, got[0] - max(head.rfind("\n"), head.rfind("\r")), got[1]))
+            except BaseException as e:
+                failed.append(e)
 
         threading.stack_size(512 << 20)
         t = threading.Thread(target=work)
         t.start()
         t.join()
+        if failed:  # else the rest of the batch would count as valid
+            raise failed[0]
         cols = list(zip(*out)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["file_id", "line", "col", "error"])
 
@@ -109,7 +117,8 @@ def parse_failures(files: DataFrame, key: str = "file_id", path: str = "path", t
 
     Every token of every text is parsed; no shuffle is needed. Null or blank texts, null paths and
     unknown extensions are not failures; repeated rows come out once each; an empty table gives an
-    empty result; columns beyond the three are not read.
+    empty result; columns beyond the three are not read. A text nested so deeply that its parse takes
+    more than DEPTH Python calls is listed as "nesting: too deep", valid or not.
     """
     return files.select(F.col(key).cast("long"), F.col(path), F.col(text)).mapInArrow(_parse, "file_id long, line int, col int, error string")
 

@@ -4,6 +4,7 @@ import ast
 import json
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,16 @@ def test_deep_and_long_texts():
     assert parsefail.first_error("x = " + "(" * 800 + "1" + ")" * 800 + ";" + "f(1);" * 20_000, "js") is None
 
 
+def test_errors_of_the_parser_are_passed_on(monkeypatch):
+    def broken(text, dialect):
+        raise MemoryError("lexer")
+
+    monkeypatch.setattr(parsefail, "tokens", broken)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a.ts"]), pa.array(["let a = ;"])], ["file_id", "path", "text"])
+    with pytest.raises(MemoryError):
+        list(parsefail._parse(iter([batch])))
+
+
 def test_parse_failures_table(spark):
     d = spark.createDataFrame([(1, "a.ts", "let a = ;"), (2, "b.json", "{}"), (3, "c.txt", "((("), (4, None, "((("), (5, "d.py", None), (6, "x/tsconfig.json", "{ /* */ }"), (1, "a.ts", "let a = ;")], "file_id long, path string, text string").withColumn("line", F.lit("clash"))
     assert rows(parsefail.parse_failures(d), "file_id", "line", "col") == [(1, 1, 9), (1, 1, 9)]
