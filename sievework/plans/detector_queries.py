@@ -11,7 +11,7 @@ from sievework.session import read
 
 _C = F.col
 #: Report lengths are lifted, so that every finding comes out.
-_WHOLE = {"todo-comments": {"limit": None}, "similar-functions": {"limit": None}, "hot-hub-file": {"limit": None, "threshold": 1}, "long-function": {"low": 10, "med": 40, "high": 80}, "long-file": {"low": 40, "med": 100, "high": 200}, "deep-nesting": {"low": 1, "med": 2, "high": 3}}
+_WHOLE = {"todo-comments": {"limit": None}, "similar-functions": {"limit": None}, "hot-hub-file": {"limit": None, "threshold": 1}, "long-function": {"low": 10, "med": 40, "high": 80}, "long-file": {"low": 40, "med": 100, "high": 200}, "deep-nesting": {"low": 1, "med": 2, "high": 3}, "magic-numbers": {"per_file": None}}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:

@@ -72,9 +72,11 @@ def mutable_globals(c: Corpus) -> DataFrame:
 
 
 @detector("magic-numbers")
-def magic_numbers(c: Corpus, per_file: int = 5) -> DataFrame:
-    """Unnamed numbers, the first ``per_file`` of each file in source order."""
-    d = cap_per(c.fact("number").withColumn("offset", _C("attrs")["offset"].cast("long")), ["path"], ["offset"], per_file)
+def magic_numbers(c: Corpus, per_file: int | None = 5) -> DataFrame:
+    """Unnamed numbers, the first ``per_file`` of each file in source order, or all."""
+    d = c.fact("number").withColumn("offset", _C("attrs")["offset"].cast("long"))
+    if per_file is not None:
+        d = cap_per(d, ["path"], ["offset"], per_file)
     return finding(d, "magic-numbers", "low", 0.7, _where("Magic number ", _C("key"), " in ", _C("path"), ":", _C("line")), _at(d), fingerprint("magic-numbers", _C("path"), ":", _C("line"), ":", _C("key")), suggestion="Name the value.")
 
 

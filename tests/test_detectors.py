@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.plans import detector_queries
 from sievework.plans.corpus import Corpus
 from sievework.plans.detectors import DEFAULT_OFF, REGISTRY, run
 
@@ -124,6 +125,11 @@ def test_cross_file_clusters(spark):
     assert titles(spark, "api-race", files) == ["`PUT /u/:id` is called from 2 files"]
 
 
+def test_magic_numbers_query_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(detector_queries, "corpus", lambda *_: corpus(spark, {"a.ts": "".join(f"f({n});\n" for n in range(301, 320))}))
+    assert detector_queries.QUERIES["detector_magic_numbers"](spark, "").count() == 19
+
+
 def test_caps_and_run(spark):
     files = {"a.ts": "".join(f"f({n});\n" for n in range(301, 320)), "b.ts": "// FIXME x\n"}
     c = corpus(spark, files)
