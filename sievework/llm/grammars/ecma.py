@@ -6,218 +6,219 @@ RESERVED = frozenset(
 )
 #: Words with a meaning in some places that are identifiers elsewhere.
 CONTEXTUAL = frozenset(
-    "abstract accessor any as asserts async await bigint boolean constructor declare from get global implements infer interface is keyof let module namespace never number object of out override package private protected public readonly require satisfies set static string symbol target type undefined unique unknown using yield meta".split()
+    "abstract accessor any as assert asserts async bigint boolean constructor declare from get global implements infer interface is keyof module namespace never number object of out override package private protected public readonly require satisfies set static string symbol target type undefined unique unknown using meta await let yield".split()
 )
-ID = CONTEXTUAL | {"ID"}
-NAME = ID | RESERVED
-ASSIGN = frozenset(("=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", "&=", "|=", "^=", "&&=", "||=", "??="))
-BINARY = frozenset(("+", "-", "*", "/", "%", "**", "<<", "&", "|", "^", "&&", "||", "??", "==", "!=", "===", "!==", "<", "<=", "instanceof", "in"))
-MODIFIER = frozenset("public private protected static abstract override readonly declare async accessor get set".split())
+ID = CONTEXTUAL - {"await", "let", "yield"} | {"ID"}
+#: Kinds that a line break after a word gives it; see the lexer.
+BROKEN = frozenset(("return0", "break0", "continue0", "throw0", "yield0", "async_fn"))
+NAME = CONTEXTUAL | RESERVED | BROKEN | {"ID"}
 CLASSES = {
     "ID": ID,
     "NAME": NAME,
-    "ASSIGN": ASSIGN,
-    "BINARY": BINARY,
-    "MODIFIER": MODIFIER,
-    "LITERAL": frozenset(("NUM", "STR", "REGEX", "null", "true", "false", "this", "super", "TPL")),
-    "PREFIX": frozenset(("!", "~", "+", "-", "typeof", "void", "delete", "++", "--")),
+    "LP": frozenset(("(", "(A", "(C")),
+    "LPA": frozenset(("(A", "(C")),
+    "LPE": frozenset(("(", "(C")),
+    "LB": frozenset(("[", "nl[")),
+    "LT": frozenset(("<", "<G")),
+    "GT": frozenset((">", ">+")),
+    "SEMI": frozenset((";", "ASI")),
+    "ASSIGN": frozenset(("=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", "&=", "|=", "^=", "&&=", "||=", "??=")),
+    "BINARY": frozenset(("+", "-", "*", "/", "%", "<<", "&", "|", "^", "==", "!=", "===", "!==", "<", ">", "<=", "instanceof", "in")),
+    "MODIFIER": frozenset("public private protected static abstract override readonly declare async accessor get set".split()),
+    "PLAIN_MODIFIER": frozenset(("static", "async", "accessor", "get", "set")),
+    "PARAM_MODIFIER": frozenset(("public", "private", "protected", "readonly", "override")),
+    "LITERAL": frozenset(("NUM", "STR", "REGEX", "null", "true", "false", "TPL")),
+    "PREFIX": frozenset(("!", "nl!", "~", "+", "-", "typeof", "void", "delete", "await")),
+    "STEP": frozenset(("++", "--", "nl++", "nl--")),
     "LOOSE": frozenset(("NUM", "STR", "TPL", "null", "true", "false", "this", "void")),
-    # what can't follow type arguments in an expression, unless a new line comes first
-    "STARTS": ID | frozenset(("NUM", "STR", "REGEX", "null", "true", "false", "this", "super", "[", "{", "+", "-", "!", "~", "typeof", "void", "delete", "++", "--", "new", "function", "class", "import", "#", "<", ">", "@")) - {"as", "satisfies", "of", "is"},
 }
 
 TEXT = """
-program = stmt* $eof
+%shift 'else' 'catch' 'finally' ';'
+# an expression that starts a statement, an exported default or an arrow's body
+%empty nb ! '{' 'function' 'async_fn' 'class' 'let' '@'
+%empty nf ! 'function' 'async_fn' 'class' '@'
+%empty no ! '{'
 
+start = stmt*
 stmt = block
-    / 'var' declarators $semi
-    / 'let' &binding_start declarators $semi
-    / 'const' !'enum' declarators $semi
+    / ('var' / 'let' / 'const') declarators SEMI
     / [ts] ts_decl
-    / 'using' $nonl &ID ID '=' assign $semi
-    / 'async' 'function' $nonl func_rest
-    / 'function' func_rest
-    / decorator* class_decl
-    / 'if' '(' expr ')' stmt else_part?
-    / 'for' for_rest
-    / 'while' '(' expr ')' stmt
-    / 'do' stmt 'while' '(' expr ')' ';'?
-    / 'return' ($nonl expr)? $semi
-    / 'break' ($nonl ID)? $semi
-    / 'continue' ($nonl ID)? $semi
-    / 'throw' $nonl expr $semi
-    / 'try' block catch_part finally_part?
-    / 'try' block finally_part
-    / 'switch' '(' expr ')' '{' switch_case* '}'
-    / 'debugger' $semi
-    / 'with' '(' expr ')' stmt
-    / 'import' !'(' !'.' import_rest
-    / decorator* 'export' export_rest
+    / 'using' ID init SEMI
+    / func_decl
+    / class_decl
+    / 'if' LPE expr ')' stmt ('else' stmt)?
+    / 'for' 'await'? LPE for_head ')' stmt
+    / 'while' LPE expr ')' stmt
+    / 'do' stmt 'while' LPE expr ')' SEMI?
+    / 'return' expr? SEMI / 'return0' SEMI
+    / ('break' / 'continue') ID? SEMI / ('break0' / 'continue0') SEMI
+    / 'throw' expr SEMI
+    / 'try' block catch finally? / 'try' block finally
+    / 'switch' LPE expr ')' '{' case* '}'
+    / 'debugger' SEMI
+    / 'with' LPE expr ')' stmt
+    / 'import' import_rest
+    / decorators? 'export' export_rest
     / ';'
-    / ID ':' stmt
-    / !'function' !'class' expr $semi
-else_part = 'else' stmt
+    / nb ID ':' stmt
+    / nb expr SEMI
 block = '{' stmt* '}'
-catch_part = 'catch' catch_param? block
-catch_param = '(' binding type_note? ')'
-finally_part = 'finally' block
-switch_case = 'case' expr ':' stmt* / 'default' ':' stmt*
-binding_start = ID / '[' / '{'
-for_rest = 'await'? '(' for_head ('of' assign / 'in' expr) ')' stmt
-    / '(' for_init? ';' expr? ';' expr? ')' stmt
-for_head = ('var' / 'const' / 'using') binding / 'let' &binding_start binding / lhs
-for_init = ('var' / 'const') declarators / 'let' &binding_start declarators / expr
-declarators = declarator (',' declarator)*
-declarator = binding [ts] '!' type_note init? / binding type_note? init?
+catch = 'catch' (LP binding type_note? ')')? block
+finally = 'finally' block
+case = 'case' expr ':' stmt* / 'default' ':' stmt*
+for_head = for_var binding ('of' assign / 'in' expr) / place 'of' assign / place 'in' expr
+    / (for_var declarators / expr)? ';' expr? ';' expr?
+for_var = 'var' / 'let' / 'const' / 'using'
+declarators = declarator / declarators ',' declarator
+declarator = binding type_note? init? / binding [ts] '!' type_note
 init = '=' assign
-binding = ID / '[' bind_items ']' / '{' bind_props '}'
-bind_items = ','* (bind_item (',' ','* bind_item)* ','*)?
+binding = ID / LB bind_items? ']' / '{' bind_props? '}'
+bind_items = bind_item / ',' / ',' bind_item / bind_items ',' / bind_items ',' bind_item
 bind_item = '...' binding / binding init?
-bind_props = (bind_prop (',' bind_prop)* ','?)?
-bind_prop = '...' binding / prop_name ':' binding init? / ID init?
+bind_props = bind_list ','? / bind_list ',' '...' ID / '...' ID
+bind_list = bind_prop / bind_list ',' bind_prop
+bind_prop = prop_name ':' binding init? / ID init?
 type_note = [ts] ':' type
 
-func_rest = '*'? ID? type_params? params return_note? (block / [ts] $semi)
-%memo params = '(' (param (',' param)* ','?)? ')'
-param = decorator* param_mod* '...' binding type_note? init?
-    / decorator* param_mod* binding [ts] '?'? type_note? init?
-    / binding init?
-    / [ts] 'this' type_note?
-param_mod = [ts] ('public' / 'private' / 'protected' / 'readonly' / 'override') &(ID / '{' / '[')
+func_decl = ('async_fn' 'function' / 'function') '*'? ID signature body
+signature = type_params? params return_note?
+body = block / [ts] SEMI
+params = LP param_list? ')'
+arrow_params = LPA param_list? ')'
+param_list = some_params ','? / some_params ',' rest_param / rest_param
+some_params = param / some_params ',' param
+param = decorators? binding init? / [ts] decorators? PARAM_MODIFIER* binding '?'? type_note? init? / [ts] 'this' type_note?
+rest_param = decorators? '...' binding type_note?
 return_note = [ts] ':' return_type
-return_type = 'asserts' $nonl (ID / 'this') ('is' type)? !'.' / (ID / 'this') 'is' $nonl type / type
+return_type = type / (ID / 'this') 'is' type / 'asserts' (ID / 'this') ('is' type)?
 
-class_decl = [ts] 'abstract' $nonl class_decl / 'class' (!'extends' !'implements' ID)? type_params? heritage* '{' member* '}'
-heritage = 'extends' lhs type_args? / [ts] 'implements' type (',' type)*
-decorator = '@' ('(' expr ')' / ID ('.' NAME)* type_args? arguments?)
+class_decl = decorators? 'class' ID? type_params? heritage? '{' member* '}' / [ts] decorators? 'abstract' 'class' ID? type_params? heritage? '{' member* '}'
+heritage = 'extends' callee / [ts] 'extends' callee '<' types GT / [ts] ('extends' callee ('<' types GT)?)? 'implements' types
+callee = inst / call / call_place / lit
+decorators = decorator+
+decorator = '@' LPE expr ')' / '@' dotted type_args? arguments?
+dotted = ID / dotted '.' NAME
 member = ';' / 'static' block
-    / decorator* mods index_sig $semi
-    / decorator* mods '*'? member_name [ts] ('?' / '!')? &method_start type_params? params return_note? (block / [ts] $semi)
-    / decorator* mods member_name [ts] ('?' / '!')? type_note? init? $semi
-    / decorator* mods '*'? member_name type_params? params return_note? (block / [ts] $semi)
-    / decorator* mods member_name type_note? init? $semi
-method_start = '(' / [ts] '<'
-mods = mod*
-mod = [ts] MODIFIER $nonl !member_stop / [!ts] ('static' / 'async' / 'get' / 'set' / 'accessor') $nonl !member_stop
-member_stop = '(' / '=' / ';' / '}' / ':' / '?' / '!' / '<' / ','
-index_sig = [ts] '[' ID ':' type ']' type_note
+    / pre? '*'? member_name signature body
+    / pre? member_name type_note? init? SEMI
+    / [ts] pre? index_sig SEMI
+    / [ts] pre? member_name ('?' / '!') type_note? init? SEMI
+    / [ts] pre? member_name '?' signature body
+pre = pre_item / pre pre_item
+pre_item = decorator / [ts] MODIFIER / [!ts] PLAIN_MODIFIER
+index_sig = LB ID ':' type ']' type_note
 member_name = '#' NAME / prop_name
-prop_name = NAME / 'STR' / 'NUM' / '[' assign ']'
+prop_name = NAME / STR / NUM / LB assign ']'
 
-import_rest = 'STR' import_attr? $semi
-    / [ts] 'type' ID '=' import_equals $semi
-    / [ts] ID '=' import_equals $semi
-    / [ts] 'type' import_clause 'from' 'STR' import_attr? $semi
-    / import_clause 'from' 'STR' import_attr? $semi
-import_equals = 'require' '(' 'STR' ')' / ID ('.' NAME)*
-import_clause = import_ns / named / ID (',' (import_ns / named))?
+import_rest = STR import_attr? SEMI
+    / import_clause 'from' STR import_attr? SEMI
+    / [ts] 'type' import_clause 'from' STR import_attr? SEMI
+    / [ts] 'type'? ID '=' import_equals SEMI
+import_equals = 'require' LPE STR ')' / dotted
+import_clause = import_ns / named / ID / ID ',' import_ns / ID ',' named
 import_ns = '*' 'as' ID
-import_attr = ('with' / 'assert' $nonl) object
-named = '{' (spec (',' spec)* ','?)? '}'
-spec = [ts] 'type' mod_name 'as' mod_name &spec_stop / [ts] 'type' mod_name &spec_stop / mod_name 'as' mod_name / mod_name
-spec_stop = ',' / '}'
-mod_name = NAME / 'STR'
-export_rest = 'default' ('async' 'function' func_rest / 'function' func_rest / decorator* class_decl / [ts] 'interface' interface_rest / assign $semi)
-    / '*' ('as' mod_name)? 'from' 'STR' import_attr? $semi
-    / [ts] 'type' '*' ('as' mod_name)? 'from' 'STR' $semi
-    / [ts] 'type' named ('from' 'STR')? $semi
-    / named ('from' 'STR' import_attr?)? $semi
-    / [ts] '=' expr $semi
-    / [ts] 'as' 'namespace' ID $semi
+import_attr = ('with' / 'assert') object
+named = '{' (specs ','?)? '}'
+specs = spec / specs ',' spec
+spec = mod_name ('as' mod_name)? / [ts] 'type' mod_name ('as' mod_name)?
+mod_name = NAME / STR
+export_rest = 'default' (('async_fn' 'function' / 'function') '*'? ID? signature body / class_decl / nf assign SEMI)
+    / [ts] 'default' 'interface' interface_rest
+    / '*' ('as' mod_name)? 'from' STR import_attr? SEMI
+    / named ('from' STR import_attr?)? SEMI
+    / [ts] 'type' '*' ('as' mod_name)? 'from' STR SEMI
+    / [ts] 'type' named ('from' STR)? SEMI
+    / [ts] '=' expr SEMI
+    / [ts] 'as' 'namespace' ID SEMI
     / [ts] 'import' import_rest
-    / 'var' declarators $semi / 'let' declarators $semi / [ts] ts_decl / 'const' declarators $semi
-    / 'async' 'function' func_rest / 'function' func_rest / decorator* class_decl
+    / [ts] ts_decl
+    / ('var' / 'let' / 'const') declarators SEMI
+    / func_decl / class_decl
 
-ts_decl = 'interface' $nonl interface_rest
-    / 'type' $nonl ID type_params? '=' type $semi
-    / 'const'? 'enum' ID '{' (enum_member (',' enum_member)* ','?)? '}'
-    / ('namespace' / 'module') $nonl ID ('.' ID)* block
-    / 'module' $nonl 'STR' (block / $semi)
-    / 'abstract' $nonl class_decl
-    / 'declare' $nonl 'global' block
-    / 'declare' $nonl (ts_decl / 'var' declarators $semi / 'let' declarators $semi / 'const' declarators $semi / 'async'? 'function' func_rest / class_decl)
-interface_rest = ID type_params? ('extends' type (',' type)*)? object_type
+ts_decl = 'interface' interface_rest
+    / 'type' ID type_params? '=' type SEMI
+    / 'const'? 'enum' ID '{' (enum_members ','?)? '}'
+    / ('namespace' / 'module') dotted block
+    / 'module' STR (block / SEMI)
+    / 'global' block
+    / 'declare' (ts_decl / ('var' / 'let' / 'const') declarators SEMI / func_decl / class_decl)
+interface_rest = ID type_params? ('extends' types)? object_type
+enum_members = enum_member / enum_members ',' enum_member
 enum_member = prop_name init?
 
-expr = assign (',' assign)*
-assign = arrow / 'yield' yield_rest / cond assign_rest?
-assign_rest = ASSIGN assign / '>' $adj '>' $adj '=' assign / '>' $adj '>' $adj '>' $adj '=' assign
-yield_rest = $nonl '*'? assign / &yield_stop
-yield_stop = ')' / ']' / '}' / ',' / ';' / ':' / 'EOF' / $nl
-%memo arrow = 'async' $nonl ID '=>' arrow_body
-    / ID $nonl '=>' arrow_body
-    / 'async' $nonl &paren_arrow params return_note? '=>' arrow_body
-    / &paren_arrow params return_note? '=>' arrow_body
+expr = assign / expr ',' assign
+assign = cond / arrow
+    / 'yield' / 'yield' assign / 'yield' '*' assign / 'yield0'
+    / place ASSIGN assign / place '>+' '>+' '=' assign / place '>+' '>+' '>+' '=' assign
+arrow = 'async'? ID '=>' arrow_body
+    / 'async'? arrow_params return_note? '=>' arrow_body
     / [ts] 'async'? type_params params return_note? '=>' arrow_body
-paren_arrow = $arrow '('
-arrow_body = block / !'{' assign
-cond = binary ('?' assign ':' assign / '?' cond assign_rest? ':' assign)?
-binary = unary binary_rest*
-binary_rest = BINARY unary / '>' $adj '=' unary / shift unary / [ts] 'as' $nonl as_type / [ts] 'satisfies' $nonl type
-shift = '>' $adj '>' $adj '>' !assign_tail / '>' $adj '>' !assign_tail / '>' !assign_tail
-assign_tail = $adj '=' / $adj '>'
-as_type = 'const' / type
-unary = PREFIX unary / 'await' unary_await / [ts] [!jsx] '<' type '>' unary / postfix
-unary_await = &await_operand unary
-await_operand = STARTS / '(' / 'TPL' / 'TPL_HEAD'
-postfix = lhs ($nonl ('++' / '--'))?
-lhs = 'new' new_rest tail* / primary tail*
-new_rest = '.' 'target' / new_callee type_args? arguments?
-new_callee = 'new' new_rest / primary new_tail*
-new_tail = '.' '#'? NAME / '[' expr ']' / template
-tail = '.' '#'? NAME / '?.' optional_tail / '[' expr ']' / arguments / template / [ts] '!' !'=' / [ts] type_args &call_follow
-optional_tail = '(' args ')' / '[' expr ']' / '#'? NAME / [ts] type_args arguments / template
-call_follow = '(' / 'TPL' / 'TPL_HEAD' / $nl / !STARTS
-arguments = '(' args ')'
-args = (arg (',' arg)* ','?)?
+arrow_body = block / no assign
+cond = logic / coalesce / (logic / coalesce) '?' assign ':' assign
+logic = binary / logic ('&&' / '||') binary
+coalesce = binary '??' binary / coalesce '??' binary
+binary = unary / binary BINARY unary / binary '>+' '=' unary / binary '>+' GT unary / binary '>+' '>+' '>' unary
+    / '#' NAME 'in' unary
+    / [ts] binary 'as' ('const' / type) / [ts] binary 'satisfies' type
+unary = postfix / postfix '**' unary / PREFIX unary / STEP place / [ts] [!jsx] '<' type GT unary
+postfix = inst / call / call_place / lit / bare_new / place ('++' / '--')
+place = inst / call_place
+# inst: members of primaries and of new with arguments; call: calls; call_place: members of calls
+inst = ID / 'this' / 'super' / object / LB elements? ']' / LPE expr ')' / 'new' '.' 'target' / 'import' '.' 'meta'
+    / (inst / lit) '.' member_ref / (inst / lit) LB expr ']' / (inst / lit) template
+    / 'new' (inst / lit) arguments
+    / [ts] (inst / lit) '!' / [ts] inst type_args
+call = (inst / lit / call / call_place) arguments / (inst / lit / call / call_place) '?.' optional
+    / (call / call_place) template / 'import' arguments
+    / [ts] call type_args / [ts] call_place type_args
+call_place = (call / call_place) '.' member_ref / (call / call_place) LB expr ']' / [ts] (call / call_place) '!'
+bare_new = 'new' (inst / lit / bare_new)
+member_ref = NAME / '#' NAME
+optional = arguments / LB expr ']' / member_ref / template / [ts] type_args arguments
+lit = LITERAL / template_parts / ('async_fn' 'function' / 'function') '*'? ID? type_params? params return_note? block
+    / class_decl / [jsx] jsx
+template = TPL / template_parts
+template_parts = TPL_HEAD expr (TPL_MID expr)* TPL_TAIL
+arguments = LPE (args ','?)? ')'
+args = arg / args ',' arg
 arg = '...' assign / assign
-primary = LITERAL / ID / 'NUM' / template / '(' expr ')' / '[' elements ']' / object
-    / 'async' $nonl 'function' func_expr / 'function' func_expr / decorator* class_decl
-    / 'import' ('(' args ')' / '.' 'meta')
-    / '#' NAME &'in'
-    / [jsx] jsx
-func_expr = '*'? ID? type_params? params return_note? block
-elements = ','* (arg (',' ','* arg)* ','*)?
-object = '{' (prop (',' prop)* ','?)? '}'
-prop = '...' assign / prop_mods '*'? prop_name type_params? params return_note? block / prop_name ':' assign / ID init?
-prop_mods = (('get' / 'set' / 'async') $nonl !prop_stop)*
-prop_stop = '(' / ':' / ',' / '}' / '=' / '<'
-template = 'TPL' / 'TPL_HEAD' expr ('TPL_MID' expr)* 'TPL_TAIL'
-jsx = 'J<' jsx_open
-jsx_open = 'J>' jsx_child* 'J</' 'J>' / jsx_name type_args? jsx_attr* ('J/>' / 'J>' jsx_child* 'J</' jsx_name 'J>')
-jsx_name = 'J_ID' (('.' / ':') 'J_ID')*
-jsx_attr = 'J{' '...' assign 'J}' / 'J_ID' (':' 'J_ID')? ('J=' ('J_STR' / 'J{' assign 'J}' / jsx))?
-jsx_child = 'J_TEXT' / jsx / 'J{' '...' expr 'J}' / 'J{' expr? 'J}'
+elements = arg / ',' / ',' arg / elements ',' / elements ',' arg
+object = '{' (props ','?)? '}'
+props = prop / props ',' prop
+prop = '...' assign / ('get' / 'set' / 'async')? '*'? prop_name type_params? params return_note? block / prop_name ':' assign / ID init? / ('await' / 'yield')
+type_args = '<G' types GT
+
+jsx = 'J<' 'J>' child* 'J</' 'J>' / 'J<' jsx_name attr* ('J/>' / 'J>' child* 'J</' jsx_name 'J>')
+jsx_name = J_ID / jsx_name ('.' / ':') J_ID
+attr = 'J{' '...' assign 'J}' / J_ID (':' J_ID)? ('J=' (J_STR / 'J{' assign 'J}' / jsx))?
+child = J_TEXT / jsx / 'J{' '...' expr 'J}' / 'J{' expr? 'J}'
 
-type_params = [ts] '<' type_param (',' type_param)* ','? '>'
+type_params = [ts] LT type_param_list ','? GT
+type_param_list = type_param / type_param_list ',' type_param
 type_param = ('const' / 'in' / 'out')* ID ('extends' type)? ('=' type)?
-type_args = [ts] '<' type (',' type)* ','? '>'
-%memo type = fn_type / union_type ('extends' $nonl no_cond '?' type ':' type)?
-no_cond = fn_type / union_type
-fn_type = type_params params '=>' return_type / &paren_arrow params '=>' return_type / 'abstract'? 'new' type_params? params '=>' type
-union_type = '|'? inter_type ('|' inter_type)*
-inter_type = '&'? oper_type ('&' oper_type)*
-oper_type = ('keyof' / 'unique' / 'readonly') &type_start oper_type / 'infer' ID ('extends' no_cond !'?')? / array_type
-type_start = ID / '{' / '[' / '(' / 'typeof' / 'STR' / 'this' / 'new' / 'TPL' / 'import'
-array_type = base_type ($nonl '[' type? ']')*
-base_type = '(' type ')' / fn_type
-    / 'typeof' ('import' '(' type ')' ('.' NAME)* / (ID / 'this') ('.' '#'? NAME)*) ($nonl type_args)?
-    / 'import' '(' type (',' object)? ')' ('.' NAME)* type_args?
-    / '-'? 'NUM' / 'STR' / LOOSE
-    / type_template / mapped / object_type
-    / '[' (tuple_item (',' tuple_item)* ','?)? ']'
-    / ID ('.' NAME)* ($nonl type_args)?
-type_template = 'TPL' / 'TPL_HEAD' type ('TPL_MID' type)* 'TPL_TAIL'
+types = type / types ',' type
+type = simple_type / simple_type 'extends' simple_type '?' type ':' type
+simple_type = fn_type / union
+fn_type = type_params params '=>' return_type / arrow_params '=>' return_type / 'abstract'? 'new' type_params? params '=>' type
+union = '|'? inter / union '|' inter
+inter = '&'? prefix_type / inter '&' prefix_type
+prefix_type = ('keyof' / 'unique' / 'readonly') prefix_type / 'infer' ID ('extends' simple_type)? / array_type
+array_type = base_type / array_type '[' type? ']'
+base_type = LP type ')' / LOOSE / '-' NUM / type_template / mapped / object_type
+    / LB (tuple ','?)? ']'
+    / type_name (LT types GT)?
+    / 'typeof' (type_name / 'this' ('.' member_ref)* / type_name '.' '#' NAME) (LT types GT)?
+    / 'typeof'? 'import' LPE type (',' object)? ')' ('.' NAME)* (LT types GT)?
+type_name = ID / type_name '.' NAME
+type_template = TPL_HEAD type (TPL_MID type)* TPL_TAIL
+tuple = tuple_item / tuple ',' tuple_item
 tuple_item = '...'? NAME '?'? ':' type / '...' type / type '?'?
-mapped = '{' (('+' / '-')? 'readonly')? '[' ID 'in' type ('as' type)? ']' (('+' / '-')? '?')? type_note? ';'? '}'
+mapped = '{' (('+' / '-')? 'readonly')? LB ID 'in' type ('as' type)? ']' (('+' / '-')? '?')? type_note? (SEMI / ',')? '}'
 object_type = '{' type_member* '}'
-type_member = type_sig (',' / $semi)
-type_sig = type_params? params return_note?
-    / 'new' type_params? params return_note?
-    / ('readonly' &index_start)? index_sig
-    / ('get' / 'set') !sig_stop prop_name params return_note?
-    / ('readonly' !sig_stop)? prop_name '?'? type_params? params return_note?
-    / ('readonly' !sig_stop)? prop_name '?'? type_note?
-index_start = '['
-sig_stop = '(' / ':' / '?' / ';' / ',' / '}' / '<'
+type_member = type_sig (',' / SEMI)
+type_sig = signature / 'new' signature
+    / 'readonly'? index_sig
+    / ('get' / 'set') prop_name params return_note?
+    / 'readonly'? prop_name '?'? (signature / type_note)?
 """

@@ -1,11 +1,11 @@
 """Grammar of JSON; the flag loose allows the trailing commas of configuration files."""
 
-CLASSES: dict = {}
 TEXT = """
-text = value $eof
-value = STR / NUM / 'true' / 'false' / 'null' / object / array
-object = '{' (pair (',' pair)* trailing?)? '}'
-array = '[' (value (',' value)* trailing?)? ']'
+start = value
+value = STR / NUM / 'true' / 'false' / 'null'
+    / '{' (pairs trailing?)? '}' / '[' (values trailing?)? ']'
+pairs = pair / pairs ',' pair
+values = value / values ',' value
 pair = STR ':' value
 trailing = [loose] ','
 """

@@ -7,102 +7,141 @@ CLASSES = {
     "AUG": frozenset(("+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**=")),
     "COMPARE": frozenset(("==", "!=", "<", "<=", ">", ">=", "in", "is")),
     "ARITH": frozenset(("+", "-", "*", "/", "//", "%", "@", "&", "|", "^", "<<", ">>")),
+    "SIGN": frozenset(("+", "-", "~")),
     "CONST": frozenset(("NUM", "None", "True", "False", "...")),
-    "TAIL": frozenset(("(", "[", ".")),
+    "DOTS": frozenset((".", "...")),
 }
 
-TEXT = """
-file = (line / NEWLINE)* $eof
-line = compound / simple_line
-simple_line = simple (';' simple)* ';'? NEWLINE
+#: The order of parameters is a chain of states: p and c before "/", without and with defaults.
+_PARAMS = """
+{p}params = {p}n {p}cn? / {p}d {p}cd? / {p}star
+{p}cn = ',' {p}params? / ',' '/' {p}sn?
+{p}sn = ',' {p}after?
+{p}after = {p}n {p}sn? / {p}d {p}sd? / {p}star
+{p}cd = ',' ({p}d {p}cd? / {p}star)? / ',' '/' {p}sd?
+{p}sd = ',' ({p}d {p}sd? / {p}star)?
+{p}star = '*' NAME {star} {p}ck? / '*' ',' {p}kw {p}ck? / '**' {p}n ','?
+{p}ck = ',' ({p}kw {p}ck? / '**' {p}n ','?)?
+{p}kw = {p}n / {p}d
+{p}n = NAME {note}
+{p}d = NAME {note} '=' expr
+"""
+
+TEXT = (
+    """
+start = line*
+line = simple_line / compound / NEWLINE
+simple_line = simples ';'? NEWLINE
+simples = simple / simples ';' simple
 block = NEWLINE INDENT line+ DEDENT / simple_line
 
 simple = 'pass' / 'break' / 'continue'
     / 'return' star_exprs?
     / 'import' dotted_as (',' dotted_as)*
-    / 'from' ('.' / '...')* 'import' import_names
-    / 'from' ('.' / '...')* dotted 'import' import_names
+    / 'from' DOTS* dotted 'import' names / 'from' DOTS+ 'import' names
     / 'global' NAME (',' NAME)* / 'nonlocal' NAME (',' NAME)*
-    / 'del' del_targets &del_stop
+    / 'del' dels ','?
     / 'assert' expr (',' expr)?
     / 'raise' (expr ('from' expr)?)?
     / 'type' NAME type_params? '=' expr
-    / assignment
-    / star_exprs !'=' !AUG !':'
-    / yield_expr
-del_stop = ';' / NEWLINE
-import_names = '*' / '(' as_name (',' as_name)* ','? ')' / as_name (',' as_name)*
+    / star_exprs / yield_expr
+    / (targets '=')+ value
+    / single ':' expr ('=' value)?
+    / single AUG value
+names = '*' / as_names / '(' as_names ','? ')'
+as_names = as_name / as_names ',' as_name
 as_name = NAME ('as' NAME)?
-dotted = NAME ('.' NAME)*
+dotted = NAME / dotted '.' NAME
 dotted_as = dotted ('as' NAME)?
-assignment = ann_target ':' expr ('=' ann_value)?
-    / (targets '=')+ ann_value !'=' !AUG
-    / single_target AUG ann_value
-ann_value = yield_expr / star_exprs
-ann_target = NAME !TAIL / place / '(' single_target ')'
-single_target = place / NAME !TAIL / '(' single_target ')'
-targets = target (',' target)* ','?
-target = '*' target / place / NAME !TAIL / '(' targets? ')' !TAIL / '[' targets? ']' !TAIL
-place = atom (tail &TAIL)* ('.' NAME / '[' slices ']') !TAIL
-del_targets = del_target (',' del_target)* ','?
-del_target = place / NAME !TAIL / '(' del_targets? ')' !TAIL / '[' del_targets? ']' !TAIL
+value = yield_expr / star_exprs
+place = NAME / primary '.' NAME / primary '[' slices ','? ']'
+single = place / '(' single ')'
+target = single / '(' target2 ')' / '(' ')' / '[' targets? ']'
+target1 = target / '*' target
+target2 = target1 ',' / target1 (',' target1)+ ','?
+targets = target1 / target2
+dels = del / dels ',' del
+del = place / '(' (dels ','?)? ')' / '[' (dels ','?)? ']'
 
-compound = decorator* ('async'? 'def' NAME type_params? '(' params? ')' ('->' expr)? ':' block / 'class' NAME type_params? ('(' args ')')? ':' block)
-    / 'if' named ':' block ('elif' named ':' block)* ('else' ':' block)?
-    / 'while' named ':' block ('else' ':' block)?
-    / 'async'? 'for' targets 'in' star_exprs ':' block ('else' ':' block)?
-    / 'async'? 'with' with_items ':' block
-    / 'try' ':' block (except_part+ ('else' ':' block)? ('finally' ':' block)? / 'finally' ':' block)
-    / 'match' star_named ':' NEWLINE INDENT case_block+ DEDENT
+compound = decorator* 'async'? 'def' NAME type_params? '(' params? ')' ('->' expr)? ':' block
+    / decorator* 'class' NAME type_params? ('(' args? ')')? ':' block
+    / 'if' named ':' block elifs? else?
+    / 'while' named ':' block else?
+    / 'async'? 'for' targets 'in' star_exprs ':' block else?
+    / 'async'? 'with' withs ':' block / 'async'? 'with' '(' with_as ','? ')' ':' block
+    / 'try' ':' block 'finally' ':' block
+    / 'try' ':' block excepts else? finally?
+    / 'match' subject ':' NEWLINE INDENT case_block+ DEDENT
 decorator = '@' named NEWLINE
-with_items = '(' with_item (',' with_item)* ','? ')' &':' / with_item (',' with_item)*
-with_item = expr ('as' target)?
-except_part = 'except' '*'? (expr ((',' expr)+ / 'as' NAME)?)? ':' block
+elifs = elif / elifs elif
+elif = 'elif' named ':' block
+else = 'else' ':' block
+finally = 'finally' ':' block
+excepts = typed+ / typed+ bare / bare / grouped+
+typed = 'except' expr ('as' NAME)? ':' block
+bare = 'except' ':' block
+grouped = 'except' '*' expr ('as' NAME)? ':' block
+withs = with / withs ',' with
+with = expr / with1
+with1 = expr 'as' target
+with_plain = expr / with_plain ',' expr
+with_as = with1 / with_plain ',' with1 / with_as ',' with
+subject = named / star_named2
 type_params = '[' type_param (',' type_param)* ','? ']'
-type_param = ('*' / '**')? NAME (':' expr)? ('=' star_expr)?
-params = param (',' param)* ','?
-param = '/' / '**' NAME (':' expr)? / '*' (NAME (':' star_expr)?)? / NAME (':' expr)? ('=' expr)?
-lambda_params = lambda_param (',' lambda_param)* ','?
-lambda_param = '/' / '**' NAME / '*' NAME? / NAME ('=' expr)?
-
+type_param = NAME (':' expr)? ('=' expr)? / '*' NAME ('=' star_expr)? / '**' NAME ('=' expr)?
+"""
+    + _PARAMS.format(p="", note="(':' expr)?", star="(':' star_expr)?")
+    + _PARAMS.format(p="l", note="", star="")
+    + """
 case_block = 'case' patterns ('if' named)? ':' block
-patterns = star_pattern (',' star_pattern)* ','?
+patterns = pattern / pattern2 / '*' NAME ','? / '*' NAME (',' star_pattern)+ ','?
+pattern2 = pattern ',' / pattern (',' star_pattern)+ ','?
 star_pattern = '*' NAME / pattern
 pattern = closed ('|' closed)* ('as' NAME)?
-closed = '-'? 'NUM' (('+' / '-') 'NUM')? / strings / 'None' / 'True' / 'False'
+closed = literal / dotted
     / '(' patterns? ')' / '[' patterns? ']'
-    / '{' (map_item (',' map_item)* ','?)? '}'
-    / NAME ('.' NAME)* ('(' (pattern_arg (',' pattern_arg)* ','?)? ')')?
-map_item = '**' NAME / (strings / '-'? 'NUM' / 'None' / 'True' / 'False' / NAME ('.' NAME)*) ':' pattern
-pattern_arg = NAME '=' pattern / pattern
+    / '{' (map_items ','?)? '}'
+    / dotted '(' pattern_args? ')'
+literal = '-'? NUM (('+' / '-') NUM)? / strings / 'None' / 'True' / 'False'
+map_items = map_item / map_items ',' map_item
+map_item = '**' NAME / literal ':' pattern / dotted ':' pattern
+pattern_args = pattern (',' pattern_args?)? / pattern_kws
+pattern_kws = NAME '=' pattern (',' pattern_kws?)?
 
-star_exprs = star_expr (',' star_expr)* ','?
+star_exprs = star_expr / star_expr ',' / star_expr (',' star_expr)+ ','?
 star_expr = '*' bit / expr
-star_named = star_named_item (',' star_named_item)* ','?
-star_named_item = '*' bit / named
-named = NAME ':=' expr / expr !':='
-yield_expr = 'yield' ('from' expr / star_exprs?)
-expr = 'lambda' lambda_params? ':' expr / disjunction ('if' disjunction 'else' expr)?
-disjunction = inversion (('and' / 'or') inversion)*
+star_named = '*' bit / named
+star_named2 = star_named ',' / star_named (',' star_named)+ ','?
+named = NAME ':=' expr / expr
+yield_expr = 'yield' / 'yield' star_exprs / 'yield' 'from' expr
+expr = either / either 'if' either 'else' expr / 'lambda' lparams? ':' expr
+either = inversion / either ('and' / 'or') inversion
 inversion = 'not' inversion / comparison
-comparison = bit ((COMPARE / 'not' 'in') 'not'? bit)*
-bit = factor (ARITH factor)*
-factor = ('+' / '-' / '~') factor / power
-power = 'await'? primary ('**' factor)?
-%memo primary = atom tail*
-tail = '.' NAME / '(' args ')' / '[' slices ']'
-args = (arg (',' arg)* ','?)?
-arg = '*' expr / '**' expr / NAME '=' expr / named comp_for? !'='
-slices = slice (',' slice)* ','?
-slice = expr? ':' expr? (':' expr?)? / '*' bit / named
-%memo atom = NAME / CONST / strings
-    / '(' (yield_expr / star_named_item (comp_for / (',' star_named_item)* ','?)?)? ')'
-    / '[' (star_named_item (comp_for / (',' star_named_item)* ','?)?)? ']'
-    / '{' (dict_item (comp_for / (',' dict_item)* ','?)? / star_named_item (comp_for / (',' star_named_item)* ','?)?)? '}'
-dict_item = '**' bit / expr ':' expr
-comp_for = ('async'? 'for' targets 'in' disjunction ('if' cond_or)*)+
-cond_or = NAME ':=' expr / disjunction
-strings = (STR / fstring)+
-fstring = FS field* FE
-field = 'F{' (yield_expr / star_exprs) '='? ('F!' NAME)? ('F:' field*)? 'F}'
+comparison = bit / comparison COMPARE bit / comparison 'not' 'in' bit / comparison 'is' 'not' bit
+bit = factor / bit ARITH factor
+factor = SIGN factor / power
+power = awaited / awaited '**' factor
+awaited = 'await' primary / primary
+primary = atom / primary '.' NAME / primary '(' args? ')' / primary '(' named comp_for ')' / primary '[' slices ','? ']'
+args = arg_pos (',' args?)? / arg_key (',' keys?)? / arg_all (',' alls?)?
+keys = arg_key (',' keys?)? / '*' expr (',' keys?)? / arg_all (',' alls?)?
+alls = arg_key (',' alls?)? / arg_all (',' alls?)?
+arg_pos = '*' expr / named
+arg_key = NAME '=' expr
+arg_all = '**' expr
+slices = slice / slices ',' slice
+slice = expr? ':' expr? / expr? ':' expr? ':' expr? / '*' bit / named
+atom = NAME / CONST / strings
+    / '(' ')' / '(' yield_expr ')' / '(' named ')' / '(' named comp_for ')' / '(' star_named2 ')'
+    / '[' ']' / '[' star_named ']' / '[' named comp_for ']' / '[' star_named2 ']'
+    / '{' '}' / '{' pairs ','? '}' / '{' expr ':' expr comp_for '}'
+    / '{' star_named '}' / '{' named comp_for '}' / '{' star_named2 '}'
+pairs = pair / pairs ',' pair
+pair = '**' bit / expr ':' expr
+comp_for = comp / comp_for comp
+comp = 'async'? 'for' targets 'in' either ('if' either)*
+strings = string / strings string
+string = STR / FS field* FE
+field = 'F{' value '='? ('F!' NAME)? ('F:' field*)? 'F}'
 """
+)

@@ -1,4 +1,4 @@
-"""Token streams for the chart recogniser: ECMAScript with JSX, Python 3 and JSON."""
+"""Token streams for the table-driven parser: ECMAScript with JSX, Python 3 and JSON."""
 
 from __future__ import annotations
 
@@ -8,7 +8,12 @@ from sievework.llm.grammars import ecma, python3
 
 
 class LexError(Exception):
-    """A character sequence that is no token, at ``args[0]``; ``args[1]`` says what."""
+    """A character sequence that is no token, at ``args[0]``; ``args[1]`` says what.
+
+    ``tokens`` holds the (kinds, offsets, may) of what came before it.
+    """
+
+    tokens: tuple[list, list, list | None] = ([], [], None)
 
 
 _WS = r"((?:[\s﻿]++|//[^\n\r  ]*+|/\*[\s\S]*?\*/)*+)"
@@ -28,20 +33,72 @@ _OPERAND = ecma.ID | frozenset(("NUM", "STR", "REGEX", "TPL", "TPL_TAIL", ")", "
 _WORDS = {w: w for w in ecma.RESERVED | ecma.CONTEXTUAL}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 #: Punctuators that need no further look.
-_PLAIN = frozenset("... => === !== **= && || ?? &&= ||= ??= <<= == != <= ?. ++ -- += -= *= %= &= |= ^= << ** ; , > + - * % & | ^ ! ~ ? : = . @ #".split())
+_PLAIN = frozenset("... => === !== **= && || ?? &&= ||= ??= <<= == != <= ?. += -= *= %= &= |= ^= << ** ; , + - * % & | ^ ~ ? : = . @ #".split())
 _HEADS = frozenset(("if", "while", "for", "with"))
+#: Tokens that a line break before them, or after them, makes another kind of.
+_NL_BEFORE = frozenset(("[", "++", "--", "!"))
+_NL_AFTER = frozenset(("return", "break", "continue", "throw", "yield"))
+#: What the list of type arguments of an expression can hold, and what can follow it.
+_IN_TYPES = ecma.ID | frozenset(". , | & [ nl[ ] { } : ; ? => ( (A (C ) STR NUM typeof import extends null true false this void new - TPL in ...".split())
+_OPERANDS = ecma.ID | frozenset("NUM STR REGEX null true false this super [ nl[ { + - ! nl! ~ typeof void delete ++ -- nl++ nl-- new function class import # < @ J<".split()) - {"as", "satisfies", "of", "is"}
 
 
-def ecma_tokens(text: str, jsx: bool) -> tuple[list, list, list, list, list]:
-    """Kinds, new line before, adjacent to the last, index of the matching bracket, offsets."""
+def ecma_tokens(text: str, dialect: str) -> tuple[list, list, list]:
+    """Kinds, offsets, and before which tokens a semicolon may be put.
+
+    Kinds tell what one token of lookahead can't: ``(A`` is closed before an arrow, ``(C`` before a colon,
+    ``<G`` opens type arguments of an expression, ``>+`` touches a following > or =, ``nl[`` follows a line
+    break, ``return0`` precedes one.
+    """
     kinds: list[str] = []
     nl: list[bool] = []
     at: list[int] = []
-    ends: list[int] = []
     closes: list[tuple[int, int]] = []
+    less: list[int] = []
     stack: list[tuple] = []
+    try:
+        _ecma_tokens(text, dialect, kinds, nl, at, closes, less, stack)
+    except LexError as e:
+        for top in stack:
+            if top[0] == "(":
+                kinds[top[1]] = "(C"
+        e.tokens = _ecma_kinds(kinds, nl, at, closes, less)
+        raise
+    kinds.append("EOF")
+    nl.append(True)
+    at.append(len(text))
+    return _ecma_kinds(kinds, nl, at, closes, less)
+
+
+def _ecma_kinds(kinds: list, nl: list, at: list, closes: list, less: list) -> tuple[list, list, list]:
+    """Marks what depends on later tokens."""
+    last = len(kinds) - 1
+    for a, b in closes:
+        if b < last and kinds[a] == "(":
+            if (k := kinds[b + 1]) == "=>":
+                kinds[a] = "(A"
+            elif k == ":":
+                kinds[a] = "(C"
+    for i in less:
+        depth, j = 1, i + 1
+        while depth and j < last:
+            k = kinds[j]
+            if k == "<":
+                depth += 1
+            elif k == ">" or k == ">+":
+                depth -= 1
+            elif k not in _IN_TYPES and k not in ("keyof", "infer"):
+                break
+            j += 1
+        if not depth and ((k := kinds[j])[0] == "(" or k in ("TPL", "TPL_HEAD") or ((nl[j] or k not in _OPERANDS) and k not in ("<", ">", "+", "-") and kinds[j - 1] != ">+")):
+            kinds[i] = "<G"
+    return kinds, at, [n or k == "}" for n, k in zip(nl, kinds)]
+
+
+def _ecma_tokens(text: str, dialect: str, kinds: list, nl: list, at: list, closes: list, less: list, stack: list) -> None:
+    jsx, typed = dialect == "tsx", dialect != "js"
     words = _WORDS.get
-    add_kind, add_nl, add_at, add_end = kinds.append, nl.append, at.append, ends.append
+    add_kind, add_nl, add_at = kinds.append, nl.append, at.append
     pos, end, prev = 0, len(text), ""
     if text.startswith("#!"):
         pos = len(re.match(r"[^\n\r]*", text)[0])
@@ -51,12 +108,10 @@ def ecma_tokens(text: str, jsx: bool) -> tuple[list, list, list, list, list]:
         add_kind(kind)
         add_nl(newline)
         add_at(start)
-        add_end(stop)
         prev, pos = kind, stop
 
     def tag_mode() -> None:
         """From inside a tag up to an expression container or the end of the tag."""
-        nonlocal stack
         while True:
             m = _TAG(text, pos)
             if not m:
@@ -147,19 +202,28 @@ def ecma_tokens(text: str, jsx: bool) -> tuple[list, list, list, list, list]:
         newline = False
         if s != pos:
             ws = m[1]
-            newline = "\n" in ws or "\r" in ws
+            newline = "\n" in ws or "\r" in ws or "\u2028" in ws or "\u2029" in ws
+            if newline and prev in _NL_AFTER:
+                kinds[-1] = prev + "0"
         if k != 5 or m[5] in _PLAIN:
-            prev = words(m[2], "ID") if k == 2 else m[5] if k == 5 else "NUM" if k == 3 else "STR"
+            if k == 2:
+                c = words(m[2], "ID")
+                if c == "function" and prev == "async" and not newline:
+                    kinds[-1] = "async_fn"
+                prev = c
+            else:
+                prev = m[5] if k == 5 else "NUM" if k == 3 else "STR"
             add_kind(prev)
             add_nl(newline)
             add_at(s)
-            add_end(e)
             pos = e
         else:
             c = m[5]
             if c in "([{":
                 stack.append((c, len(kinds), c == "(" and prev in _HEADS))
                 push(c, s, newline, e)
+                if newline and c == "[":
+                    kinds[-1] = "nl["
             elif c in ")]}":
                 if not stack:
                     raise LexError(s, f"unexpected {c}")
@@ -199,15 +263,16 @@ def ecma_tokens(text: str, jsx: bool) -> tuple[list, list, list, list, list]:
                 stack.append(("T", "J<", [], True))
                 push("J<", s, newline, e)
             else:
+                if c == "<" and typed and prev in _OPERAND:
+                    less.append(len(kinds))
                 push(c, s, newline, e)
+                if c == ">":
+                    if text[e : e + 1] in (">", "="):
+                        kinds[-1] = ">+"
+                elif newline and c in _NL_BEFORE:
+                    kinds[-1] = "nl" + c
     if stack:
         raise LexError(end, "not closed at the end")
-    for _ in range(2):
-        push("EOF", end, True, end)
-    match = list(range(len(kinds)))
-    for a, b in closes:
-        match[a] = b
-    return kinds, nl, [False, *(a == b for a, b in zip(ends, at[1:]))], match, at
 
 
 _PY_WS = re.compile(r"(?:[ \t\f]++|\\(?:\r\n|\n|\r))*+").match
@@ -226,12 +291,25 @@ _PY_BODY = {
     '"""': re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*+"""').match,
 }
 _PY_WORDS = {w: w for w in python3.KEYWORDS | python3.SOFT}
+#: The language's own bound on formatted strings within formatted strings (fixed).
+_PY_NESTED = 150
 _ZEROS = re.compile(r"0[\d_]*[1-9][\d_]*\Z").match
 
 
-def python_tokens(text: str) -> tuple[list, list, list, list, list]:
+def python_tokens(text: str) -> tuple[list, list, None]:
     kinds: list[str] = []
     at: list[int] = []
+    try:
+        _python_tokens(text, kinds, at)
+    except LexError as e:
+        e.tokens = kinds, at, None
+        raise
+    kinds.append("EOF")
+    at.append(len(text))
+    return kinds, at, None
+
+
+def _python_tokens(text: str, kinds: list, at: list) -> None:
     indents: list[tuple[int, int]] = [(0, 0)]
     stack: list[str] = []
     pos, end, start_of_line = 0, len(text), True
@@ -263,6 +341,8 @@ def python_tokens(text: str) -> tuple[list, list, list, list, list]:
             elif c == "{":
                 push("F{", p)
                 depth = len(stack)
+                if stack.count("f") == _PY_NESTED:
+                    raise LexError(p, "too many nested f-strings")
                 stack.append("f")
                 pos = p + 1
                 while True:
@@ -371,9 +451,6 @@ def python_tokens(text: str) -> tuple[list, list, list, list, list]:
         push("NEWLINE", end)
     for _ in indents[1:]:
         push("DEDENT", end)
-    for _ in range(2):
-        push("EOF", end)
-    return kinds, kinds, kinds, kinds, at
 
 
 _JSON = re.compile(
@@ -382,7 +459,7 @@ _JSON = re.compile(
 _JSONC_WS = re.compile(r"(?:[ \t\n\r]++|//[^\n\r]*+|/\*[\s\S]*?\*/)*+").match
 
 
-def json_tokens(text: str, loose: bool) -> tuple[list, list, list, list, list]:
+def json_tokens(text: str, loose: bool) -> tuple[list, list, None]:
     kinds: list[str] = []
     at: list[int] = []
     pos, end = 0, len(text)
@@ -392,12 +469,13 @@ def json_tokens(text: str, loose: bool) -> tuple[list, list, list, list, list]:
             break
         m = _JSON(text, pos)
         if not m:
-            raise LexError(pos, "no token")
+            e = LexError(pos, "no token")
+            e.tokens = kinds, at, None
+            raise e
         k = m.lastindex
         kinds.append(("STR", "NUM")[k - 2] if k < 4 else m[k])
         at.append(m.start(k))
         pos = m.end()
-    for _ in range(2):
-        kinds.append("EOF")
-        at.append(end)
-    return kinds, kinds, kinds, kinds, at
+    kinds.append("EOF")
+    at.append(end)
+    return kinds, at, None

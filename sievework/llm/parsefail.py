@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import re
-import sys
-import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.chart import Grammar, Watched
 from sievework.llm.grammars import ecma, json_text, python3
 from sievework.llm.lexers import LexError, ecma_tokens, json_tokens, python_tokens
+from sievework.llm.lr import Parser, Tables
 from sievework.session import read
 
 #: Dialect by extension.
 DIALECT = {".ts": "ts", ".tsx": "tsx", ".js": "js", ".json": "json", ".py": "py"}
 #: JSON files that may hold comments and trailing commas.
 LOOSE_JSON = frozenset(("tsconfig.json",))
-DEPTH = 60_000
+#: Text, flags and classes of each dialect's grammar.
+GRAMMARS = {
+    "ts": (ecma.TEXT, frozenset(("ts",)), ecma.CLASSES),
+    "tsx": (ecma.TEXT, frozenset(("ts", "jsx")), ecma.CLASSES),
+    "js": (ecma.TEXT, frozenset(), ecma.CLASSES),
+    "json": (json_text.TEXT, frozenset(), {}),
+    "jsonc": (json_text.TEXT, frozenset(("loose",)), {}),
+    "py": (python3.TEXT, frozenset(), python3.CLASSES),
+}
 
 
 def dialect_of(path: str | None) -> str | None:
@@ -36,80 +42,67 @@ def dialect_of(path: str | None) -> str | None:
 
 
 @lru_cache(None)
-def recogniser(dialect: str):
-    if dialect == "py":
-        return Grammar(python3.TEXT, frozenset(), python3.CLASSES, "file").compile()
-    if dialect in ("json", "jsonc"):
-        return Grammar(json_text.TEXT, frozenset(("loose",)) if dialect == "jsonc" else frozenset(), json_text.CLASSES, "text").compile()
-    flags = {"ts": ("ts",), "tsx": ("ts", "jsx"), "js": ()}[dialect]
-    return Grammar(ecma.TEXT, frozenset(flags), ecma.CLASSES, "program").compile()
+def tables(dialect: str) -> Tables:
+    return Tables(*GRAMMARS[dialect])
+
+
+@lru_cache(None)
+def own_parser(dialect: str) -> Parser:
+    return Parser(tables(dialect), "ASI" if dialect in ("ts", "tsx", "js") else None)
 
 
-def tokens(text: str, dialect: str):
+def tokens(text: str, dialect: str) -> tuple[list, list, list | None]:
     if dialect == "py":
         return python_tokens(text)
     if dialect in ("json", "jsonc"):
         return json_tokens(text, dialect == "jsonc")
-    return ecma_tokens(text, dialect == "tsx")
+    return ecma_tokens(text, dialect)
 
 
-def first_error(text: str | None, dialect: str | None) -> tuple[int, str] | None:
+def first_error(text: str | None, dialect: str | None, parser: Callable[[str], Parser] = own_parser) -> tuple[int, str] | None:
     """Offset and kind of the first error from which the parse can't go on; None for a valid text.
 
-    A null or blank text and one in no known dialect are valid; a leading byte-order mark counts
-    as white space.
+    The error is the first token that no valid text can have after what precedes it, or characters that are
+    no token. A null or blank text and one in no known dialect are valid; a leading byte-order mark counts as
+    white space. Nesting is bounded by memory only.
     """
     if text is None or dialect is None:
         return None
-    bom = text.startswith("﻿")
+    bom = text.startswith("\ufeff")
     body = text[1:] if bom else text
     if not body.strip():
         return None
+    lexical = None
     try:
-        kinds, nl, adj, match, at = tokens(body, dialect)
+        kinds, at, may = tokens(body, dialect)
     except LexError as e:
-        return e.args[0] + bom, f"token: {e.args[1]}"
-    except RecursionError:
-        return 0, "nesting: too deep"
-    run = recogniser(dialect)
-    try:
-        if run(kinds, nl, adj, match) >= 0:
-            return None
-        seen = Watched(kinds)
-        run(seen, nl, adj, match)
-        far = min(seen.far, len(at) - 1)
-    except RecursionError:
-        return 0, "nesting: too deep"
-    return at[far] + bom, f"grammar: unexpected {'end' if kinds[far] == 'EOF' else kinds[far]}"
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, path, text) to (key, line, col, error) of the files that fail, on a thread with a deep stack."""
-    for batch in batches:
-        rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-        out: list[tuple] = []
-        failed: list[BaseException] = []
-
-        def work(rows=rows, out=out, failed=failed):
-            try:
-                sys.setrecursionlimit(DEPTH)
-                for key, path, text in rows:
-                    got = first_error(text, dialect_of(path))
-                    if got:
-                        head = text[: got[0]]
-                        line = head.count("\n") + head.count("\r") - head.count("\r\n") + 1
-                        out.append((key, line, got[0] - max(head.rfind("\n"), head.rfind("\r")), got[1]))
-            except BaseException as e:
-                failed.append(e)
-
-        threading.stack_size(512 << 20)
-        t = threading.Thread(target=work)
-        t.start()
-        t.join()
-        if failed:  # else the rest of the batch would count as valid
-            raise failed[0]
-        cols = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["file_id", "line", "col", "error"])
+        lexical = e.args
+        kinds, at, may = e.tokens
+    run = parser(dialect)
+    number = run.t.kinds.get
+    i = run.parse([number(k, -1) for k in kinds], may)
+    if i >= 0 and not (lexical and at[i] >= lexical[0]):
+        return at[i] + bom, f"grammar: unexpected {'end' if kinds[i] == 'EOF' else kinds[i]}"
+    return (lexical[0] + bom, f"token: {lexical[1]}") if lexical else None
+
+
+def _parse(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, path, text) to (key, line, col, error) of the files that fail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = lru_cache(None)(lambda d: Parser(shared.value[d], "ASI" if d in ("ts", "tsx", "js") else None))
+        for batch in batches:
+            out: list[tuple] = []
+            for key, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                got = first_error(text, dialect_of(path), parser)
+                if got:
+                    head = text[: got[0]]
+                    line = head.count("\n") + head.count("\r") - head.count("\r\n") + 1
+                    out.append((key, line, got[0] - max(head.rfind("\n"), head.rfind("\r")), got[1]))
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["file_id", "line", "col", "error"])
+
+    return run
 
 
 def parse_failures(files: DataFrame, key: str = "file_id", path: str = "path", text: str = "text") -> DataFrame:
@@ -117,10 +110,11 @@ def parse_failures(files: DataFrame, key: str = "file_id", path: str = "path", t
 
     Every token of every text is parsed; no shuffle is needed. Null or blank texts, null paths and
     unknown extensions are not failures; repeated rows come out once each; an empty table gives an
-    empty result; columns beyond the three are not read. A text nested so deeply that its parse takes
-    more than DEPTH Python calls is listed as "nesting: too deep", valid or not.
+    empty result; columns beyond the three are not read. The tables are built once on the driver and
+    broadcast; their size is the grammars' (about 1 MB), whatever the data.
     """
-    return files.select(F.col(key).cast("long"), F.col(path), F.col(text)).mapInArrow(_parse, "file_id long, line int, col int, error string")
+    shared = files.sparkSession.sparkContext.broadcast({d: tables(d) for d in GRAMMARS})
+    return files.select(F.col(key).cast("long"), F.col(path), F.col(text)).mapInArrow(_parse(shared), "file_id long, line int, col int, error string")
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
