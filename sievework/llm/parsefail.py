@@ -51,12 +51,12 @@ def own_parser(dialect: str) -> Parser:
     return Parser(tables(dialect), "ASI" if dialect in ("ts", "tsx", "js") else None)
 
 
-def tokens(text: str, dialect: str) -> tuple[list, list, list | None]:
+def tokens(text: str, dialect: str, exact: bool = True) -> tuple[list, list, bytearray | None]:
     if dialect == "py":
         return python_tokens(text)
     if dialect in ("json", "jsonc"):
         return json_tokens(text, dialect == "jsonc")
-    return ecma_tokens(text, dialect)
+    return ecma_tokens(text, dialect, exact)
 
 
 def first_error(text: str | None, dialect: str | None, parser: Callable[[str], Parser] = own_parser) -> tuple[int, str] | None:
@@ -72,18 +72,23 @@ def first_error(text: str | None, dialect: str | None, parser: Callable[[str], P
     body = text[1:] if bom else text
     if not body.strip():
         return None
-    lexical = None
-    try:
-        kinds, at, may = tokens(body, dialect)
-    except LexError as e:
-        lexical = e.args
-        kinds, at, may = e.tokens
     run = parser(dialect)
     number = run.t.kinds.get
-    i = run.parse([number(k, -1) for k in kinds], may)
+    for exact in (False, True):  # offsets are only worked out where there is an error
+        lexical = None
+        try:
+            kinds, at, may = tokens(body, dialect, exact)
+        except LexError as e:
+            lexical = e.args
+            kinds, at, may = e.tokens
+            if not exact:
+                continue
+        i = run.parse([number(k, -1) for k in kinds], may)
+        if i < 0 and not lexical:
+            return None
     if i >= 0 and not (lexical and at[i] >= lexical[0]):
         return at[i] + bom, f"grammar: unexpected {'end' if kinds[i] == 'EOF' else kinds[i]}"
-    return (lexical[0] + bom, f"token: {lexical[1]}") if lexical else None
+    return lexical[0] + bom, f"token: {lexical[1]}"
 
 
 def _parse(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

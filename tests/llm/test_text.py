@@ -49,6 +49,29 @@ def test_invalid_texts_fail(dialect):
         assert parsefail.first_error(t, dialect) is not None, t
 
 
+@pytest.mark.parametrize(
+    "dialect,text,at",
+    [
+        ("js", "x = (a b);", 7), ("js", "if (a) else b", 7), ("js", "1 = 2;", 2), ("js", "a ?? b || c", 7), ("js", "let let = 1", 4), ("js", "var a = 1 var b", 10), ("js", '{\n  "a": 1\n}', 7),
+        ("ts", "interface A { a: string b: number }", 24), ("ts", "a.b(c => {\n  const = 1;\n});", 18), ("ts", "f(1;", 3), ("tsx", "let c = <p>a > b</p>;", 13),
+        ("py", "f(a=1, 2)", 7), ("py", "f(**a, b)", 8), ("py", "f(a for a in b, c)", 14), ("py", "def f(a=1, b): pass", 12), ("py", "def f(*, **k): pass", 9), ("py", "try: pass\nexcept A, b: pass", 18), ("py", "x = (1\ny = 2", 9),
+        ("json", '{"a": 1,}', 8), ("json", "[1 2]", 3), ("jsonc", "[1,,]", 3),
+    ],
+)
+def test_error_is_the_first_token_that_fits_nowhere(dialect, text, at):
+    assert parsefail.first_error(text, dialect)[0] == at
+
+
+def test_conditional_types_generics_and_soft_keywords_fork():
+    for dialect, text in (
+        ("ts", "type A<T> = T extends infer U extends string ? U : never;"),
+        ("ts", "const f = a as B | C; let z = <T>(x: T): x is Y => x; foo<A, B<C>>(x); if (a < b && c > (d)) {}"),
+        ("ts", "let a = b ? (c) : (d): e => f; async (x: A): Promise<B> => x; async(x); type = 1; type\n= 2;"),
+        ("py", "match(x)\nmatch[x]: int\nwith (a as b, c): pass\nwith (a, b): pass\nwith (a), b: pass\n(a, b.c), *d = e"),
+    ):
+        assert parsefail.first_error(text, dialect) is None, text
+
+
 def test_python_agrees_with_the_language_on_edits():
     base = "\n".join(VALID["py"])
     for cut in range(0, len(base), 7):
@@ -76,7 +99,9 @@ def test_json_agrees_with_the_library_on_edits():
 
 
 def test_deep_and_long_texts():
-    assert parsefail.first_error("[" * 4000 + "]" * 4000, "json") is None
+    assert parsefail.first_error("[" * 200_000 + "]" * 200_000, "json") is None
+    assert parsefail.first_error("[" * 200_000 + "]" * 199_999, "json") == (399_999, "grammar: unexpected end")
+    assert parsefail.first_error("x = " + "(" * 50_000 + "1" + ")" * 50_000, "ts") is None
     assert parsefail.first_error("x = " + "(" * 800 + "1" + ")" * 800 + ";" + "f(1);" * 20_000, "js") is None
 
 
