@@ -6,6 +6,8 @@ import re
 from bisect import bisect_left
 from functools import cached_property
 
+from sievework.functions.tokens import Call, Tokens
+
 _QUOTED = r"\"(?:\\.|[^\"\\])*(?:\"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|`(?:\\.|[^`\\])*(?:`|\Z)"
 _COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
 _MASKED = re.compile(f"(?P<c>{_COMMENT})|(?P<s>{_QUOTED})", re.DOTALL)
@@ -53,6 +55,19 @@ class Source:
     def breaks(self) -> list[int]:
         return [m.start() for m in re.finditer("\n", self.text)]
 
+    @cached_property
+    def starts(self) -> list[int]:
+        """Offset of each line's first character, and of the text's end."""
+        return [0, *(b + 1 for b in self.breaks), len(self.text) + 1]
+
+    @cached_property
+    def tokens(self) -> Tokens:
+        return Tokens(self.text)
+
+    @cached_property
+    def calls(self) -> list[Call]:
+        return list(self.tokens.calls())
+
     @cached_property
     def lines(self) -> list[str]:
         return self.text.split("\n")
