@@ -2,7 +2,9 @@
 
 Exact: distributed multi-select. Partitions hold sorted runs and propose the medians of what is
 still possible; their weighted median is the pivot; runs are counted three ways against it; ruled
-out ranges are cut off; this repeats per group and percentile until found.
+out ranges are cut off; this repeats per group and percentile until found. Each round answers all
+percentiles of a group in one pass over its runs. Where all that is possible fits one task the rounds
+go on inside it, over the same runs and with the same steps, so that they need no exchange.
 
 Mergeable: from the multi-select's exact order statistics of one day or partition a summary of
 evenly spaced ranks is kept; summaries combine with a rank error of at most eps times the count.
@@ -22,8 +24,8 @@ from sievework.session import Scratch, broadcast_if_small, read
 
 #: Values that one run holds at most, so no row and no task grows with a hot group.
 RUN = 32_768
-#: Remaining values per group and percentile from which they are gathered and sorted in one go.
-FINISH = 8_192
+#: Values that are still possible from which the rounds of a group go on within one task.
+TOGETHER = 8_192
 #: Rank error of a summary, as a share of its count.
 EPS = 0.005
 
@@ -61,53 +63,123 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(list(held))
 
 
-def _parts(b: pa.RecordBatch, first: int = 2) -> Iterator[tuple[int, np.ndarray, int, int]]:
-    """Row, its values, and the bounds of what lies strictly between lo and hi; a null bound is open."""
-    vals, lo, hi = (b.column(i) for i in range(first, first + 3))
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per run of (g, vals, ts): its row, q, pivot and values, and the bounds of what lies strictly between lo and hi.
+
+    A null bound is open. ``ts`` are the open targets of the run's group: (q, lo, hi, pivot).
+    """
+    vals, ts = b.column(1), b.column(2)
     arrays, off = vals.values.to_numpy(zero_copy_only=False), vals.offsets.to_numpy()
-    lo, hi = (np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in (lo, hi))
+    t = ts.values
+    q, lo, hi, pivot = (np.asarray(t.field(i).to_numpy(zero_copy_only=False), np.float64) for i in range(4))
+    at = ts.offsets.to_numpy()
     for i in range(b.num_rows):
-        x = arrays[off[i] : off[i + 1]]
-        yield i, x, 0 if np.isnan(lo[i]) else int(np.searchsorted(x, lo[i], "right")), len(x) if np.isnan(hi[i]) else int(np.searchsorted(x, hi[i], "left"))
+        x, here = arrays[off[i] : off[i + 1]], slice(at[i], at[i + 1])
+        first = np.where(np.isnan(lo[here]), 0, np.searchsorted(x, lo[here], "right"))
+        last = np.where(np.isnan(hi[here]), len(x), np.searchsorted(x, hi[here], "left"))
+        yield i, q[here], pivot[here], x, first, last
+
+
+def _rows(b: pa.RecordBatch, found: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """(row, arrays) per run to one row per target, with the run's group."""
+    at = np.repeat(np.array([i for i, *_ in found], np.int64), [len(x[0]) for _, *x in found])
+    cols = [np.concatenate(c) if c else np.empty(0) for c in (list(zip(*[x for _, *x in found])) or [()] * len(names))]
+    kinds = [np.float64 if n in ("q", "med") else np.int64 for n in names]
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array(c.astype(k)) for c, k in zip(cols, kinds)]], ["g", *names])
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, q, vals, lo, hi) to (g, q, med, n): the median of what is possible in each run, and its weight."""
+    """(g, vals, ts) to (g, q, med, n): the median of what is possible in each run, and its weight."""
     for b in batches:
-        rows = [(i, x[(p + q - 1) // 2], q - p) for i, x, p, q in _parts(b) if q > p]
-        at = pa.array([r[0] for r in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], ["g", "q", "med", "n"])
+        found = []
+        for i, q, _, x, p, r in _parts(b):
+            some = r > p
+            found.append((i, q[some], x[(p[some] + r[some] - 1) // 2], r[some] - p[some]))
+        yield _rows(b, found, ["q", "med", "n"])
 
 
-def _cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, q, vals, lo, hi) to (g, q, vals): what is not ruled out."""
+def _three_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, vals, ts) to (g, q, less, equal), less counted above lo only."""
     for b in batches:
-        rows = [(i, x[p:q]) for i, x, p, q in _parts(b) if q > p]
-        at = pa.array([r[0] for r in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["g", "q", "vals"])
+        found = []
+        for i, q, pivot, x, p, _ in _parts(b):
+            at = np.searchsorted(x, pivot, "left")
+            found.append((i, q, np.maximum(0, at - p), np.searchsorted(x, pivot, "right") - at))
+        yield _rows(b, found, ["q", "less", "equal"])
 
 
-def _three_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, q, vals, lo, hi, pivot) to (g, q, less, equal), less counted above lo only."""
+def _cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, vals, ts) to (g, q, vals): what is not ruled out."""
     for b in batches:
-        pivot = b.column(5).to_numpy(zero_copy_only=False)
-        less, equal = np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.int64)
-        for i, x, p, _ in _parts(b):
-            at = int(np.searchsorted(x, pivot[i], "left"))
-            less[i] = max(0, at - p)
-            equal[i] = np.searchsorted(x, pivot[i], "right") - at
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(less), pa.array(equal)], ["g", "q", "less", "equal"])
+        rows = [(i, q[j], x[p[j] : r[j]]) for i, q, _, x, p, r in _parts(b) for j in np.flatnonzero(r > p)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["g", "q", "vals"])
 
 
-_SLICE = "g string, q double, vals array<double>"
+def _bound(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, above: bool) -> np.ndarray:
+    """Per i the first place in v[lo[i]:hi[i]] with a value of at least (or above) x[i]."""
+    lo, hi = lo.copy(), hi.copy()
+    while (todo := np.flatnonzero(lo < hi)).size:
+        mid = (lo[todo] + hi[todo]) // 2
+        right = v[mid] <= x[todo] if above else v[mid] < x[todo]
+        lo[todo] = np.where(right, mid + 1, lo[todo])
+        hi[todo] = np.where(right, hi[todo], mid)
+    return lo
 
 
-def _gather(slices: DataFrame, by: list[str]) -> DataFrame:
-    return slices.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("vals"))).alias("all"))
+def select_among(v: np.ndarray, runs: np.ndarray, run_of: np.ndarray, target_of: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th value of each target by the rounds of the multi-select, all targets at once.
 
+    ``v`` holds sorted runs with offsets ``runs``; the pairs (``target_of``, ``run_of``) say which run belongs to which target.
+    """
+    k, value, found = k.astype(np.int64), np.full(len(k), np.nan), np.zeros(len(k), bool)
+    t, p, r = target_of, runs[run_of], runs[run_of + 1]
+    while len(t):
+        med, weight = v[(p + r - 1) // 2], r - p
+        order = np.lexsort((med, t))
+        total = np.bincount(t, weight, len(k))
+        upto = np.cumsum(weight[order]) - (np.cumsum(total) - total)[t[order]]
+        middle = order[upto * 2 >= total[t[order]]]  # the first of each target is its weighted median
+        pivot = np.full(len(k), np.nan)
+        pivot[t[middle[::-1]]] = med[middle[::-1]]
+        a = _bound(v, p, r, pivot[t], False)
+        b = _bound(v, a, r, pivot[t], True)
+        less, equal = (np.bincount(t, x, len(k)).astype(np.int64) for x in (a - p, b - a))
+        here = np.zeros(len(k), bool)
+        here[t] = True
+        hit = here & (k > less) & (k <= less + equal)
+        value[hit], found[hit] = pivot[hit], True
+        above = k > less + equal
+        k = np.where(here & above, k - less - equal, k)
+        p, r = np.where(above[t], b, p), np.where(above[t], r, a)
+        keep = ~found[t] & (r > p)
+        t, p, r = t[keep], p[keep], r[keep]
+    return value
+
+
+def _rounds_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, n, qs, ks, parts) to (g, q, value, n): the rounds of groups whose runs lie in one row."""
+    for b in batches:
+        qs, ks, parts = b.column(2), b.column(3), b.column(4)
+        nt, nr = np.diff(qs.offsets.to_numpy()), np.diff(parts.offsets.to_numpy())
+        runs = parts.values
+        v, offsets = runs.values.to_numpy(zero_copy_only=False), runs.offsets.to_numpy().astype(np.int64)
+        rows = np.repeat(np.arange(b.num_rows), nt)  # the row of each target
+        first_run, first_target = parts.offsets.to_numpy().astype(np.int64), np.arange(len(rows))
+        reps = nr[rows]
+        target_of = np.repeat(first_target, reps)
+        run_of = np.repeat(first_run[:-1][rows], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        value = select_among(v, offsets, run_of, target_of, ks.values.to_numpy(zero_copy_only=False))
+        at = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), qs.values, pa.array(value), b.column(1).take(at)], ["g", "q", "value", "n"])
 
-def _nth(k) -> F.Column:
-    return F.element_at("all", F.greatest(F.least(k, F.size("all").cast("long")), F.lit(1)).cast("int"))
+
+_FOUND = "g string, q double, value double, n long"
+
+
+def _checked(df: DataFrame, text: str = "g", per_row: int = 64) -> DataFrame:
+    """``df`` with a broadcast hint where its measured size allows."""
+    size = df.agg(F.sum(F.octet_length(text) + F.lit(per_row))).first()[0] or 0
+    return broadcast_if_small(df, size, 1)
 
 
 def make_runs(values: DataFrame, scratch: Scratch) -> DataFrame:
@@ -118,39 +190,43 @@ def make_runs(values: DataFrame, scratch: Scratch) -> DataFrame:
 def multi_select(runs: DataFrame, targets: DataFrame, scratch: Scratch, max_rounds: int = 80) -> DataFrame:
     """``(g, q, value, n)``: the value of rank k of each target (g, q, k, n), k from 1 among the n values of g.
 
-    Groups of up to FINISH values are sorted as they are; the others go through the rounds. Runs
-    stay where they lie while the bounds close in; once a quarter or less is possible the slices
-    are written, so later rounds read only these.
+    Runs of groups of up to TOGETHER values are brought together and their rounds run in place. Those of
+    larger groups stay where they lie while the bounds close in; once a quarter of the data or less is
+    possible its slices are written, so later rounds read only these.
     """
-    small = targets.filter(F.col("n") <= FINISH)
-    n_groups = targets.select("g").distinct().count()
-    few = broadcast_if_small(small.select("g").distinct(), n_groups, 64)
-    done = _gather(runs.join(few, "g"), ["g"]).join(small, "g").select("g", "q", _nth(F.col("k")).alias("value"), "n")
-    big = targets.filter(F.col("n") > FINISH)
-    state = scratch.cut(big.select("g", "q", "k", "n", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(True).alias("open"), F.lit(None).cast("double").alias("value")))
-    n_state = state.count()
-    slices, own = runs, False
-    base = None
+    ranks = F.array_sort(F.collect_list(F.struct("q", "k")))
+    groups = targets.groupBy("g").agg(F.first("n").alias("n"), ranks.alias("t")).select("g", "n", F.col("t.q").alias("qs"), F.col("t.k").alias("ks"))
+    large = _checked(targets.filter(F.col("n") > TOGETHER).select("g").distinct())
+    parts = runs.join(large, "g", "left_anti").groupBy("g").agg(F.collect_list("vals").alias("parts"))
+    done = parts.join(groups, "g").select("g", "n", "qs", "ks", "parts").mapInArrow(_rounds_within, _FOUND)
+    null = F.lit(None).cast("double")
+    state = scratch.cut(targets.filter(F.col("n") > TOGETHER).select("g", "q", "k", "n", null.alias("lo"), null.alias("hi"), F.lit(True).alias("open"), null.alias("value")))
+    data = state.groupBy("g").agg(F.first("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    slices, on = runs.join(large, "g", "left_semi"), ["g"]
     for _ in range(max_rounds):
         if not state.filter("open").head(1):
             return done.unionByName(state.select("g", "q", "value", "n"))
-        on = ["g", "q"] if own else ["g"]
-        live = broadcast_if_small(state.filter("open").select("g", "q", "lo", "hi"), n_state, 96)
-        bounded = slices.join(live, on).select("g", "q", "vals", "lo", "hi")
-        left = bounded.mapInArrow(_proposals, "g string, q double, med double, n long").groupBy("g", "q").agg(F.sum("n").alias("left"), F.expr("percentile(med, 0.5, n)").alias("pivot"))
+
+        def bounded(live: DataFrame) -> DataFrame:
+            """Each run or slice with its open targets."""
+            ts = live.groupBy(*on).agg(F.collect_list(F.struct("q", "lo", "hi", "pivot")).alias("ts"))
+            return slices.join(_checked(ts, "g", 256), on).select("g", "vals", "ts")
+
+        live = state.filter("open").select("g", "q", "lo", "hi", null.alias("pivot"))
+        left = bounded(live).mapInArrow(_proposals, "g string, q double, med double, n long").groupBy("g", "q").agg(F.sum("n").alias("left"), F.expr("percentile(med, 0.5, n)").alias("pivot"))
         # between -inf and inf any finite pivot will do
         left = scratch.cut(left.withColumn("pivot", F.when(F.isnan("pivot"), 0.0).otherwise(F.col("pivot"))))
         total = left.agg(F.sum("left")).first()[0] or 0
-        base = base or total
-        if not own and total * 4 <= base:
-            slices, own = scratch.cut(bounded.mapInArrow(_cut_off, _SLICE)), True
-            bounded = slices.join(live, ["g", "q"]).select("g", "q", "vals", "lo", "hi")
-        # little enough is left: sorted at one place, whose size is known
-        close = broadcast_if_small(left.filter(F.col("left") <= FINISH).select("g", "q"), n_state, 64)
-        rest = _gather(bounded.join(close, ["g", "q"]).mapInArrow(_cut_off, _SLICE), ["g", "q"])
-        many = left.filter(F.col("left") > FINISH).select("g", "q", "pivot")
-        counts = bounded.join(broadcast_if_small(many, n_state, 96), ["g", "q"]).mapInArrow(_three_ways, "g string, q double, less long, equal long").groupBy("g", "q").agg(F.sum("less").alias("less"), F.sum("equal").alias("equal"))
-        s = state.join(rest, ["g", "q"], "left").join(counts, ["g", "q"], "left").join(many, ["g", "q"], "left")
+        if len(on) == 1 and total * 4 <= data:
+            slices, on = scratch.cut(bounded(live).mapInArrow(_cut_off, "g string, q double, vals array<double>")), ["g", "q"]
+        # what is left fits one task: its rounds go on there
+        close = state.join(left.filter(F.col("left") <= TOGETHER).select("g", "q"), ["g", "q"]).select("g", "q", "k", "n", "lo", "hi", null.alias("pivot"))
+        rest = bounded(close).mapInArrow(_cut_off, "g string, q double, vals array<double>").groupBy("g", "q").agg(F.collect_list("vals").alias("parts"))
+        rest = rest.join(close, ["g", "q"]).select("g", "n", F.array("q").alias("qs"), F.array("k").alias("ks"), "parts")
+        rest = rest.mapInArrow(_rounds_within, _FOUND).select("g", "q", F.col("value").alias("got"))
+        many = state.select("g", "q", "lo", "hi").join(left.filter(F.col("left") > TOGETHER).select("g", "q", "pivot"), ["g", "q"])
+        counts = bounded(many).mapInArrow(_three_ways, "g string, q double, less long, equal long").groupBy("g", "q").agg(F.sum("less").alias("less"), F.sum("equal").alias("equal"))
+        s = state.join(rest, ["g", "q"], "left").join(counts, ["g", "q"], "left").join(many.select("g", "q", "pivot"), ["g", "q"], "left")
         k, less, equal = F.col("k"), F.col("less"), F.col("equal")
         below, hit = F.col("open") & (k <= less), F.col("open") & (k > less) & (k <= less + equal)
         above = F.col("open") & (k > less + equal)
@@ -159,8 +235,8 @@ def multi_select(runs: DataFrame, targets: DataFrame, scratch: Scratch, max_roun
             F.when(above, k - less - equal).otherwise(k).alias("k"),
             F.when(above, F.col("pivot")).otherwise(F.col("lo")).alias("lo"),
             F.when(below, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
-            F.when(F.col("all").isNotNull() | hit, False).otherwise(F.col("open")).alias("open"),
-            F.when(F.col("all").isNotNull(), _nth(k)).when(hit, F.col("pivot")).otherwise(F.col("value")).alias("value"),
+            F.when(F.col("got").isNotNull() | hit, False).otherwise(F.col("open")).alias("open"),
+            F.coalesce("got", F.when(hit, F.col("pivot")), "value").alias("value"),
         )
         new = scratch.cut(s)
         scratch.drop(state, left)
@@ -272,9 +348,23 @@ def p2_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine(summarize(verdicts(spark, sf_dir), ["detector_id"], "day", "latency_ms"), ["detector_id"], QS)
 
 
+def p2_combined_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the value combined from the days lies within its stated rank error, counted over all values."""
+    v = verdicts(spark, sf_dir)
+    got = combine(summarize(v, ["detector_id"], "day", "latency_ms"), ["detector_id"], QS)
+    g = got.groupBy("detector_id").agg(F.collect_list(F.struct("q", "value", "n", "max_rank_error")).alias("found"))
+    x = F.col("latency_ms") + F.lit(0.0)
+    rows = v.filter(x.isNotNull() & ~F.isnan(x) & (x != -1)).join(_checked(g, "detector_id", 256), "detector_id").select("detector_id", x.alias("x"), F.inline("found"))
+    c = rows.groupBy("detector_id", "q", "value", "n", "max_rank_error").agg(F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto"))
+    k = F.greatest(F.ceil(F.col("q") * F.col("n") - 1e-9), F.lit(1))
+    return c.select("detector_id", "q", "n", ((k > F.col("below") - F.col("max_rank_error")) & (k <= F.col("upto") + F.col("max_rank_error"))).alias("within"))
+
+
 _V = "v AS (SELECT verdict_id, unnest(x) FROM (SELECT verdict_id, min({'logged_at': logged_at, 'latency_ms': latency_ms, 'scan_id': scan_id, 'detector_id': detector_id}) AS x FROM verdict_log GROUP BY verdict_id))"
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_scan_medians": p2_scan_medians, "p2_combined_days": p2_combined_days}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_scan_medians": p2_scan_medians, "p2_combined_days": p2_combined_days, "p2_combined_error": p2_combined_error}
 ORACLE = {
+    "p2_combined_error": f"""WITH {_V} SELECT detector_id, q, count(*) AS n, true AS within FROM v, (SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS q)
+WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) AND latency_ms <> -1 AND detector_id IS NOT NULL GROUP BY detector_id, q""",
     "p2_percentiles": f"""WITH {_V}, w AS (SELECT scan_id, min(workspace) AS workspace FROM scan_series GROUP BY scan_id),
 d AS (SELECT v.*, w.workspace FROM v LEFT JOIN w USING (scan_id) WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) AND latency_ms <> -1),
 u AS (SELECT 'detector' AS dim, detector_id AS key, latency_ms AS x FROM d UNION ALL SELECT 'scan', scan_id, latency_ms FROM d UNION ALL SELECT 'workspace', workspace, latency_ms FROM d UNION ALL SELECT 'day', logged_at::DATE::VARCHAR, latency_ms FROM d),

@@ -15,7 +15,7 @@ from tests.test_kernels import labels
 
 @pytest.mark.parametrize("finish, run", [(8, 16), (8192, 32768)])
 def test_percentiles_are_exact(spark, monkeypatch, finish, run):
-    monkeypatch.setattr(percentiles, "FINISH", finish)
+    monkeypatch.setattr(percentiles, "TOGETHER", finish)
     monkeypatch.setattr(percentiles, "RUN", run)
     rnd = random.Random(1)
     data = [("a", rnd.lognormvariate(5, 2)) for _ in range(700)] + [("b", float(rnd.randrange(3))) for _ in range(300)] + [(None, 5.0), ("c", None), ("c", float("nan")), ("c", -1.0), ("d", float("inf")), ("d", 0.0), ("d", -0.0), ("", 1.0)]
@@ -32,7 +32,7 @@ def test_percentiles_are_exact(spark, monkeypatch, finish, run):
 
 
 def test_infinite_values_count_at_every_size(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "FINISH", 8)
+    monkeypatch.setattr(percentiles, "TOGETHER", 8)
     inf = float("inf")
     values = {"a": [-inf] * 30 + [float(i) for i in range(40)] + [inf] * 30, "b": [-inf] * 50 + [inf] * 50}
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(3)
