@@ -9,6 +9,7 @@ data saved as code.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -22,25 +23,37 @@ from sievework.session import Scratch, read
 MIN_REPOS = 2
 #: Characters of normalized code from which a shared file or subtree counts as third-party.
 MIN_BODY = 200
+#: Characters from which a lone literal is data and not a constant.
+MIN_DATA = 300
 #: Languages whose files can be library code; shared configuration is common and hand-written.
 CODE = frozenset((".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py"))
 LOCKS = frozenset(("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "poetry.lock", "pipfile.lock", "cargo.lock", "gemfile.lock", "bun.lock", "deno.lock"))
 
 _TOP = re.compile(r"(?:\s+|﻿|#![^\n\r]*|//[^\n\r]*|/\*[\s\S]*?\*/|#[^\n\r]*|['\"]use strict['\"];?)*")
+#: What names a tool after "by", "from" or "with": a version, a file or package name, a quoted command, or the word itself.
+_TOOL = r"(?:the )?(?!hand)(?:[\w@-]*\d[\w.-]*|[\w@-]+[./]\w\S*|[\w@]+-[\w-]+|[`'\"<]\S+|\S+ v?\d|(?:[\w-]+ ){0,3}(?:compiler|generator|tool|plugin|script|codegen))"
+_END = r"\s*(?:$|[.!;:,*/)-])"
+#: Banners of generators. A line of a comment has to be one; words inside a sentence don't count.
 _GENERATED = re.compile(
-    r"@generated\b|<auto-?generated|\bauto-?generated\b|\bcode generated by\b|\bgenerated (?:by|from|with|using)\b|\bautomatically (?:generated|created|produced|written)\b"
-    r"|\bdo not (?:edit|modify|change)\b|\b(?:edits|changes|modifications)\b[^.\n]{0,40}\b(?:lost|overwritten|discarded)\b|\bwill be overwritten\b"
-    r"|\b(?:produced|created|written|emitted) by \S+ v?\d|\b(?:output|definitions|declarations|bindings)\b[^\n]{0,24} (?:written|produced|created|emitted) by\b|\bsource: \S+\.(?:proto|idl|graphql|gql|thrift|avdl|fbs|xsd|wsdl)\b|\b(?:protoc|compiler) version v?\d",
-    re.IGNORECASE,
-)
-_LIBRARY = re.compile(
-    r"@license\s+\S+\s+v?\d|@preserve\b|\(c\) the \S+ authors|\bcopied from \S+ v?\d|\bupstream (?:at|is|:) ?\S*|\bvendored from\b|\breleased under the \S+ licen[sc]e\b|^\W*[\w@/.-]+ v?\d+\.\d+\.\d+ - ", re.IGNORECASE | re.MULTILINE
+    r"@generated\b|<auto-?generated|^[^\w\n]*(?:this (?:file|code|module) (?:is|was|has been) )?auto-?generated\b|^[^\w\n]*code generated by\b"
+    rf"|^[^\w\n]*(?:this (?:file|code|module) )?(?:(?:is|was|has been) )?(?:generated|created|produced|written|emitted) (?:by|from|with|using) {_TOOL}"
+    r"|^[^\w\n]*(?:this (?:file|code|module) )?(?:(?:is|was|has been) )?automatically (?:generated|created|produced|written)\b"
+    rf"|\bdo not (?:edit|modify|change)(?: (?:this|the) file| it)?(?: by hand| manually| directly)?{_END}"
+    r"|(?:^[^\w\n]*|[.;:] *)(?:(?:manual|hand|local|any|all|your) )?(?:edits|changes|modifications)(?: (?:to|in) this file)? (?:are|will be|get|may be) (?:lost|overwritten|discarded)\b"
+    r"|\b(?:this file|its contents?) (?:is|will be|gets) overwritten\b"
+    r"|\b\d+ (?:definitions|declarations|bindings) (?:written|produced|created|emitted) by\b|^[^\w\n]*source: \S+\.(?:proto|idl|graphql|gql|thrift|avdl|fbs|xsd|wsdl)\b|^[^\w\n]*(?:protoc|compiler) version v?\d",
+    re.IGNORECASE | re.MULTILINE,
 )
+#: Banners of libraries: name and version beside a licence, an author or where the original is; or said to be copied.
+_LIBRARY = re.compile(r"@(?:license|preserve)\s+\S+\s+v?\d|^[^\w\n]*copied from \S+ v?\d|^[^\w\n]*vendored from\b", re.IGNORECASE | re.MULTILINE)
+_VERSIONED = re.compile(r"^[^\w\n]*[\w@/.-]+ v?\d+\.\d+\.\d+(?:\s*$| - )", re.MULTILINE)
+_ORIGIN = re.compile(r"\blicen[sc]e|\(c\)|\bcopyright\b|\bupstream\b|https?://", re.IGNORECASE)
 _UMD = re.compile(r"typeof define === ['\"]function['\"] && define\.amd|typeof exports === ['\"]object['\"] && typeof module")
 _VERSION = re.compile(r"\bVERSION\s*=\s*['\"]\d+\.\d+\.\d+['\"]")
 _COMPILED = re.compile(r"Object\.defineProperty\(exports, ['\"]__esModule['\"]|^var __\w+ = \(this && this\.__\w+\)|_interopRequireDefault\(|__webpack_require__|//# sourceMappingURL=\S+\s*$", re.MULTILINE)
 #: File names that generators give.
 _SUFFIX = re.compile(r"(?:_pb2?|_pb2_grpc|\.pb|\.gen|\.g|[._]generated)\.[a-z]+$")
+_NUMBER = re.compile(r"\b(?:0[xX][\da-fA-F_]+|\d[\d_.]*(?:[eE][+-]?\d+)?)")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*")
 _STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|b?'(?:[^'\\\n]|\\.)*'")
 #: Strings, the start of a line comment, and a quotation mark whose string doesn't end on the line.
@@ -130,7 +143,7 @@ def kind_of(path: str | None, text: str | None) -> str | None:
     code = text[len(top) :]
     if _GENERATED.search(top) or _SUFFIX.search(name) or _GENERATED.search(trailing_comment(code)):
         return "generated"
-    if _LIBRARY.search(top):
+    if _LIBRARY.search(top) or (_VERSIONED.search(top) and _ORIGIN.search(top)):
         return "vendored"
     if _UMD.search(code) and _VERSION.search(code):
         return "vendored"
@@ -138,18 +151,20 @@ def kind_of(path: str | None, text: str | None) -> str | None:
         return "compiled"
     lines = [x for x in re.split(r"[\r\n]+", code) if x.strip()]
     n = sum(map(len, lines))
-    if n < 300:
-        return None
     bare = _STRING.sub("", code)
-    words = [w for w in _TOKEN.findall(bare) if w not in ("true", "false", "null", "None", "True", "False")]
-    # one literal under a name, however it is laid out
-    if len(words) <= 12 and sum(map(len, words)) < 0.1 * n:
+    words = [w for w in _TOKEN.findall(_NUMBER.sub("0", bare)) if w not in ("true", "false", "null", "None", "True", "False")]
+    # one literal under a name, however it is laid out; a short one is a constant
+    if n >= MIN_DATA and len(words) <= 12 and sum(map(len, words)) < 0.1 * n:
         return "data"
-    # few long lines with hardly any white space between many short words
-    if sum(len(x) for x in lines if len(x) > 300) > 0.8 * n and len(words) > 30 and sum(c.isspace() for c in bare) < 0.14 * len(bare):
-        return "minified"
-    masks = _masked_lines(code)
-    if len(masks) >= 16 and len(set(masks)) <= 0.17 * len(masks):
+    # long lines with hardly any white space between many short words
+    spaces = sum(c.isspace() for c in bare)
+    for long, share, least in ((300, 0.14, 30), (120, 0.08, 20)):
+        if sum(len(x) for x in lines if len(x) > long) > 0.8 * n and len(words) > least and spaces < share * len(bare) and sum(map(len, words)) < 5 * len(words):
+            return "minified"
+    # a unit of several lines, repeated with other names and numbers throughout
+    masks = Counter(_masked_lines(code))
+    often = [c for c in masks.values() if c >= 4]
+    if sum(masks.values()) >= 16 and len(often) > 1 and len(masks) <= 0.17 * sum(masks.values()):
         return "generated"
     return None
 
@@ -177,13 +192,31 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shared_subtrees(files: DataFrame, scratch: Scratch, min_repos: int = MIN_REPOS) -> DataFrame:
+def related(files: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(repo, related)`` of the repositories of which half the code or more lies in another at the same path.
+
+    Forks, mirrors and split repositories do; libraries are copied to a place of the copier's choice.
+    """
+    at = F.xxhash64("dir", "name", "body").alias("h")
+    files = files.filter("repo IS NOT NULL AND code > 0").groupBy("repo", at).agg(F.max("code").alias("code"))
+    twice = files.groupBy("h").agg(F.count("*").alias("repos")).filter("repos > 1").select("h", F.lit(1).alias("s"))
+    size = files.join(twice, "h", "left").groupBy("repo").agg(F.sum("code").alias("code"), F.sum(F.when(F.col("s") == 1, F.col("code"))).alias("same"))
+    return scratch.cut(size.filter(F.col("same") * 2 >= F.col("code")).select("repo", F.lit(1).alias("related")), 1)
+
+
+def _unrelated() -> F.Column:
+    """Repositories of a group, with all related ones counted once."""
+    return F.count_if(F.col("related").isNull()) + F.coalesce(F.max("related"), F.lit(0))
+
+
+def shared_subtrees(files: DataFrame, kin: DataFrame, scratch: Scratch, min_repos: int = MIN_REPOS) -> DataFrame:
     """``(repo, node)`` of the subtrees, files among them, that ``min_repos`` repositories share.
 
     ``files`` has (repo, dir, name, body, code). A directory's hash is a sum over its children's name
     and hash, so it is built by partial aggregation from the deepest level up and no directory is ever
     gathered; the directory's own name is left out, as copies are moved. Every file counts in the
     hash, short ones and configuration too; a subtree marks only if its code has MIN_BODY characters.
+    Repositories related to another (``kin``) count as one together.
     """
     leaf = files.select("repo", F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "name").alias("node"), F.col("dir").alias("parent"), "name", F.struct(F.col("body").alias("h"), F.coalesce("code", F.lit(0)).alias("code")).alias("x"))
     leaf = leaf.groupBy("repo", "node", "parent", "name").agg(F.min("x").alias("x"))
@@ -209,7 +242,8 @@ def shared_subtrees(files: DataFrame, scratch: Scratch, min_repos: int = MIN_REP
         every = every.unionByName(x)
     every = every.filter((F.col("code") >= MIN_BODY) & F.col("repo").isNotNull())
     # two steps, so that a hash in millions of places is merged map-side
-    spread = every.select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("repos")).filter(F.col("repos") >= min_repos).select("h")
+    places = every.select("h", "repo").distinct().join(kin, "repo", "left")
+    spread = places.groupBy("h").agg(_unrelated().alias("repos")).filter(F.col("repos") >= min_repos).select("h")
     return every.join(spread, "h", "left_semi").select("repo", "node").distinct()
 
 
@@ -223,7 +257,8 @@ def not_hand_written(files: DataFrame, key: str = "file_id", repo: str = "repo",
     scratch = Scratch(files.sparkSession, "origin")
     judged = files.select(F.col(key).cast("long"), F.col(repo), F.col(path), F.col(text)).mapInArrow(_judge, "file_id long, repo string, dir string, name string, kind string, body long, code long, parts array<struct<h:long,n:int>>")
     judged = scratch.cut(judged)
-    shared = shared_subtrees(judged, scratch, min_repos).withColumnRenamed("repo", "r")
+    kin = related(judged, scratch)
+    shared = shared_subtrees(judged, kin, scratch, min_repos).withColumnRenamed("repo", "r")
     # a file is under a shared subtree if its own node or any directory above it is one
     parts = F.split(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "name"), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
@@ -231,7 +266,7 @@ def not_hand_written(files: DataFrame, key: str = "file_id", repo: str = "repo",
     marked = open_files.select("file_id", "repo", F.explode(above).alias("at")).join(shared, (F.col("repo") == F.col("r")) & (F.col("at") == F.col("node")), "left_semi").select("file_id").distinct()
     # a file whose top-level parts mostly lie in other repositories too is an altered copy
     parts = judged.filter("size(parts) > 1").select("file_id", "repo", "kind", F.explode("parts").alias("p")).select("file_id", "repo", "kind", "p.h", "p.n")
-    spread = parts.filter("repo IS NOT NULL").select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("repos")).filter(F.col("repos") >= min_repos).select("h", F.lit(1).alias("s"))
+    spread = parts.filter("repo IS NOT NULL").select("h", "repo").distinct().join(kin, "repo", "left").groupBy("h").agg(_unrelated().alias("repos")).filter(F.col("repos") >= min_repos).select("h", F.lit(1).alias("s"))
     weigh = parts.filter("kind IS NULL").join(spread, "h", "left").groupBy("file_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("s") == 1, F.col("n"))).alias("shared"), F.count("s").alias("k"))
     altered = weigh.filter((F.col("k") > 1) & (F.col("shared") >= MIN_BODY) & (F.col("shared") >= COPY_SHARE * F.col("n"))).select("file_id")
     marked = marked.union(altered).distinct()

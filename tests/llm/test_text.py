@@ -144,7 +144,7 @@ def test_long_footers_are_read_whole():
     code = "import a from 'b';\nexport function f(x) {\n  const g = 'src/*.ts';\n  return a(x, g).map((v) => v + 1);\n}\n"
     inputs = "".join(f" * src/schema/part{i}/*.proto\n" for i in range(200))
     assert k("a.ts", code + "/* Code generated by x.\n" + inputs + " */\n") == "generated"
-    assert k("a.ts", code + "// Code generated by x.\n" + "//".join(f" input {i}\n" for i in range(400))) == "generated"
+    assert k("a.ts", code + "// Code generated by x.\n" + "".join(f"// input {i}\n" for i in range(400))) == "generated"
     assert k("a.ts", code + "// Code generated by x.\n//# sourceMapURL=data:" + "QUJD" * 2000 + "\n") == "generated"
     # code between a glob and the last comment is no footer
     assert k("a.ts", code + "const h = 'do not edit';\n/* end */\n") is None
@@ -172,6 +172,33 @@ def test_shared_directories_mark_their_short_files(spark):
     assert rows(origin.not_hand_written(d), "file_id") == [(10,), (11,), (12,), (13,), (20,), (21,), (22,), (23,)]
 
 
+def test_forks_share_nothing_third_party(spark):
+    own = "export function own{0}(q) {{\n  return q.filter((z) => z.f{0} > {0}).map((z) => z.f{0} * {0}).reduce((s, z) => s + z, {0});\n}}\nexport const rest{0} = (p) => p.f{0}.slice({0}, {0} + 20).concat(p.extra{0}, [p.g{0}, {0}, 'long enough text {0}']);\n"
+    fork = [(100 * r + i, f"r{r}", f"src/a/own{i}.js", own.format(i)) for r in (1, 2) for i in range(6)]
+    # a library in the fork, in its origin and in an unrelated repository
+    lib = LIB.replace("/*! lib */\n", "")
+    fork += [(190, "r1", "src/l.js", lib), (290, "r2", "src/l.js", lib), (390, "r3", "x/l.js", lib)]
+    d = spark.createDataFrame(fork, "file_id long, repo string, path string, text string")
+    assert rows(origin.not_hand_written(d), "file_id") == [(190,), (290,), (390,)]
+    assert rows(origin.not_hand_written(d.filter("repo <> 'r3'")), "file_id") == []
+
+
+@pytest.mark.parametrize(
+    "top",
+    ["/* Released under the MIT license */", "// (c) The Atlas Authors", "// Do not change the order of these fields: the parser relies on it", "// Unsaved edits are lost when the tab closes", "# Generated with care by hand", "// Skips auto-generated files", "// This module reads files generated by tools"],
+)
+def test_comments_about_other_things_are_no_banners(top):
+    assert origin.kind_of("a.ts", top + "\nexport function a(x) {\n  return x + 1;\n}\n") is None
+
+
+def test_layouts_of_hand_written_and_short_minified_files():
+    assert origin.kind_of("a.ts", "".join(f"router.get('/x{i}', handler{i});\n" for i in range(40))) is None
+    short = '!function(e,t){"object"==typeof exports?t(exports):t(e.q={})}(this,function(e){"use strict";function t(e,t){return e+t}function n(e){return t(e,1)}e.a=t,e.b=n,e.c=function(e){return n(n(e))}});'
+    assert len(short) < 300 and origin.kind_of("a.js", short) == "minified"
+    unit = "\n/** Row.f{0} = {0}; */\nexport const ROW_F{0}_NUMBER = {0};\nexport function setF{0}(m: any, v: any) {{ m.arr[{0}] = v; return m; }}\n"
+    assert origin.kind_of("a.ts", "".join(unit.format(i) for i in range(20))) == "generated"
+
+
 SPLITS = [
     ("The limit is approx. 3.5 MB, i.e. 7 symbols. Dr. Tamsk and K. L. Bran own it. Stop!", 3),
     ("We renamed fields, tests, etc. The U.S. cluster ran at 9 a.m. local time. Really?! Yes.", 4),
