@@ -2,10 +2,10 @@
 
 A text is cut into blocks (headings, list items, fences, paragraphs). Spaced scripts then run
 through a terminator lattice: every end mark is a node whose class (decimal, abbreviation, initial,
-ordinal, quoted, ellipsis, end) follows from what stands around it. Spaceless scripts are not
-segmented: a line break or ellipsis without an end mark is judged by the longest entry of two short
-word lists before and after it, which suit the given tables and miss other words. Thai has no list;
-every blank or line break beside Thai ends a sentence.
+ordinal, quoted, ellipsis, end) follows from what stands around it. Around the gaps of spaceless
+scripts that no end mark decides, the text is segmented by a dictionary word lattice; final
+particles and endings before the gap and opening words after it decide. Beside Thai a blank or a
+line break is an end mark of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm import lattice
+from sievework.llm.tokens import VOCABULARY
 from sievework.session import read
 
 # --- fixed word lists ------------------------------------------------------------------------
@@ -44,16 +46,6 @@ MARKS = frozenset(".!?…。！？।॥؟۔｡．")
 CJK_MARKS = frozenset("。！？｡．")
 #: Words that carry a sentence on after a closing quotation, in scripts without capitals.
 CARRY = frozenset("ثم و فقط لكن أو وقال في على إلى عن और तथा या फिर लेकिन पर तो कहकर कि ने को से में".split())
-#: Words that open a sentence or clause; mainly those of the given tables, no general dictionary.
-OPENING = frozenset(
-    """関数 ファイル 規則 スキャナー 夜間 古い この その あの これ それ なぜ どうして 詳しく 担当者 また しかし そして さらに ただし なお だから 次に まず もし 少し 新しい 各 全て 私 彼 問題
-    函数 文件 规则 扫描器 夜间 旧的 旧 第二 这个 这 该 那 为什么 阈值 负责人 他 她 我们 请 等等 真的 但是 而且 因此 所以 如果 首先 其次 然后 新的 每个 我 你 它""".split()
-)
-#: Particles and endings after which a sentence can be over; the last five Chinese ones are common last characters of the given tables, no particles.
-FINAL = frozenset("る た だ い う く す つ ぬ む ぐ よ ね か な わ さ です ます でした ました ません ない なかった である だった ください 了 的 吗 吧 呢 啊 入 次 题 突 锁 记".split())
-#: Particles after a gap that tie it to what stands before.
-TIED = frozenset("と って という は が を に で も の から ので けど けれど より へ や し だが など 、 ， ； ： ） ） 」 』 ” 的 地 得 但 而 并 却 ，".split())
-
 _FENCE = re.compile(r"[ \t]*(```+|~~~+)")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?=[ \t\r\n]|$)")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•‣◦–]|\d{1,3}[.)])[ \t]+(?=\S)")
@@ -61,7 +53,8 @@ _LINE = re.compile(r"[^\r\n  \x0b\x0c\x85]*(?:\r\n|[\r\n  \x0b\x0c\x85]|
 _THAI = re.compile(r"[฀-๿]")
 _SPACELESS = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 _LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u0963])"
-_WORD_BEFORE = re.compile(rf"{_LETTER}+(?:[.’'-]{{1,2}}{_LETTER}+)*$")
+_LETTERS = re.compile(_LETTER)
+_SECOND_HALF = re.compile(r"\.\s*[^\W\d_]\.")
 _ELISION = re.compile(r"^(?:[ldnsjqmtc]|qu)[’']", re.IGNORECASE)
 #: What the scan of a paragraph can't pass by; white space counts only beside spaceless scripts.
 _NODE = re.compile(r"[`\"“”«»„「」『』（）()\[\]【】《》〈〉‹›‚‘.!?…。！？।॥؟۔｡．]")
@@ -122,34 +115,44 @@ def _blocks(text: str, source: str | None) -> Iterator[tuple[int, int, str]]:
         yield para, last, "para"
 
 
-def _lattice(text: str, at: int, end: int) -> tuple[str | None, str | None]:
-    """Longest listed words around the gap at ``at``: (final before, word after).
+def _spaces_back(text: str, i: int, lo: int) -> int:
+    while i > lo and text[i - 1].isspace():
+        i -= 1
+    return i
+
+
+def _letter(c: str) -> bool:
+    return bool(_LETTERS.match(c))
 
-    Looks up up to four characters before the gap and five after it; the text is not segmented.
-    """
-    before = next((text[at - k : at] for k in range(4, 0, -1) if text[at - k : at] in FINAL), None)
-    after = next((text[at : at + k] for k in range(min(5, end - at), 0, -1) if text[at : at + k] in OPENING or text[at : at + k] in TIED), None)
-    return before, after
+
+def _word_back(text: str, i: int, lo: int) -> int:
+    """Start of the word that ends at ``i``: letters, joined by periods, hyphens or apostrophes between them."""
+    start = i
+    while i > lo:
+        c = text[i - 1]
+        if _letter(c):
+            start = i - 1
+        elif not (c in ".’'-" and start - i < 2):
+            break
+        i -= 1
+    return start
 
 
 def _is_abbreviation(text: str, dot: int, lo: int) -> str | None:
     """Class of the abbreviation that ends with the period at ``dot``: before, maybe, initial or None."""
-    s = max(lo, dot - 14)
-    w = _WORD_BEFORE.search(text[s:dot])
-    if not w:
+    s = _word_back(text, dot, lo)
+    if s == dot:
         return None
-    word = w[0]
-    if s + w.start() > lo and text[s + w.start() - 1] in "._/\\`-@" and not word[0].isupper():
-        # the tail of a path or name, unless it is the second part of "z. B." and the like
-        if text[s + w.start() - 1] != ".":
-            return None
+    word = text[s:dot]
+    if s > lo and text[s - 1] in "_/\\`-@" and not word[0].isupper():
+        return None  # the tail of a path or name
     word = _ELISION.sub("", word)
     low = word.lower()
     # joined forms with spaces between: "z. B.", "т. д.", "u. a.", "d. h."
-    head = text[max(lo, s + w.start() - 6) : s + w.start()]
-    j = re.search(r"([^\W\d_]{1,2})\.[   \r\n]*$", head)
-    if j and len(low) <= 2:
-        pair = f"{j[1].lower()}.{low}"
+    e = _spaces_back(text, s, lo)
+    if len(low) <= 2 and e - 1 > lo and text[e - 1] == "." and text[e - 2].isalpha():
+        first = e - 3 if e - 3 >= lo and text[e - 3].isalpha() else e - 2
+        pair = f"{text[first : e - 1].lower()}.{low}"
         if pair in MAYBE or pair in ("т.д", "т.п", "u.a"):
             return "maybe"
         if pair in BEFORE or pair in ("т.е", "z.b", "d.h", "s.o", "s.u", "p.ex"):
@@ -160,7 +163,7 @@ def _is_abbreviation(text: str, dot: int, lo: int) -> str | None:
         return "before"
     if len(word) == 1 and word.isupper():
         return "initial"
-    if len(word) == 1 and word.isalpha() and re.match(r"\.[   \r\n]*[^\W\d_]\.", text[dot : dot + 5]):
+    if len(word) == 1 and word.isalpha() and _SECOND_HALF.match(text, dot):
         return "before"  # the first half of "z. B." or "т. д."
     return None
 
@@ -178,7 +181,7 @@ def _opens(text: str, p: int, end: int) -> bool:
     return bool(re.search(r"[A-Z_()/\d]|\.\w", w[1:]))
 
 
-def _paragraph(text: str, lo: int, end: int) -> Iterator[tuple[int, int]]:
+def _paragraph(text: str, lo: int, end: int, vocabulary: str) -> Iterator[tuple[int, int]]:
     """Sentences of a paragraph or item in [lo, end)."""
     start = lo
     stack: list[str] = []
@@ -207,10 +210,7 @@ def _paragraph(text: str, lo: int, end: int) -> Iterator[tuple[int, int]]:
             continue
         if stack and c == stack[-1]:
             stack.pop()
-            p += 1
-            if not stack and _after_quote(text, lo, start, p, end):
-                yield start, p
-                start = p
+            p += 1  # never an end by itself: an end mark before it was judged with it
             continue
         if c == '"':
             if text.find('"', p + 1, end) >= 0:
@@ -222,10 +222,10 @@ def _paragraph(text: str, lo: int, end: int) -> Iterator[tuple[int, int]]:
             while q < end and text[q].isspace():
                 q += 1
             gap = text[p:q]
-            if start < p and q < end and _thai_gap(text, p, q):
+            if start < p and q < end and _thai_gap(text, start, p, q, end):
                 yield start, p
                 start = q
-            elif start < p and q < end and ("\n" in gap or "\r" in gap) and _cjk_line(text, p, q, end):
+            elif start < p and q < end and ("\n" in gap or "\r" in gap) and _cjk_line(text, start, p, q, end, vocabulary):
                 yield start, p
                 start = q
             p = q
@@ -254,7 +254,7 @@ def _paragraph(text: str, lo: int, end: int) -> Iterator[tuple[int, int]]:
             p = q  # still inside a quotation or brackets
             continue
         quoted = bool(stack)
-        if _ends(text, lo, start, p, q, closed, end, run, quoted):
+        if _ends(text, lo, start, p, q, closed, end, run, quoted, vocabulary):
             stack = []
             yield start, closed
             start = p = closed
@@ -265,36 +265,28 @@ def _paragraph(text: str, lo: int, end: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def _after_quote(text: str, lo: int, start: int, p: int, end: int) -> bool:
-    """A quotation closed at ``p`` without an end mark right before: never an end by itself."""
-    return False
-
-
-def _thai_gap(text: str, p: int, q: int) -> bool:
-    """White space in Thai running text: Thai stands near it on both sides of the gap or on its line."""
-    a = text[max(0, p - 40) : p]
-    b = text[q : q + 40]
-    near = re.split(r"\s", a)[-1]
-    nxt = re.split(r"\s", b)[0]
-    return bool(_THAI.search(near) and _THAI.search(nxt)) or bool((_THAI.search(near) or _THAI.search(nxt)) and not re.search(r"[A-Za-z]$", near + " ") and _thai_words(near, nxt))
-
-
-def _thai_words(near: str, nxt: str) -> bool:
-    return bool(_THAI.search(near[-1:] or "x") or _THAI.search(nxt[:1] or "x"))
+def _thai_gap(text: str, start: int, p: int, q: int, end: int) -> bool:
+    """White space in Thai running text: Thai stands right beside it, or in both words around it."""
+    if _THAI.match(text[p - 1]) or _THAI.match(text[q]):
+        return True
+    a, b = p, q
+    while a > start and not text[a - 1].isspace():
+        a -= 1
+    while b < end and not text[b].isspace():
+        b += 1
+    return bool(_THAI.search(text, a, p) and _THAI.search(text, q, b))
 
 
-def _cjk_line(text: str, p: int, q: int, end: int) -> bool:
-    """A line break between spaceless text: over only if a final particle meets an opening word."""
+def _cjk_line(text: str, start: int, p: int, q: int, end: int, vocabulary: str) -> bool:
+    """A line break between spaceless text: over only if an ending meets an opening."""
     if not (_SPACELESS.match(text[p - 1]) and _SPACELESS.match(text[q])):
         return False
-    if not _SPACELESS.search(text[p - 1]) or text[p - 1] in "、，":
-        return False
-    before, _ = _lattice(text, p, p)
-    _, after = _lattice(text, q, end)
-    return before is not None and after in OPENING
+    before, after = lattice.words_before(text, p, start, vocabulary), lattice.words_after(text, q, end, vocabulary)
+    ja = lattice.is_japanese(before, after)
+    return lattice.closes(before, ja) is True and lattice.opens(after, ja) is True
 
 
-def _ends(text: str, lo: int, start: int, p: int, q: int, closed: int, end: int, run: str, quoted: bool) -> bool:
+def _ends(text: str, lo: int, start: int, p: int, q: int, closed: int, end: int, run: str, quoted: bool, vocabulary: str) -> bool:
     """Whether the marks at [p, q), with closings up to ``closed``, end the sentence."""
     if closed >= end:
         return True
@@ -314,8 +306,8 @@ def _ends(text: str, lo: int, start: int, p: int, q: int, closed: int, end: int,
         if nxt in ",;:，、；：)）.":
             return False
         if spaceless:
-            _, after = _lattice(text, r, end)
-            return not (after in TIED)
+            after = lattice.words_after(text, r, end, vocabulary)
+            return lattice.opens(after, lattice.is_japanese(after)) is not False
         if nxt.islower():
             return False
         if nxt.isalpha() and not nxt.isupper():
@@ -328,7 +320,7 @@ def _ends(text: str, lo: int, start: int, p: int, q: int, closed: int, end: int,
     if not gap:
         if dots and len(run) > 1 or run[0] == "…":
             if spaceless:
-                return _ellipsis_ends(text, p, r, end)
+                return _ellipsis_ends(text, start, p, r, end, vocabulary)
             return False
         if spaceless and run[0] in "!?":
             return True
@@ -337,7 +329,7 @@ def _ends(text: str, lo: int, start: int, p: int, q: int, closed: int, end: int,
         return bool(_THAI.match(before) and _THAI.match(nxt) and run[0] in "!?")
     if dots and (len(run) > 1 or run[0] == "…"):
         if spaceless:
-            return _ellipsis_ends(text, p, r, end)
+            return _ellipsis_ends(text, start, p, r, end, vocabulary)
         return _opens(text, r, end)
     if run != ".":
         return _opens(text, r, end)
@@ -352,39 +344,44 @@ def _ends(text: str, lo: int, start: int, p: int, q: int, closed: int, end: int,
         word = re.compile(r"[^\W\d_]+").match(text, r)
         return not (word and nxt.isupper())
     if abbr == "maybe":
-        return nxt.isupper() and not _name_after(text, r) or nxt in "“«„¿¡([`"
+        return nxt.isupper() or nxt in "“«„¿¡([`"
     if before.isdigit():
-        m = re.search(r"(?:^|[\s(„“\"«])(\d{1,2})$", text[max(lo, p - 4) : p])
-        if m and _german(text, start, p) and (nxt.isupper() or nxt.islower()):
-            return False  # an ordinal
+        if _ordinal(text, start, p, lo) and (nxt.isupper() or nxt.islower()):
+            return False
     return _opens(text, r, end)
 
 
-def _name_after(text: str, r: int) -> bool:
-    return False
-
+#: Words before a German ordinal.
+ORDINAL = frozenset("der die das den dem des am im vom zum zur beim ab bis seit jeder jede jedes ein eine unser dieser diese".split())
 
-_DE = re.compile(r"\b(?:der|die|das|den|dem|des|am|im|vom|zum|beim|ab|bis|seit|nach|vor|und|ist|wird|unser|dieser|diese|zweite)\b", re.IGNORECASE)
-_DE_BEFORE = re.compile(r"\b(?:der|die|das|den|dem|des|am|im|vom|zum|zur|beim|ab|bis|seit|jeder|jede|jedes|ein|eine|unser|dieser|diese)\s+\d{1,2}$", re.IGNORECASE)
 
+def _ordinal(text: str, start: int, p: int, lo: int) -> bool:
+    """Whether the number of one or two digits that ends at ``p`` follows an article or preposition, as a German ordinal does."""
+    d = p
+    while d > lo and text[d - 1].isdigit():
+        d -= 1
+    e = _spaces_back(text, d, start)
+    return 0 < p - d <= 2 and e < d and text[_word_back(text, e, start) : e].lower() in ORDINAL
 
-def _german(text: str, start: int, p: int) -> bool:
-    """An article or preposition stands before the number, as before a German ordinal."""
-    return bool(_DE_BEFORE.search(text[max(start, p - 24) : p]))
 
+def _ellipsis_ends(text: str, start: int, p: int, r: int, end: int, vocabulary: str) -> bool:
+    """Three dots between spaceless text.
 
-def _ellipsis_ends(text: str, p: int, r: int, end: int) -> bool:
-    """Three dots between spaceless text: a final particle before or an opening word after ends it."""
-    before, _ = _lattice(text, p, p)
-    _, after = _lattice(text, r, end)
-    if after in TIED:
+    Japanese: an ending before them ends the sentence, a connective form runs on, after anything else an opening decides.
+    Chinese, whose ellipsis closes a clause: over, unless a connective follows, the clause is only begun (it ends in a
+    pronoun or conjunction), or its one word is said again.
+    """
+    before, after = lattice.words_before(text, p, start, vocabulary), lattice.words_after(text, r, end, vocabulary)
+    ja = lattice.is_japanese(before, after)
+    closed, opened = lattice.closes(before, ja), lattice.opens(after, ja)
+    if opened is False or text[r] in "、，；：":
         return False
-    if after in OPENING:
-        return True
-    return before is not None and not (text[p - 1] in "てで等")
+    if ja:
+        return closed is True or (closed is None and opened is True)
+    return closed is not False and not (len(before) == 1 and before == after[:1])
 
 
-def sentences(text: str | None, source: str | None = None) -> list[tuple[int, int]]:
+def sentences(text: str | None, source: str | None = None, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
     """Code-point spans of the sentence units of a text, without surrounding white space."""
     out: list[tuple[int, int]] = []
     if not text:
@@ -395,12 +392,12 @@ def sentences(text: str | None, source: str | None = None) -> list[tuple[int, in
         elif kind == "item":
             m = _ITEM.match(text, lo, hi)
             body = m.end()
-            got = list(_paragraph(text, body, hi))
+            got = list(_paragraph(text, body, hi, vocabulary))
             if got:
                 got[0] = (lo, got[0][1])
             spans = iter(got)
         else:
-            spans = _paragraph(text, lo, hi)
+            spans = _paragraph(text, lo, hi, vocabulary)
         for s, e in spans:
             while s < e and (text[s].isspace() or text[s] in "﻿​"):
                 s += 1
@@ -411,25 +408,28 @@ def sentences(text: str | None, source: str | None = None) -> list[tuple[int, in
     return out
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, starts, ends = [], [], []
-        for key, text, source in zip(*(b.column(i).to_pylist() for i in range(3))):
-            for s, e in sentences(text, source):
-                ids.append(key)
-                starts.append(s)
-                ends.append(e)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start_char", "end_char"])
+def _split(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, starts, ends = [], [], []
+            for key, text, source in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for s, e in sentences(text, source, vocabulary):
+                    ids.append(key)
+                    starts.append(s)
+                    ends.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start_char", "end_char"])
+
+    return run
 
 
-def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, start_char, end_char)``, one row per sentence unit; no shuffle.
 
     Null, empty and blank texts give no row; repeated texts are split once per row; a null source
     only means that no subject line is looked for; whole texts of any length are processed; other
-    columns are not read.
+    columns are not read. ``vocabulary`` is the tokenizer file whose words the lattices know.
     """
-    return docs.select(F.col(key).cast("long"), F.col(text), F.col(source)).mapInArrow(_split, "doc_id long, start_char int, end_char int")
+    return docs.select(F.col(key).cast("long"), F.col(text), F.col(source)).mapInArrow(_split(vocabulary), "doc_id long, start_char int, end_char int")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
