@@ -21,6 +21,8 @@ SKETCH = 192
 SLACK = 4.5
 #: Members up to which a bucket's pairs are made where it lies; larger ones are split in blocks.
 BLOCK = 1000
+#: Rows of (band, set) that one task sorts and pairs; the number of tasks follows from the counted sets.
+PER_TASK = 500_000
 
 
 def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +197,7 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int, scratch: Scra
     sk = scratch.cut(sk)
     n = sk.count()
     banded = sets.mapInArrow(_bander(rows, bands, seed), "sid long, keys array<long>").select(F.explode("keys").alias("key"), "sid")
-    banded = banded.repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "sid")
+    banded = banded.repartition(max(1, -(-n * bands // PER_TASK)), F.shiftright("key", 16)).sortWithinPartitions("key", "sid")
     met = banded.mapInArrow(_one_batch(_bucket_pairs(threshold, block)), "key long, a long, b long, blk long")
     # signature: the share of equal one-bit minima is (1 + J) / 2
     p = (1 + threshold) / 2
@@ -252,16 +254,29 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "symbols").select("id", F.col("fn_struct.body_shingles").alias("shingles"))
 
 
+def expand(pairs: DataFrame, members: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """``(id_a, id_b)``, id_a < id_b: all pairs of members of paired sets, and of equal ones.
+
+    Sets with more than ``block`` members are split in blocks by a hash of the id, so that no task makes more than the
+    pairs of two blocks, however many copies a set has.
+    """
+    size = scratch.cut(members.groupBy("sid").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"), F.count("*").alias("n")))
+    blocks = members.join(size, "sid").select("sid", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk"), "id")
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    other = pairs.select("a", "b").join(size.select(F.col("sid").alias("a"), F.col("nb").alias("na")), "a").join(size.select(F.col("sid").alias("b"), F.col("nb").alias("nb")), "b")
+    other = other.select("a", "b", "nb", F.explode(numbers("na")).alias("i")).select("a", "b", "i", F.explode(numbers("nb")).alias("j"))
+    same = size.filter("n > 1").select("sid", "nb", F.explode(numbers("nb")).alias("i")).select(F.col("sid").alias("a"), F.col("sid").alias("b"), "i", F.explode(F.sequence("i", F.col("nb") - 1)).alias("j"))
+    x = blocks.select(F.col("sid").alias("a"), F.col("blk").alias("i"), F.col("id").alias("x"))
+    y = blocks.select(F.col("sid").alias("b"), F.col("blk").alias("j"), F.col("id").alias("y"))
+    met = other.unionByName(same).join(x, ["a", "i"]).join(y, ["b", "j"]).filter("x != y AND (a != b OR i != j OR x < y)")
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of ids, those of equal sets among them, as the case list demands."""
     pairs, members = near_duplicates(_functions(spark, sf_dir), "id", "shingles", 0.65)
     scratch = Scratch(spark, "p4")
-    pairs, members = scratch.cut(pairs), scratch.cut(members)
-    copies = members.groupBy("sid").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    links = pairs.select("a", "b").union(copies)
-    j = links.join(members.select(F.col("sid").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("sid").alias("b"), F.col("id").alias("y")), "b")
-    j = j.filter("a != b OR x < y").filter("x != y")
-    return j.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return expand(scratch.cut(pairs), scratch.cut(members), scratch)
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,15 @@ def test_near_duplicates_find_what_brute_force_finds(spark, block):
     assert sorted(got) == brute(data, 0.65, 6)
 
 
+@pytest.mark.parametrize("block", [1000, 4])
+def test_pairs_of_sets_expand_to_all_pairs_of_members(spark, block):
+    rnd = random.Random(8)
+    data = shingled(rnd, 8) + [(f"copy{i:02}", [f"c{k}" for k in range(9)]) for i in range(23)] + [(f"near{i:02}", [f"c{k}" for k in range(8)]) for i in range(9)]
+    df = spark.createDataFrame(data, "id string, sh array<string>")
+    pairs, members = neardup.near_duplicates(df, "id", "sh", 0.65)
+    assert rows(neardup.expand(pairs, members, Scratch(spark, "t"), block)) == brute(data, 0.65, 6)
+
+
 def test_near_duplicates_of_nothing(spark):
     pairs, members = neardup.near_duplicates(spark.createDataFrame([], "id string, sh array<string>"), "id", "sh")
     assert pairs.count() == 0 and members.count() == 0
