@@ -16,7 +16,7 @@ from sievework.operators.components import connected_components
 from sievework.session import Scratch, read
 
 #: A round that takes away less than this share of the edges hands the rest to the core solver.
-MIN_SHRINK = 0.05
+MIN_SHRINK = 0.25
 
 
 def member_edges(rows: DataFrame, members: str) -> DataFrame:
@@ -49,24 +49,28 @@ def _rank_chains(scratch: Scratch, two: DataFrame, n_two: int) -> DataFrame:
     """
     arcs = two.select(F.col("lo").alias("x"), F.col("u").alias("y"), F.col("u").alias("nx"), F.col("hi").alias("ny"))
     arcs = arcs.union(two.select(F.col("hi"), F.col("u"), F.col("u"), F.col("lo")))
-    arcs = scratch.cut(arcs.withColumn("low", F.col("y")).withColumn("done", F.lit(False)))
-    for _ in range(max(1, math.ceil(math.log2(n_two + 1))) + 1):
-        nxt = arcs.filter("NOT done").select(F.col("x"), F.col("y"), "nx", "ny", "low")
-        hop = arcs.select(F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("nx").alias("hnx"), F.col("ny").alias("hny"), F.col("low").alias("hlow"), F.col("done").alias("hdone"))
-        j = nxt.join(hop, (F.col("nx") == F.col("hx")) & (F.col("ny") == F.col("hy")), "left")
-        moved = j.select(
-            "x", "y", F.coalesce("hnx", "nx").alias("nx"), F.coalesce("hny", "ny").alias("ny"), F.least("low", F.coalesce("hlow", "low")).alias("low"), (F.col("hx").isNull() | F.col("hdone")).alias("done")
-        )
-        new = scratch.cut(arcs.filter("done").unionByName(moved))
-        scratch.drop(arcs)
+    arcs = arcs.withColumn("low", F.col("y")).withColumn("done", F.lit(False))
+    hop = arcs.select(F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("nx").alias("hnx"), F.col("ny").alias("hny"), F.col("low").alias("hlow"), F.col("done").alias("hdone"))
+    for i in range(math.ceil(math.log2(n_two + 1)) + 2):
+        # an arc that has ended meets no other and stays as it is
+        met = ~F.col("done") & (F.col("nx") == F.col("hx")) & (F.col("ny") == F.col("hy"))
+        new = scratch.cut(
+            arcs.join(hop, met, "left").select(
+                "x", "y", F.coalesce("hnx", "nx").alias("nx"), F.coalesce("hny", "ny").alias("ny"), F.least("low", F.coalesce("hlow", "low")).alias("low"),
+                (F.col("done") | F.col("hx").isNull() | F.col("hdone")).alias("done"),
+            )
+        )
+        if i:
+            scratch.drop(arcs)
         arcs = new
+        hop = arcs.select(F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("nx").alias("hnx"), F.col("ny").alias("hny"), F.col("low").alias("hlow"), F.col("done").alias("hdone"))
         if not arcs.filter("NOT done").head(1):
             break
     ended = F.col("done")
     per = arcs.groupBy("y").agg(
         F.min(F.when(ended, F.col("ny"))).alias("end"), F.max(F.when(ended, F.col("ny"))).alias("other"), F.min("low").alias("low"), F.bool_or(~ended).alias("cyclic")
     )
-    return scratch.cut(per.select(F.col("y").alias("v"), F.when(F.col("cyclic"), F.col("low")).otherwise(F.col("end")).alias("end"), "other", "cyclic"))
+    return per.select(F.col("y").alias("v"), F.when(F.col("cyclic"), F.col("low")).otherwise(F.col("end")).alias("end"), "other", "cyclic")
 
 
 def reduce_and_group(edges: DataFrame, min_shrink: float = MIN_SHRINK, max_rounds: int = 40) -> DataFrame:
@@ -84,13 +88,13 @@ def reduce_and_group(edges: DataFrame, min_shrink: float = MIN_SHRINK, max_round
     for _ in range(max_rounds):
         if not n:
             break
-        inc = scratch.cut(_incident(e))
+        inc = _incident(e)
         # leaves; of an edge with two leaves the greater one goes
         leaves = inc.filter("deg = 1").join(inc.filter("deg = 1").select(F.col("u").alias("lo"), F.lit(True).alias("both")), "lo", "left")
         leaves = scratch.cut(leaves.filter("both IS NULL OR u > lo").select(F.col("u").alias("node"), F.col("lo").alias("parent")))
         core = scratch.cut(_without(e, leaves.select(F.col("node").alias("x"), F.col("parent").alias("y"))))
         removed.append(leaves)
-        scratch.drop(e, inc)
+        scratch.drop(e)
         # chains of the stripped graph
         two = scratch.cut(_incident(core).filter("deg = 2"))
         n_two = two.count()

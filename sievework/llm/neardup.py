@@ -23,6 +23,8 @@ SLACK = 4.5
 BLOCK = 1000
 #: Rows of (band, set) that one task sorts and pairs; the number of tasks follows from the counted sets.
 PER_TASK = 500_000
+#: Candidate pairs that one task compares in full.
+PAIRS_PER_TASK = 20_000
 
 
 def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +227,9 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int, scratch: Scra
     # the exact check reads only the sets that are left
     ids = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     full = scratch.cut(sets.join(ids, "sid", "left_semi").dropDuplicates(["sid"]))
-    j = close.join(full.select(F.col("sid").alias("a"), F.col("sh").alias("sa")), "a").join(full.select(F.col("sid").alias("b"), F.col("sh").alias("sb")), "b")
+    tasks = max(1, -(-close.count() // PAIRS_PER_TASK))
+    j = close.repartition(tasks, "a").join(full.select(F.col("sid").alias("a"), F.col("sh").alias("sa")), "a")
+    j = j.repartition(tasks, "b").join(full.select(F.col("sid").alias("b"), F.col("sh").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return j.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
