@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ def merge_extends(own: dict, bases: list[dict]) -> dict:
 def tsconfig_rules(o: dict) -> Iterator[tuple[str, str, str]]:
     if o.get("strict") is False:
         yield "strict", "high", "strict disabled"
-    elif "strict" not in o and o.get("strictNullChecks") is not True:
+    elif "strict" not in o and o.get("strictNullChecks") is not True and o.get("noImplicitAny") is not True:
         yield "compilerOptions", "medium", "strict not set"
     for key, sev in (("noImplicitAny", "high"), ("strictNullChecks", "high"), ("noImplicitReturns", "low"), ("noFallthroughCasesInSwitch", "low")):
         if o.get(key) is False:
@@ -93,10 +94,10 @@ def config_rules(path: str, src: Source) -> Iterator[tuple]:
         if not isinstance(root, dict):
             return
         if kind == "tsconfig":
+            if root.get("extends"):
+                return  # judged with the options of its bases, see ``tsconfig``
             opts = root.get("compilerOptions")
-            # options may come from a base; without its text only what is set here is judged
-            rules = tsconfig_rules(opts if isinstance(opts, dict) else {})
-            found = [r for r in rules if not (r[0] == "compilerOptions" and root.get("extends"))]
+            found = list(tsconfig_rules(opts if isinstance(opts, dict) else {}))
         elif kind == "eslint":
             rules = root.get("rules") if isinstance(root.get("rules"), dict) else {}
             found = [(n, s, f"{n} disabled") for n, s in ESLINT if n in rules and _off(rules[n])]
@@ -110,7 +111,51 @@ def config_rules(path: str, src: Source) -> Iterator[tuple]:
                 found.append(("noNonNullAssertion", "medium", "noNonNullAssertion disabled"))
             if linter.get("enabled") is False:
                 found.append(("linter.enabled", "medium", "linter disabled"))
+    yield from _reported(src, kind, found)
+
+
+def _reported(src: Source, kind: str, found: list[tuple[str, str, str]]) -> Iterator[tuple]:
     for key, sev, title in found:
         m = re.search(rf"['\"]?{re.escape(key.split('.')[-1])}['\"]?\s*:", src.text)
         n = src.line(m.start()) if m else 1
         yield _fact(src, n, n, key, {"severity": sev, "title": f"{kind.split('-')[0]}: {title}"}, around=(0, 1))
+
+
+def base_paths(path: str, extends: object) -> list[list[str]]:
+    """For each configuration that ``path`` extends, the paths it may lie at; the last base comes last."""
+    out = []
+    for e in extends if isinstance(extends, list) else [extends]:
+        if not isinstance(e, str) or not e:
+            continue
+        here = posixpath.dirname(path)
+        if e.startswith("."):
+            t = posixpath.normpath(posixpath.join(here, e))
+            out.append([t, t + ".json"])
+            continue
+        tries = []
+        while True:  # a package, from the folder's own modules up to the root's
+            t = posixpath.join(here, "node_modules", e)
+            tries += [t, t + ".json", t + "/tsconfig.json"]
+            if not here:
+                break
+            here = posixpath.dirname(here)
+        out.append(tries)
+    return out
+
+
+@scanner("tsconfig")
+def tsconfig(path: str, src: Source) -> Iterator[tuple]:
+    """Compiler configurations as they are: options, and where the bases may lie, nearest last."""
+    root = read_jsonc(src.text) if re.search(r"\.json$", path) else None
+    if isinstance(root, dict) and ("compilerOptions" in root or "extends" in root):
+        bases = base_paths(path, root.get("extends"))
+        opts = root.get("compilerOptions")
+        yield _fact(src, 1, 1, path, {"options": json.dumps(opts if isinstance(opts, dict) else {}), "extends": json.dumps(bases), "text": src.text if bases else ""}, around=(0, 0))
+
+
+def judged(path: str, text: str, bases: list[dict]) -> Iterator[tuple]:
+    """Facts of a configuration that extends others; ``bases`` are their options, farthest first."""
+    root = read_jsonc(text)
+    if is_config(path) == "tsconfig" and isinstance(root, dict):
+        merged = merge_extends(root, [{"compilerOptions": b} for b in bases])
+        yield from _reported(Source(text), "tsconfig", list(tsconfig_rules(merged["compilerOptions"])))

@@ -110,9 +110,15 @@ class Corpus:
         """Fact rows of all scanners in one pass over the texts."""
         return scan_facts(self.files, list(SCANNERS)).persist()
 
-    def fact(self, kind: str) -> DataFrame:
-        """Facts of one kind, from the shared table if several detectors run, else by its own scan."""
-        return self.facts.filter(F.col("kind") == kind) if self.shared else self.scan(kind)
+    def fact(self, *kinds: str) -> DataFrame:
+        """Facts of these kinds, from the shared table if several detectors run, else by one scan for them."""
+        return self.facts.filter(F.col("kind").isin(*kinds)) if self.shared else self.scan(*kinds)
+
+    def release(self) -> None:
+        """Gives back the tables that were kept for this corpus."""
+        for name in ("facts", "symbols", "imports", "entries"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
 
     def scan(self, *kinds: str) -> DataFrame:
         """Facts of a few kinds without touching the shared table."""

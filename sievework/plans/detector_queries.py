@@ -17,7 +17,8 @@ _WHOLE = {"todo-comments": {"limit": None}, "similar-functions": {"limit": None}
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     src = read(spark, sf_dir, "sources").select("workspace", "path", "text")
     ws = read(spark, sf_dir, "workspaces").select(_C("name").alias("workspace"), "package_name")
-    return Corpus(src, packages=ws, given_symbols=read(spark, sf_dir, "symbols"))
+    mtime = read(spark, sf_dir, "sources").filter("path IS NOT NULL").groupBy("path").agg(F.max("mtime").alias("ts"))
+    return Corpus(src, packages=ws, given_symbols=read(spark, sf_dir, "symbols"), file_mtime=mtime)
 
 
 def _query(name: str):

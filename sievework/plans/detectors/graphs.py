@@ -10,6 +10,7 @@ from sievework.operators.graph import edges_of, forward_re_exports, nodes_of, re
 from sievework.plans.corpus import Corpus
 from sievework.plans.detectors import detector, finding, fingerprint, site
 from sievework.plans.detectors.symbols import distinct_symbols
+from sievework.session import Scratch
 
 _C = F.col
 
@@ -38,7 +39,9 @@ def _wired(c: Corpus, kind: str) -> DataFrame:
 def entry_points(c: Corpus) -> DataFrame:
     """Files loaded by convention, package manifests, infrastructure code or framework decorators."""
     a = c.files.filter(is_entry(_C("local"))).select("path")
-    return a.union(_wired(c, "pkg_entry")).union(_wired(c, "iac_entry")).union(c.fact("decorated").select("path")).distinct()
+    # what manifests and infrastructure name, and decorated files themselves: one pass over the texts
+    f = c.fact("pkg_entry", "iac_entry", "decorated").select(F.explode(F.when(_C("kind") == "decorated", F.array("path")).otherwise(_C("items"))).alias("path"))
+    return Scratch(c.spark, "entries").cut(a.union(f.distinct().join(c.files.select("path"), "path", "left_semi")).distinct())
 
 
 def _parsed(c: Corpus) -> DataFrame:
@@ -76,9 +79,9 @@ def dead_export(c: Corpus) -> DataFrame:
     default = used.filter(_C("name") == "\0default").select(_C("file"), F.lit(True).alias("is_default"))
     d = anti_chain(s, (entry_points(c).withColumnRenamed("path", "file"), ["file"]), (all_, ["file"]), (used, ["file", "name"]), (default, ["file", "is_default"]))
     # used by another symbol of the same file, as a whole word
-    others = distinct_symbols(c.symbols).select(_C("file").alias("f2"), _C("id").alias("i2"), _C("source").alias("s2"))
-    word = F.expr(r"s2 RLIKE concat('(?<![A-Za-z0-9_])', regexp_replace(name, '\\$', '\\\\\\$'), '(?![A-Za-z0-9_])')")
-    d = d.join(others, (_C("file") == _C("f2")) & (_C("id") != _C("i2")) & word, "left_anti")
+    words = F.array_distinct(F.concat(F.regexp_extract_all("source", F.lit("([A-Za-z0-9_]+)"), 1), F.regexp_extract_all("source", F.lit("([A-Za-z0-9_]*[$][A-Za-z0-9_$]*)"), 1)))
+    others = distinct_symbols(c.symbols).filter("source IS NOT NULL").select(_C("file").alias("f2"), _C("id").alias("i2"), F.explode(words).alias("w2"))
+    d = d.join(others, (_C("file") == _C("f2")) & (_C("name") == _C("w2")) & (_C("id") != _C("i2")), "left_anti")
     title = F.concat(F.lit("Unused export: "), "name", F.lit(" in "), "file")
     return finding(d, "dead-export", "low", 0.65, title, F.array(site(_C("file"), _C("line_range.start_line"), _C("line_range.end_line"))), fingerprint("dead-export", _C("file"), "::", _C("name")), suggestion="Drop the export.")
 

@@ -150,7 +150,10 @@ def schema_shape(c: Corpus, max_drift: int = 2, min_shared: float = 0.5) -> Data
     """Exported object types of one noun whose field names differ a little."""
     d = distinct_symbols(c.symbols).filter("exported AND kind IN ('interface', 'type-alias') AND type_struct.kind = 'object' AND size(type_struct.fields) >= 3")
     d = d.select("id", "workspace", "file", "name", "line_range", name_stem(_C("name")).alias("stem"), F.size("type_struct.fields").alias("n"), F.array_distinct(F.transform("type_struct.fields", lambda f: f["name"])).alias("f")).filter(F.length("stem") >= 3)
-    j = d.alias("a").join(d.alias("b"), (_C("a.stem") == _C("b.stem")) & (_C("a.id") < _C("b.id")))
+    # types that differ in at most max_drift fields share one of the first max_drift + 1 in any common order
+    head = d.select("id", "stem", F.explode(F.slice(F.array_sort("f"), 1, max_drift + 1)).alias("t"))
+    met = head.alias("x").join(head.alias("y"), (_C("x.stem") == _C("y.stem")) & (_C("x.t") == _C("y.t")) & (_C("x.id") < _C("y.id"))).select(_C("x.id").alias("ia"), _C("y.id").alias("ib")).distinct()
+    j = met.join(d.alias("a"), _C("ia") == _C("a.id")).join(d.alias("b"), _C("ib") == _C("b.id")).drop("ia", "ib")
     j = j.withColumn("added", F.array_sort(F.array_except("b.f", "a.f"))).withColumn("removed", F.array_sort(F.array_except("a.f", "b.f"))).withColumn("drift", F.size("added") + F.size("removed"))
     low = F.least("a.n", "b.n")
     shared = low - F.greatest(F.size("added"), F.size("removed"))
@@ -186,7 +189,8 @@ def similar_functions(c: Corpus, threshold: float = 0.5, name_weight: float = 0.
 
     A pair's score is name_weight * J(words) + (1 - name_weight) * J(shingles). Pairs without a common
     word can reach the threshold through their bodies alone only if 1 - name_weight >= threshold; those
-    come from the exact set-similarity join on the bodies, so nothing is lost. ``limit`` is the
+    come from the exact set-similarity join on the bodies, so nothing is lost. A pair with a common word
+    still needs alike bodies, so it is sought by word and body together: a common word alone pairs nothing. ``limit`` is the
     report's length, largest groups first. The canonical pick is the newest, then longest, then
     widest function.
     """
@@ -200,7 +204,13 @@ def similar_functions(c: Corpus, threshold: float = 0.5, name_weight: float = 0.
     d = d.select("id", "workspace", "file", "name", "line_range", lines.alias("lines"), F.size("fn_struct.params").alias("arity"), name_tokens(_C("name")).alias("words"), F.coalesce(F.array_distinct("fn_struct.body_shingles"), F.array()).alias("sh")).persist()
     # bodies alone reach the threshold from here on; below it a pair must share a word of its names
     alone = threshold / (1 - name_weight) if name_weight < 1 else 2.0
-    pairs = set_similarity_join(d, "id", "words", 0.001).select("a", "b")
+    least = (threshold - name_weight) / (1 - name_weight) if name_weight < 1 else 0.0
+    if least > 0:
+        key = F.concat_ws("\0", "id", "w")
+        by_word = d.select("id", F.explode("words").alias("w"), "sh").select(key.alias("k"), "w", "sh")
+        pairs = set_similarity_join(by_word, "k", "sh", least, ["w"]).select(F.substring_index("a", "\0", 1).alias("a"), F.substring_index("b", "\0", 1).alias("b")).distinct()
+    else:
+        pairs = set_similarity_join(d, "id", "words", 0.001).select("a", "b")
     if alone <= 1:
         pairs = pairs.union(set_similarity_join(d, "id", "sh", alone).select("a", "b")).distinct()
     s = d.select("id", "words", "sh")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.config_rules import judged
 from sievework.operators.clustering import anti_chain, cap_per, distinct_actor_clusters, first_per
 from sievework.plans.corpus import Corpus
 from sievework.plans.detectors import detector, finding, fingerprint, site, steps
+from sievework.session import Scratch
 
 _C = F.col
 
@@ -80,9 +85,68 @@ def magic_numbers(c: Corpus, per_file: int | None = 5) -> DataFrame:
     return finding(d, "magic-numbers", "low", 0.7, _where("Magic number ", _C("key"), " in ", _C("path"), ":", _C("line")), _at(d), fingerprint("magic-numbers", _C("path"), ":", _C("line"), ":", _C("key")), suggestion="Name the value.")
 
 
+#: How many configurations a chain of ``extends`` may pass (fixed).
+MAX_EXTENDS = 8
+
+
+def _extended(c: Corpus) -> DataFrame:
+    """Config facts of the compiler configurations that extend others, judged with the merged options.
+
+    Each round follows one more base by joining on paths; a base that was met before on its chain ends it.
+    """
+    t = c.fact("tsconfig").select("workspace", "path", _C("attrs")["options"].alias("options"), F.from_json(_C("attrs")["extends"], "array<array<string>>").alias("bases"), _C("attrs")["text"].alias("text"))
+    scratch = Scratch(c.spark, "tsconfig")
+    t = scratch.cut(t)
+    own = t.filter(F.size("bases") > 0)
+    link = own.select("path", F.posexplode("bases").alias("i", "tries")).select("path", "i", F.posexplode("tries").alias("r", "base"))
+    link = link.join(t.select(_C("path").alias("base"), _C("options").alias("base_options")), "base").groupBy("path", "i").agg(F.min(F.struct("r", "base", "base_options")).alias("b"))
+    link = scratch.cut(link.select(_C("path").alias("of"), "i", "b.base", "b.base_options"))
+    # (path, at, order): the farther a base and the earlier in its list, the sooner it is laid down
+    front = own.select("path", _C("path").alias("at"), F.array().cast("array<int>").alias("order"), F.array("path").alias("met"))
+    found = []
+    for _ in range(MAX_EXTENDS):
+        front = scratch.cut(front.join(link, _C("at") == _C("of")).filter(~F.array_contains("met", _C("base"))).select("path", _C("base").alias("at"), F.concat("order", F.array("i")).alias("order"), F.concat("met", F.array("base")).alias("met"), "base_options"))
+        if not front.head(1):
+            break
+        found.append(front.select("path", "order", "base_options"))
+        front = front.drop("base_options")
+    laid = own.select("path", F.lit(None).cast("array<int>").alias("order"), F.lit(None).cast("string").alias("base_options")).limit(0)
+    for f in found:
+        laid = laid.unionByName(f)
+    bases = laid.groupBy("path").agg(F.collect_list(F.struct("order", "base_options")).alias("bases"))
+
+    def judge(batches):
+        for pdf in batches:
+            rows = []
+            for ws, path, text, given in zip(pdf["workspace"], pdf["path"], pdf["text"], pdf["bases"]):
+                chain = _in_order([(list(g["order"]), g["base_options"]) for g in given] if given is not None else [])
+                rows += [(ws, path, f[1], f[2], f[3], list(f[4].items()), f[6]) for f in judged(path, text, [json.loads(o) for o in chain])]
+            yield pd.DataFrame(rows, columns=["workspace", "path", "line", "end_line", "key", "attrs", "snippet"])
+
+    d = own.select("workspace", "path", "text").join(bases, "path", "left").select("workspace", "path", "text", "bases")
+    d = d.mapInPandas(judge, "workspace string, path string, line int, end_line int, key string, attrs array<struct<k:string,v:string>>, snippet string")
+    return d.withColumn("attrs", F.map_from_entries("attrs"))
+
+
+def _in_order(bases: list[tuple[list[int], str]]) -> list[str]:
+    """Options in the order they are laid down: a base's own bases before it, the later of two bases after the earlier."""
+    tree: dict[tuple, str] = {tuple(o): text for o, text in bases}
+
+    def down(at: tuple) -> list[str]:
+        out: list[str] = []
+        for k in sorted(x for x in tree if len(x) == len(at) + 1 and x[: len(at)] == at):
+            out += [*down(k), tree[k]]
+        return out
+
+    return down(())
+
+
 @detector("bad-config")
 def bad_config(c: Corpus) -> DataFrame:
-    d = c.fact("config")
+    d = c.fact("config").select("workspace", "path", "line", "end_line", "key", "attrs", "snippet").unionByName(_extended(c))
+    # configurations lie at a workspace's root or one folder below; scripts among the parsed files anywhere
+    local = F.when(F.lit(c.multi) & _C("workspace").isNotNull(), F.expr("substring(path, length(workspace) + 2)")).otherwise(_C("path"))
+    d = d.filter((F.size(F.split(local, "/")) <= 2) | _C("path").rlike(r"\.tsx?\z"))
     return finding(d, "bad-config", _C("attrs")["severity"], 0.95, _where(_C("attrs")["title"], " in ", _C("path")), _at(d), fingerprint("bad-config", _C("path"), ":", _C("key")), suggestion="Set the option to its strict value.")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from sievework.operators.clustering import first_per
 from sievework.operators.stats import latency_stats, window_summary
 from sievework.operators.trees import roll_up
+from sievework.plans.verdict import split_false_positives
 
 _C = F.col
 SEVERITIES = ("high", "medium", "low")
@@ -19,15 +20,37 @@ def severity_rank(c=None):
     return F.when(c == "high", 0).when(c == "medium", 1).otherwise(2)
 
 
-def scans(history: DataFrame, newest: int = 50) -> DataFrame:
-    """The newest scans with their severity counts; ``newest`` is the page's length."""
-    n = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s)).alias(s)
-    return history.select("scan_id", "workspace_root", "state", "started_at", "finished_at", *[n(s) for s in SEVERITIES]).orderBy(_C("started_at").desc(), "scan_id").limit(newest)
+def _counts(findings: DataFrame, by: str) -> DataFrame:
+    """Open findings by severity and false positives of each ``by``."""
+    n = [F.count_if((_C("bucket") == "open") & (_C("severity") == s)).alias(s) for s in SEVERITIES]
+    return findings.groupBy(by).agg(*n, F.count_if(_C("bucket") == "false-positive").alias("false_positives"))
 
 
-def scan(history: DataFrame, scan_id: str) -> DataFrame:
-    """The findings of one scan."""
-    return history.filter(_C("scan_id") == scan_id).select("scan_id", F.explode("findings").alias("f")).select("scan_id", "f.*")
+def scans(history: DataFrame, live: DataFrame | None = None, fp_set: DataFrame | None = None, kept_open: DataFrame | None = None, newest: int = 50) -> DataFrame:
+    """Live scans and the ``newest`` of the history (the page's length), with their counts.
+
+    Findings are parted anew by the stored set and what is kept open, so a list shows today's marks. A live scan
+    hides its own stored copy. Both tables hold one row per scan with its array ``findings``.
+    """
+    cols = ["scan_id", "workspace_root", "state", "started_at", "finished_at", "findings"]
+    page = history.select(*cols)
+    if live is not None:
+        page = page.join(live.select("scan_id"), "scan_id", "left_anti")
+    page = page.orderBy(_C("started_at").desc(), "scan_id").limit(newest)
+    page = page if live is None else live.select(*cols).unionByName(page)
+    none = page.sparkSession.createDataFrame([], "fingerprint string")
+    each = page.select("scan_id", F.explode("findings").alias("f")).select("scan_id", "f.*")
+    counts = _counts(split_false_positives(each, none if fp_set is None else fp_set, none if kept_open is None else kept_open), "scan_id")
+    return page.drop("findings").join(counts, "scan_id", "left").na.fill(0, [*SEVERITIES, "false_positives"])
+
+
+def scan(history: DataFrame, scan_id: str, workspace_root: str | None = None, fp_set: DataFrame | None = None, kept_open: DataFrame | None = None) -> DataFrame:
+    """The findings of one scan with their buckets; nothing if it belongs to another workspace."""
+    h = history.filter(_C("scan_id") == scan_id)
+    h = h if workspace_root is None else h.filter(_C("workspace_root") == workspace_root)
+    none = history.sparkSession.createDataFrame([], "fingerprint string")
+    found = h.select("scan_id", F.explode("findings").alias("f")).select("scan_id", "f.*")
+    return split_false_positives(found, none if fp_set is None else fp_set, none if kept_open is None else kept_open)
 
 
 def llm_stats(verdict_log: DataFrame) -> DataFrame:
@@ -152,3 +175,71 @@ def queue(findings: DataFrame) -> DataFrame:
     """Findings of a workspace in reading order with the fingerprints before and after."""
     w = Window.partitionBy("workspace").orderBy(severity_rank(), _C("confidence").desc(), "fingerprint")
     return findings.select("workspace", "fingerprint", "severity", "confidence", F.lag("fingerprint").over(w).alias("previous"), F.lead("fingerprint").over(w).alias("next"))
+
+
+def cluster_queue(findings: DataFrame, page_size: int = 20) -> DataFrame:
+    """Reading order with big clusters first within a severity: position, cluster size and page, per workspace."""
+    d = findings.withColumn("cluster_size", F.count("*").over(Window.partitionBy("workspace", cluster_label())))
+    w = Window.partitionBy("workspace").orderBy(severity_rank(), _C("cluster_size").desc(), _C("confidence").desc_nulls_last(), "fingerprint")
+    at = F.row_number().over(w)
+    return d.select("workspace", "fingerprint", "severity", "cluster_size", at.alias("position"), F.floor((at - 1) / page_size + 1).cast("int").alias("page"))
+
+
+def page(findings: DataFrame, number: int, page_size: int = 20) -> DataFrame:
+    """One page of the reading order, from 1."""
+    return cluster_queue(findings, page_size).filter(_C("page") == number)
+
+
+def layer_share(findings: DataFrame) -> DataFrame:
+    """Share of each workspace's findings that a verdict confirmed (layer 3), in percent."""
+    return findings.groupBy("workspace").agg(F.count("*").alias("findings"), F.round(100 * F.count_if(_C("layer") == 3) / F.count("*"), 1).alias("layer3_percent"))
+
+
+# --- evidence and symbols ---------------------------------------------------------------------------
+#: Lines per block of the range join; a symbol is listed in every block that it touches.
+LINE_BLOCK = 64
+
+
+def _distinct_symbols(symbols: DataFrame) -> DataFrame:
+    s = symbols.filter("id IS NOT NULL AND file IS NOT NULL").select("id", "name", "file", "exported", _C("line_range.start_line").alias("first"), _C("line_range.end_line").alias("last"))
+    return first_per(s, ["id"], ["file", "first", "last", "name"])
+
+
+def evidence_symbols(findings: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``(fingerprint, file, line, symbol_id)``: the symbols that start where a finding's evidence does."""
+    e = findings.select("fingerprint", F.explode("evidence").alias("e")).select("fingerprint", _C("e.file").alias("file"), _C("e.line_range.start_line").alias("line")).distinct()
+    s = _distinct_symbols(symbols).select("file", _C("first").alias("line"), _C("id").alias("symbol_id"))
+    return e.join(s, ["file", "line"]).select("fingerprint", "file", "line", "symbol_id")
+
+
+def enclosing_symbols(places: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``(file, line, symbol_id)``: the innermost symbol around each (file, line); places outside all symbols give no row.
+
+    A range join on equal file and block of lines, so a long file with many symbols is not compared pairwise. Of
+    symbols of one length the later and then the least id holds.
+    """
+    p = places.select("file", "line").dropna().distinct().withColumn("block", F.floor(_C("line") / LINE_BLOCK))
+    s = _distinct_symbols(symbols).filter(_C("first") <= _C("last"))
+    s = s.withColumn("block", F.explode(F.sequence(F.floor(_C("first") / LINE_BLOCK), F.floor(_C("last") / LINE_BLOCK))))
+    j = p.join(s, ["file", "block"]).filter((_C("line") >= _C("first")) & (_C("line") <= _C("last")))
+    best = F.min(F.struct((_C("last") - _C("first")).alias("span"), (-_C("first")).alias("later"), "id")).alias("m")
+    return j.groupBy("file", "line").agg(best).select("file", "line", _C("m.id").alias("symbol_id"))
+
+
+def triage_context(places: DataFrame, symbols: DataFrame, sources: DataFrame, siblings: int = 6, around: int = 8, conventions: str = "") -> DataFrame:
+    """What a triage prompt says about each (file, line): conventions, enclosing symbol, exported siblings and the lines around.
+
+    ``siblings`` is the length of that list, in the order of the file; ``around`` the lines on either side.
+    """
+    p = places.select("file", "line").dropna().distinct()
+    d = _distinct_symbols(symbols)
+    inner = enclosing_symbols(p, symbols).join(d.select(_C("id").alias("symbol_id"), _C("name").alias("enclosing")), "symbol_id")
+    first = F.array_sort(F.collect_set(F.struct("first", "id", "name")))
+    exported = d.filter("exported").groupBy("file").agg(first.alias("s"))
+    lines = sources.filter("path IS NOT NULL").select(_C("path").alias("file"), F.split("text", "\n").alias("ls"))
+    lines = first_per(lines, ["file"], [F.size("ls").desc()])
+    j = p.join(inner, ["file", "line"], "left").join(exported, "file", "left").join(lines, "file", "left")
+    others = F.filter("s", lambda x: _C("symbol_id").isNull() | (x["id"] != _C("symbol_id")))
+    lo = F.greatest(_C("line") - around, F.lit(1))
+    window = F.array_join(F.slice("ls", lo, F.greatest(_C("line") + around - lo + 1, F.lit(0))), "\n")
+    return j.select("file", "line", "symbol_id", "enclosing", F.coalesce(F.slice(F.transform(others, lambda x: x["name"]), 1, siblings), F.array()).alias("siblings"), F.coalesce(window, F.lit("")).alias("window"), F.lit(conventions).alias("conventions"))

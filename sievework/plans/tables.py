@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.operators.clustering import anti_chain, cap_per, distinct_actor_clusters, first_per, hash_edges
 from sievework.operators.components import connected_components
@@ -13,6 +12,7 @@ from sievework.operators.similarity import set_similarity_join
 from sievework.operators.stats import latency_stats
 from sievework.operators.trees import roll_up
 from sievework.plans import serving, verdict
+from sievework.functions.scan import http_paths
 from sievework.plans.detectors.symbols import name_tokens
 from sievework.session import Scratch, read
 
@@ -306,16 +306,129 @@ def capped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_per(read(spark, sf_dir, "lineitem").filter("l_quantity >= 30"), ["l_orderkey"], ["l_linenumber", "l_quantity", "l_partkey", "l_suppkey"], 2).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("""SELECT o_orderkey, (lag(o_orderkey) OVER w)::VARCHAR AS previous, (lead(o_orderkey) OVER w)::VARCHAR AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+@query("""SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS r FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY r, o_totalprice DESC NULLS LAST, o_orderkey)""")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).cast("string").alias("previous"), F.lead("o_orderkey").over(w).cast("string").alias("next"))
+    """The reading order of findings applied to orders: a customer's orders by status and price."""
+    o = read(spark, sf_dir, "orders")
+    rank = F.when(_C("o_orderstatus") == "F", "high").when(_C("o_orderstatus") == "O", "medium").otherwise("low")
+    q = serving.queue(o.select(_C("o_custkey").alias("workspace"), _C("o_orderkey").alias("fingerprint"), rank.alias("severity"), _C("o_totalprice").alias("confidence")))
+    return q.select(_C("fingerprint").alias("o_orderkey"), "previous", "next")
 
 
 @query(
     """SELECT cluster_key, CASE WHEN p LIKE '/%' THEN p ELSE '/' || p END AS path FROM (SELECT DISTINCT cluster_key, regexp_replace(regexp_replace(regexp_replace(split_part(cluster_key, ' ', 2), '\\?.*$', ''), '/+[0-9]+(/|$)', '/:id\\1', 'g'), '/+', '/', 'g') AS p FROM verdict_log WHERE cluster_key LIKE '% /%')"""
 )
 def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.split_part(_C("cluster_key"), F.lit(" "), F.lit(2)), r"\?.*\z", ""), r"/+[0-9]+(/|\z)", "/:id$1"), "/+", "/")
-    d = read(spark, sf_dir, "verdict_log").filter("cluster_key LIKE '% /%'").select("cluster_key", p.alias("p")).distinct()
-    return d.select("cluster_key", F.when(_C("p").startswith("/"), _C("p")).otherwise(F.concat(F.lit("/"), "p")).alias("path"))
+    """The engine's normalisation of paths over all keys of writing calls."""
+    d = read(spark, sf_dir, "verdict_log").filter("cluster_key LIKE '% /%'").select("cluster_key").distinct()
+    return d.select("cluster_key", http_paths(F.split_part(_C("cluster_key"), F.lit(" "), F.lit(2))).alias("path"))
+
+
+# --- evidence, symbols, scans -----------------------------------------------------------------------
+_SYM = "y AS (SELECT * FROM (SELECT id, name, file, exported, line_range.start_line AS a, line_range.end_line AS b, row_number() OVER (PARTITION BY id ORDER BY file, line_range.start_line, line_range.end_line, name) AS rn FROM symbols WHERE id IS NOT NULL AND file IS NOT NULL) WHERE rn = 1)"
+_PLACES = "pl AS (SELECT DISTINCT path AS file, n::INT AS line FROM (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM sources WHERE path IS NOT NULL) WHERE t LIKE '%return%')"
+
+
+def return_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line) of all lines that return something."""
+    d = read(spark, sf_dir, "sources").filter("path IS NOT NULL").select(_C("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    return d.filter(_C("t").contains("return")).select("file", (_C("i") + 1).cast("int").alias("line"))
+
+
+_INNER = "i AS (SELECT file, line, id AS symbol_id, name AS enclosing FROM (SELECT pl.file, pl.line, y.id, y.name, row_number() OVER (PARTITION BY pl.file, pl.line ORDER BY b - a, a DESC, id) AS r FROM pl JOIN y ON y.file = pl.file AND pl.line BETWEEN a AND b) WHERE r = 1)"
+
+
+@query(f"WITH {_SYM}, {_PLACES}, {_INNER} SELECT file, line, symbol_id FROM i")
+def enclosing_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that return something with the innermost symbol around them."""
+    return serving.enclosing_symbols(return_places(spark, sf_dir), read(spark, sf_dir, "symbols"))
+
+
+@query(
+    f"""WITH {_SYM}, {_PLACES}, {_INNER}, l AS (SELECT path AS file, max(string_split(text, chr(10))) AS ls FROM sources GROUP BY path)
+SELECT pl.file, pl.line, i.symbol_id, i.enclosing, coalesce(array_to_string((SELECT list(name ORDER BY a, id) FROM y WHERE y.file = pl.file AND exported AND (i.symbol_id IS NULL OR y.id <> i.symbol_id))[1:6], ','), '') AS siblings,
+sha256(array_to_string(l.ls[greatest(pl.line - 8, 1):pl.line + 8], chr(10))) AS shown FROM pl LEFT JOIN i ON i.file = pl.file AND i.line = pl.line JOIN l ON l.file = pl.file"""
+)
+def triage_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of every line that returns something: enclosing symbol, exported siblings, the lines around it."""
+    t = serving.triage_context(return_places(spark, sf_dir), read(spark, sf_dir, "symbols"), read(spark, sf_dir, "sources"))
+    return t.select("file", "line", "symbol_id", "enclosing", F.array_join("siblings", ",").alias("siblings"), F.sha2("window", 256).alias("shown"))
+
+
+@query(
+    f"""WITH {_SYM} SELECT DISTINCT 'shown:' || s.id AS fingerprint, s.file, s.line_range.start_line AS line, y.id AS symbol_id FROM symbols s JOIN y ON y.file = s.file AND y.a = s.line_range.start_line WHERE s.id IS NOT NULL AND s.file IS NOT NULL"""
+)
+def evidence_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on every symbol's first line, led back to the symbols that start there."""
+    s = read(spark, sf_dir, "symbols").filter("id IS NOT NULL")
+    e = F.array(F.struct("file", "line_range", F.lit("").alias("snippet"), F.lit(None).cast("string").alias("note")))
+    return serving.evidence_symbols(s.select(F.concat(F.lit("shown:"), "id").alias("fingerprint"), e.alias("evidence")), read(spark, sf_dir, "symbols"))
+
+
+_LABEL = """coalesce(CASE WHEN json_valid(note) AND note->>'method' IS NOT NULL AND note->>'pathPattern' IS NOT NULL THEN (note->>'method') || ' ' || (note->>'pathPattern') END,
+CASE WHEN json_valid(note) AND note->>'entity' IS NOT NULL AND note->>'column' IS NOT NULL THEN (note->>'entity') || '.' || (note->>'column') END, CASE WHEN json_valid(note) THEN note->>'target' END, nullif(regexp_extract(title, '[`''"]([^`''"]+)[`''"]', 1), ''), title)"""
+
+
+@query(
+    f"""WITH {_LATEST}, d AS (SELECT *, {_LABEL} AS label FROM (SELECT *, evidence[1].note AS note FROM l WHERE snapshot_no = 6)), c AS (SELECT *, count(*) OVER (PARTITION BY workspace, label) AS cluster_size FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, cluster_size DESC, confidence DESC NULLS LAST, fingerprint) AS position FROM c)
+SELECT workspace, fingerprint, severity, cluster_size, position, ((position - 1) // 20 + 1)::INT AS page FROM r"""
+)
+def cluster_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading order with big clusters first, and the page of each finding."""
+    return serving.cluster_queue(latest_findings(spark, sf_dir)).withColumn("position", _C("position").cast("long"))
+
+
+@query(f"WITH {_LATEST}, d AS (SELECT *, {_LABEL} AS label FROM (SELECT *, evidence[1].note AS note FROM l WHERE snapshot_no = 6)) SELECT label, count(*) AS n, CASE min(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS worst, array_to_string(list_sort(list(DISTINCT detector_id)), ',') AS detectors FROM d GROUP BY label")
+def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.cluster_groups(latest_findings(spark, sf_dir)).withColumn("detectors", F.array_join("detectors", ","))
+
+
+@query(f"WITH {_LATEST} SELECT workspace, count(*) AS findings, round(100.0 * count(*) FILTER (layer = 3) / count(*), 1) AS layer3_percent FROM l WHERE snapshot_no = 6 GROUP BY workspace")
+def layer_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.layer_share(latest_findings(spark, sf_dir))
+
+
+def _as_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as scans with their findings."""
+    f = latest_findings(spark, sf_dir, None)
+    g = f.groupBy("workspace", "snapshot_no").agg(F.max(F.unix_micros(_C("delivered_at").cast("timestamp"))).alias("started_at"), F.collect_list(F.struct("fingerprint", "detector_id", "severity", "confidence", "title", "evidence", "suggestion", "llm_false_positive")).alias("findings"))
+    return g.select(F.concat_ws("#", "workspace", _C("snapshot_no").cast("string")).alias("scan_id"), _C("workspace").alias("workspace_root"), F.lit("done").alias("state"), "started_at", _C("started_at").alias("finished_at"), "findings", "snapshot_no")
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored false positives and what is kept open, told by the fingerprints' hashes."""
+    f = read(spark, sf_dir, "findings").select("fingerprint", F.substring(F.sha2("fingerprint", 256), 1, 1).alias("d"))
+    return f.filter(_C("d").isin("0", "1", "2")), f.filter("d = '0'")
+
+
+_BUCKET = "CASE WHEN substr(sha256(fingerprint), 1, 1) = '0' THEN 'open' WHEN substr(sha256(fingerprint), 1, 1) IN ('1', '2') OR llm_false_positive IS NOT NULL THEN 'false-positive' ELSE 'open' END"
+
+
+@query(
+    f"""WITH {_LATEST}, b AS (SELECT *, workspace || '#' || snapshot_no AS scan_id, {_BUCKET} AS bucket FROM l), s AS (SELECT scan_id, any_value(snapshot_no) AS no, epoch_us(max(delivered_at)) AS started_at FROM b GROUP BY scan_id),
+h AS (SELECT scan_id FROM s WHERE no < 6 ORDER BY started_at DESC, scan_id LIMIT 50), p AS (SELECT scan_id FROM s WHERE no = 6 UNION ALL SELECT scan_id FROM h)
+SELECT scan_id, count(*) FILTER (bucket = 'open' AND severity = 'high') AS high, count(*) FILTER (bucket = 'open' AND severity = 'medium') AS medium, count(*) FILTER (bucket = 'open' AND severity = 'low') AS low, count(*) FILTER (bucket = 'false-positive') AS false_positives FROM b JOIN p USING (scan_id) GROUP BY scan_id"""
+)
+def scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest snapshots as live scans beside the 50 newest earlier ones, parted by today's marks."""
+    s = _as_scans(spark, sf_dir)
+    return serving.scans(s.filter("snapshot_no < 6"), s.filter("snapshot_no = 6"), *_marks(spark, sf_dir)).select("scan_id", *serving.SEVERITIES, "false_positives")
+
+
+@query(f"WITH {_LATEST} SELECT fingerprint, severity, {_BUCKET} AS bucket FROM l WHERE snapshot_no = 6 AND workspace = 'atlas-core'")
+def scan_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan's findings with their buckets; the scan asked for is the feature."""
+    return serving.scan(_as_scans(spark, sf_dir), "atlas-core#6", "atlas-core", *_marks(spark, sf_dir)).select("fingerprint", "severity", "bucket")
+
+
+@query(
+    f"""WITH {_LATEST}, m AS (SELECT DISTINCT fingerprint FROM findings WHERE substr(sha256(fingerprint), 1, 1) IN ('3', '4'))
+SELECT fingerprint, title, confidence FROM (SELECT l.*, row_number() OVER (PARTITION BY l.fingerprint ORDER BY CASE WHEN snapshot_no = 6 THEN 1 ELSE 0 END DESC, CASE WHEN snapshot_no = 6 THEN NULL ELSE t END DESC, title) AS r
+FROM (SELECT *, max(delivered_at) OVER (PARTITION BY workspace, snapshot_no) AS t FROM l) l JOIN m USING (fingerprint)) WHERE r = 1"""
+)
+def marked_to_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest finding of each marked fingerprint, live ones first."""
+    s = _as_scans(spark, sf_dir)
+    marked = read(spark, sf_dir, "findings").filter(F.substring(F.sha2("fingerprint", 256), 1, 1).isin("3", "4"))
+    return serving.marked_to_fix(marked, latest_findings(spark, sf_dir), s.filter("snapshot_no < 6")).select("fingerprint", "title", "confidence")

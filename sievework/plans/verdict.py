@@ -139,8 +139,10 @@ def ask(chunks: DataFrame, provider: Callable[[str, str], str] = stub_provider,
 def split_false_positives(findings: DataFrame, fp_set: DataFrame, kept_open: DataFrame) -> DataFrame:
     """Findings with ``bucket`` open or false-positive: kept open wins over the stored set, that over the automatic mark.
 
-    A kept-open finding loses its automatic mark.
+    A kept-open finding loses its automatic mark. Findings stored without marks have none.
     """
+    if "llm_false_positive" not in findings.columns:
+        findings = findings.withColumn("llm_false_positive", F.lit(None).cast("struct<confidence:double,reason:string>"))
     one = lambda d, n: d.select("fingerprint", F.lit(True).alias(n)).distinct()
     j = findings.join(one(fp_set, "_fp"), "fingerprint", "left").join(one(kept_open, "_open"), "fingerprint", "left")
     bucket = F.when(_C("_open"), "open").when(_C("_fp") | _C("llm_false_positive").isNotNull(), "false-positive").otherwise("open")

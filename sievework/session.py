@@ -35,11 +35,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the session sets it.
 
-    Only where it is unset (tests, one machine) a temporary folder is made and kept in the
-    session for later calls.
+    Only where it is unset on one machine (a local master, as in tests) a temporary folder is made and
+    kept for later calls; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             own = tempfile.mkdtemp(prefix="sievework-")

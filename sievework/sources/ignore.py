@@ -69,22 +69,30 @@ class Ignore:
         return [p for p in paths if not self.ignores(p)]
 
 
-def load_ignore(root: str, names: tuple[str, ...] = (".gitignore", ".sieveworkignore")) -> Ignore:
+def load_ignore(root: str, names: tuple[str, ...] = (".gitignore", ".sieveworkignore"), below: str = "", deep: bool = True) -> Ignore:
+    """Rules of the ignore files of ``root``, of the folder ``below``, of those between, and (``deep``) of those below."""
     found = []
-    for d, subs, files in os.walk(root):
+
+    def take(rel: str, files: Iterable[str]) -> None:
+        for n in names:
+            if n in files and (n == names[0] or not rel):
+                with open(os.path.join(root, rel, n), encoding="utf-8", errors="replace") as f:
+                    found.append((rel, f.read()))
+
+    parts = below.split("/") if below else []
+    for k in range(len(parts) + (not deep)):
+        take("/".join(parts[:k]), os.listdir(os.path.join(root, *parts[:k])))
+    for d, subs, files in os.walk(os.path.join(root, below)) if deep else ():
         subs[:] = [s for s in subs if s not in ALWAYS]
         rel = os.path.relpath(d, root).replace(os.sep, "/")
-        for n in names:
-            if n in files and (n == names[0] or rel == "."):
-                with open(os.path.join(d, n), encoding="utf-8", errors="replace") as f:
-                    found.append(("" if rel == "." else rel, f.read()))
+        take("" if rel == "." else rel, files)
     return Ignore(found)
 
 
-def enumerate_files(root: str, ignore: Ignore, extensions: Iterable[str] | None = None, name: str | None = None) -> Iterator[str]:
-    """Posix paths of the files that aren't ignored, ignored folders pruned before descent, in order."""
+def enumerate_files(root: str, ignore: Ignore, extensions: Iterable[str] | None = None, name: str | None = None, below: str = "") -> Iterator[str]:
+    """Posix paths of the files (under ``below``) that aren't ignored, ignored folders pruned before descent, in order."""
     wanted, rx = set(extensions or ()), re.compile(name) if name else None
-    for d, subs, files in os.walk(root):
+    for d, subs, files in os.walk(os.path.join(root, below)):
         rel = os.path.relpath(d, root).replace(os.sep, "/")
         base = "" if rel == "." else rel + "/"
         subs[:] = sorted(s for s in subs if not ignore.ignores(f"{base}{s}/"))

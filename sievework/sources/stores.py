@@ -23,20 +23,41 @@ def persist_scan(scan: DataFrame, folder: str) -> None:
 
 
 def read_set(spark: SparkSession, path: str) -> DataFrame:
-    """A stored fingerprint set; a missing one is empty."""
-    try:
-        return spark.read.schema("fingerprint string").parquet(path).filter("fingerprint IS NOT NULL").distinct()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "fingerprint string")
+    """A stored fingerprint set; a missing one is empty. Between a write's two renames the new set is read."""
+    for place in (path, path + ".new"):
+        if _exists(spark, place + "/_SUCCESS"):
+            return spark.read.schema("fingerprint string").parquet(place).filter("fingerprint IS NOT NULL").distinct()
+    return spark.createDataFrame([], "fingerprint string")
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
 
 
 def write_set(fps: DataFrame, path: str) -> None:
-    """Sorted and distinct; written beside the old set first, so a failure leaves that whole."""
+    """Sorted and distinct; written beside the old set and then renamed, so at every moment a whole set is read.
+
+    ``fps`` may derive from the set at ``path`` itself, whose files stay until the new ones are written.
+    """
     spark = fps.sparkSession
+    if not _exists(spark, path + "/_SUCCESS") and _exists(spark, path + ".new/_SUCCESS"):
+        _rename(spark, path + ".new", path)  # a write that ended between its renames
     fps.select("fingerprint").distinct().sort("fingerprint").write.mode("overwrite").parquet(path + ".new")
-    spark.read.parquet(path + ".new").write.mode("overwrite").parquet(path)
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+    _rename(spark, path + ".new", path)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    p, fs = _fs(spark, source)
+    if not fs.rename(p, _fs(spark, target)[0]):
+        raise OSError(f"could not rename {source} to {target}")
 
 
 def move(spark: SparkSession, fps: DataFrame, to: str, away_from: str) -> None:

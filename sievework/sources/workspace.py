@@ -6,14 +6,16 @@ import json
 import os
 import posixpath
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.config_rules import merge_extends, read_jsonc
 from sievework.plans.corpus import Corpus
+from sievework.session import ship
 from sievework.sources.ignore import enumerate_files, load_ignore
 
 CONFIG_FILES = ("sievework.config.json", ".sievework.json")
@@ -173,25 +175,72 @@ def tsconfig_aliases(root: str, depth: int = 8) -> list[tuple[str, bool, list[st
     return out
 
 
-def load_sources(spark: SparkSession, workspaces: Iterable[Workspace], extensions: Iterable[str] = DEFAULT_EXTENSIONS, only: Sequence[str] | None = None) -> DataFrame:
-    """(workspace, path, text) of the files that aren't ignored, configuration files among them.
+_CONFIG_NAMES = re.compile(r"^(?:package\.json|tsconfig.*\.json|\.eslintrc.*|eslint\.config\..*|biome\.jsonc?|\.env\..*|.*\.(?:example|sample|template)|Dockerfile.*|docker-compose.*\.ya?ml)$")
+#: Levels of folders that the driver lists; what lies deeper is walked by the executors.
+LISTED_LEVELS = 2
 
-    The listing prunes ignored folders on the driver; texts are read by the executors from the
-    listed paths. ``only`` restricts to these paths; an empty list means all.
+
+def _pieces(root: str) -> list[tuple[str, bool]]:
+    """(folder, whole) of a workspace: folders above the listed levels give their own files only, the others all below them."""
+    out, level = [], [""]
+    for depth in range(LISTED_LEVELS + 1):
+        out += [(d, depth == LISTED_LEVELS) for d in level]
+        if depth < LISTED_LEVELS:
+            level = [sub for d in level for sub in _folders(root, d)]
+    return out
+
+
+def _folders(root: str, d: str) -> list[str]:
+    """Folders in ``d`` that aren't ignored."""
+    base, ignore = f"{d}/" if d else "", load_ignore(root, below=d, deep=False)
+    return sorted(base + e.name for e in os.scandir(os.path.join(root, d)) if e.is_dir(follow_symlinks=False) and not ignore.ignores(f"{base}{e.name}/"))
+
+
+def _reader(wanted: tuple[str, ...], keep: frozenset[str] | None):
+    """(workspace, root, folder, whole) to (workspace, path, text) of the wanted files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, root, folder, whole in zip(*(c.to_pylist() for c in b.columns)):
+                ignore = load_ignore(root, below=folder, deep=whole)
+                if whole:
+                    paths = enumerate_files(root, ignore, below=folder)
+                else:
+                    base = f"{folder}/" if folder else ""
+                    paths = (base + e.name for e in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name) if e.is_file() and not ignore.ignores(base + e.name))
+                held: list[tuple[str, str]] = []
+                size = 0
+                for p in paths:
+                    if (os.path.splitext(p)[1] in wanted or _CONFIG_NAMES.match(posixpath.basename(p))) and (keep is None or p in keep) and (text := read_source(root, p)) is not None:
+                        held.append((p, text))
+                        size += len(text)
+                        if size > 16 << 20:
+                            yield _sources_batch(name, held)
+                            held, size = [], 0
+                if held:
+                    yield _sources_batch(name, held)
+
+    return run
+
+
+def _sources_batch(name: str, held: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array([p for p, _ in held], pa.string()), pa.array([t for _, t in held], pa.string())], ["workspace", "path", "text"])
+
+
+def load_sources(spark: SparkSession, workspaces: Sequence[Workspace], extensions: Iterable[str] = DEFAULT_EXTENSIONS, only: Sequence[str] | None = None) -> DataFrame:
+    """``(workspace, path, text)`` of the files that aren't ignored, sources and configuration.
+
+    The driver lists the first folders only; executors walk, filter and read what lies below, so the roots must be
+    folders that all of them see. ``only`` restricts to these paths; an empty list means all.
     """
+    ship(spark)
     out = None
     for w in workspaces:
-        ignore = load_ignore(w.root)
-        wanted = tuple(extensions)
-        config = re.compile(r"^(?:package\.json|tsconfig.*\.json|\.eslintrc.*|eslint\.config\..*|biome\.jsonc?|\.env\..*|.*\.(?:example|sample|template)|Dockerfile.*|docker-compose.*\.ya?ml)$")
-        paths = [p for p in enumerate_files(w.root, ignore) if os.path.splitext(p)[1] in wanted or config.match(posixpath.basename(p))]
-        if only:
-            keep = {os.path.relpath(p, w.root).replace(os.sep, "/") if os.path.isabs(p) else p for p in only}
-            paths = [p for p in paths if p in keep]
-        if not paths:
-            continue
-        root = os.path.realpath(w.root).replace(os.sep, "/")
-        d = spark.read.text([f"file://{root}/{p}" for p in paths], wholetext=True).select(F.lit(w.name).alias("workspace"), F.substring_index(F.expr("url_decode(_metadata.file_path)"), root + "/", -1).alias("path"), F.col("value").alias("text"))
+        root = os.path.realpath(w.root)
+        keep = frozenset(os.path.relpath(p, w.root).replace(os.sep, "/") if os.path.isabs(p) else p for p in only) if only else None
+        pieces = [(w.name, root, d, whole) for d, whole in _pieces(root)]
+        d = spark.createDataFrame(pieces, "workspace string, root string, folder string, whole boolean").repartition(max(1, min(len(pieces), 4 * spark.sparkContext.defaultParallelism)), "folder")
+        d = d.mapInArrow(_reader(tuple(extensions), keep), "workspace string, path string, text string")
         out = d if out is None else out.unionByName(d)
     return out if out is not None else spark.createDataFrame([], "workspace string, path string, text string")
 
