@@ -460,11 +460,12 @@ def symbols(path: str, text: str) -> Iterator[dict]:
             fields = _class_fields(src, b, match[b])
         yield row("interface" if kind == "interface" else "class", name, start, match[b] + 1, exported, default, {"kind": "object", "raw": None, "fields": fields})
     for f in callables(src):
-        if not f.name or f.kind not in ("function", "arrow", "expression"):
+        if f.kind not in ("function", "arrow", "expression"):
             continue
         variable = f.kind != "function"
-        bound = _binding(masked, match, f.start)
-        if variable and not bound:
+        bound = _binding(masked, match, f.start) if variable else None
+        name = (bound[2] if bound else None) if variable else f.name  # a function expression goes by its variable's name
+        if not name:
             continue
         begin = bound[0] if variable else f.start
         default = _word_back(masked, begin, "default")
@@ -478,7 +479,7 @@ def symbols(path: str, text: str) -> Iterator[dict]:
         norm = collapse(body)
         ret = f.returns or "unknown"
         fn = {"params": params_of(src, f), "return_type": re.sub(r"\s+", " ", ret), "is_async": f.is_async, "is_generator": f.is_generator, "body": body, "body_normalized": norm, "body_shingles": shingles(norm)}
-        yield row("function", f.name, start, f.body[1], export is not None, None if variable else default is not None, None, fn)
+        yield row("function", name, start, f.body[1], export is not None, None if variable else default is not None, None, fn)
 
 
 def _class_fields(src: Source, a: int, b: int) -> list[dict]:
