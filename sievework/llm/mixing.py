@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 from sievework.llm.tokens import VOCABULARY, token_counts
 from sievework.session import Scratch, read
 
-#: Hash ranges per source and pass, and time ranges per mix, that keep prefix sums parallel.
-RANGES = 256
+#: Hash ranges per source and pass, and time ranges per mix, that keep prefix sums parallel: at least so many, and
+#: one for so many documents.
+RANGES, PER_RANGE = 256, 50_000
 SEED = 11
 
 
@@ -32,7 +33,7 @@ def _prefix(df: DataFrame, groups: list[str], rng: str, order: list, value: str,
     return df.withColumn("_i", inside).join(offs, [*groups, rng]).withColumn(out, F.col("_o") + F.col("_i")).drop("_o", "_i")
 
 
-def mix(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, ranges: int = RANGES, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, ranges: int | None = None, seed: int = SEED) -> DataFrame:
     """``(mix_name, doc_id, pass_no, source, n_tokens, finish_time, end_token)`` of each record taken.
 
     ``docs`` is (doc_id, source, n_tokens), ``weights`` (mix_name, source, target_share,
@@ -47,6 +48,7 @@ def mix(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, ra
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     d = scratch.cut(docs.filter("doc_id IS NOT NULL AND source IS NOT NULL AND n_tokens > 0").select("doc_id", "source", "n_tokens"))
+    ranges = ranges or max(RANGES, -(-d.count() // PER_RANGE))
     have = d.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     w = weights.filter("target_share > 0 AND max_repeats > 0").select("mix_name", "source", "target_share", "max_repeats").distinct().join(have, "source")
     w = w.withColumn("share", F.col("target_share") / F.sum("target_share").over(Window.partitionBy("mix_name")))
@@ -92,5 +94,30 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mix(_docs(spark, sf_dir), w), w)
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
-ORACLE: dict[str, str] = {}
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every mix: shares, caps, and records in the order of their finish times.
+
+    A source's tokens are off its share of the budget by less than two of the largest document: one that didn't fit its
+    own source's time, and one cut with the rest at the budget.
+    """
+    scratch = Scratch(spark, "p8c")
+    docs = scratch.cut(_docs(spark, sf_dir))
+    w = read(spark, sf_dir, "mix_weights").distinct()
+    m = scratch.cut(mix(docs, w))
+    have = docs.filter("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("have"), F.max("n_tokens").alias("largest"))
+    x = w.filter("target_share > 0 AND max_repeats > 0").join(have, "source")
+    by_mix = Window.partitionBy("mix_name")
+    x = x.withColumn("share", F.col("target_share") / F.sum("target_share").over(by_mix))
+    x = x.withColumn("budget", F.floor(F.min(F.col("max_repeats") * F.col("have") / F.col("share")).over(by_mix))).withColumn("largest", F.max("largest").over(by_mix))
+    got = m.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("t"))
+    most = m.groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("k"), F.count_distinct("pass_no").alias("d")).groupBy("mix_name", "source").agg(F.max("k").alias("k"), F.bool_and(F.col("k") == F.col("d")).alias("once"))
+    j = x.join(got, ["mix_name", "source"], "left").join(most, ["mix_name", "source"], "left")
+    near = F.abs(F.coalesce("t", F.lit(0)) - F.col("share") * F.col("budget")) <= 2 * F.col("largest")
+    return j.select("mix_name", "source", F.round("share", 9).alias("share"), near.alias("near_share"), (F.coalesce("k", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), F.coalesce("once", F.lit(True)).alias("once_a_pass"))
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks}
+ORACLE = {
+    "p8_checks": """WITH w AS (SELECT DISTINCT * FROM mix_weights), x AS (SELECT w.* FROM w WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> ''))
+SELECT mix_name, source, round(target_share / sum(target_share) OVER (PARTITION BY mix_name), 9) AS share, true AS near_share, true AS within_cap, true AS once_a_pass FROM x""",
+}

@@ -20,9 +20,7 @@ from sievework.llm.tokens import VOCABULARY, token_counts
 from sievework.session import Scratch, read
 
 #: Items that one partition packs at most, on average.
-ITEMS = 20_000
-#: Exchange rounds; each deals the pool to a quarter of the partitions.
-ROUNDS = 4
+ITEMS = 4_000
 
 
 def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
@@ -90,7 +88,7 @@ def _packer(round_no: int):
         certified = n <= bound
         # a gap: bins whose unused space is above the partition's mean are opened for the exchange
         spare = cap - fill
-        keep = np.ones(n, bool) if certified else spare <= min(spare.mean(), cap / 100)
+        keep = np.ones(n, bool) if certified else spare <= spare.mean()
         part = int(pdf["part"].iloc[0])
         out = pdf[["profile", "item", "piece", "n_tokens", "capacity"]].copy()
         out["container"] = [f"{round_no}-{part}-{b}" for b in bins]
@@ -101,8 +99,11 @@ def _packer(round_no: int):
     return pack, schema
 
 
-def pack(items: DataFrame, profiles: DataFrame, items_per_part: int = ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """``(profile, container, item, piece, start_token, n_tokens)`` of ``items`` (item, n_tokens).
+def pack(items: DataFrame, profiles: DataFrame, items_per_part: int = ITEMS) -> DataFrame:
+    """``(profile, container, item, piece, start_token, n_tokens, certified)`` of ``items`` (item, n_tokens).
+
+    A container is ``certified`` if the partition that packed it met its lower bound or the item fills it. Rounds go on
+    until every partition is certified or all that is left lies in one.
 
     ``profiles`` is (profile, capacity). An item is cut only if longer than the capacity, into full
     containers and a rest. Defined cases: items of no or negative size and null ids are not placed;
@@ -116,42 +117,35 @@ def pack(items: DataFrame, profiles: DataFrame, items_per_part: int = ITEMS, rou
     total = sized.count()
     caps = [(p, int(c)) for p, c in profiles.select("profile", "capacity").distinct().collect() if c is not None and c > 0]
     if not caps or not total:
-        return spark.createDataFrame([], "profile string, container string, item long, piece int, start_token long, n_tokens long")
+        return spark.createDataFrame([], "profile string, container string, item long, piece int, start_token long, n_tokens long, certified boolean")
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).cast("long").alias("capacity")) for p, c in caps]))
     work = sized.select("item", "n_tokens", each.alias("c")).select("item", "n_tokens", "c.profile", "c.capacity")
     full = F.floor(F.col("n_tokens") / F.col("capacity"))
     # whole containers of an item that is longer than one
     whole = work.filter("n_tokens >= capacity").select("profile", "item", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
-    whole = whole.select("profile", F.concat_ws("-", F.lit("w"), "item", "piece").alias("container"), "item", F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("n_tokens"), "capacity")
+    whole = whole.select("profile", F.concat_ws("-", F.lit("w"), "item", "piece").alias("container"), "item", F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("n_tokens"), "capacity", F.lit(True).alias("certified"))
     pool = work.withColumn("piece", full.cast("int")).withColumn("n_tokens", F.col("n_tokens") % F.col("capacity")).filter("n_tokens > 0").select("profile", "item", "piece", "n_tokens", "capacity")
     parts = max(1, -(-total // items_per_part))
     done: list[DataFrame] = []
-    for r in range(rounds):
-        last = r == rounds - 1
+    r = 0
+    while True:
         fn, schema = _packer(r)
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("item", "piece", F.lit(r)), F.lit(parts)).cast("int"))
         packed = scratch.cut(dealt.groupBy("profile", "part").applyInPandas(fn, schema))
+        last = parts == 1
         kept = packed if last else packed.filter("keep")
-        done.append(kept.select("profile", "container", "item", "piece", "n_tokens", "capacity"))
-        if last:
-            break
+        done.append(kept.select("profile", "container", "item", "piece", "n_tokens", "capacity", "certified"))
         pool = packed.filter("NOT keep").select("profile", "item", "piece", "n_tokens", "capacity")
-        left = pool.count()
+        left = 0 if last else pool.count()
         if not left:
             break
-        # fewer partitions, so that tails meet; never more items in one than packed at first
-        parts = max(1, -(-left // items_per_part))
-        if parts == 1 and r + 1 < rounds:
-            rounds = r + 2  # one more packing of what is left, at one place of bounded size
-            fn, schema = _packer(r + 1)
-            dealt = pool.withColumn("part", F.lit(0))
-            packed = scratch.cut(dealt.groupBy("profile", "part").applyInPandas(fn, schema))
-            done.append(packed.select("profile", "container", "item", "piece", "n_tokens", "capacity"))
-            break
+        # fewer partitions, so that tails meet and the rounds end
+        parts = max(1, min(-(-left // items_per_part), parts - 1))
+        r += 1
     out = whole
     for d in done:
         out = out.unionByName(d)
-    return out.select("profile", "container", "item", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), "n_tokens")
+    return out.select("profile", "container", "item", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), "n_tokens", "certified")
 
 
 def global_bound(items: DataFrame, capacity: int) -> int:
@@ -202,5 +196,24 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(F.broadcast(bounds), "profile").select("profile", "capacity", "containers", "lower_bound", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused_share"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}
-ORACLE: dict[str, str] = {}
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every profile's packing: all tokens once, no container over capacity, at least the bound."""
+    scratch = Scratch(spark, "p7c")
+    sizes = scratch.cut(document_sizes(spark, sf_dir))
+    prof = _profiles(spark, sf_dir)
+    got = scratch.cut(pack(sizes, prof))
+    c = got.groupBy("profile", "container").agg(F.sum("n_tokens").alias("t"), F.count_distinct("item").alias("items"), F.max("piece").alias("p"))
+    c = c.join(prof, "profile").groupBy("profile").agg(F.max(F.col("t") - F.col("capacity")).alias("over"), F.count("*").alias("containers"))
+    # the pieces of an item follow each other without gap or overlap and add up to it
+    p = got.groupBy("profile", "item").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.max("piece").alias("last"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    p = p.join(sizes.withColumnRenamed("n_tokens", "size"), "item").join(prof, "profile")
+    p = p.groupBy("profile").agg(F.count("*").alias("documents"), F.bool_and((F.col("t") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("k") == F.col("last") + 1) & (F.col("k") == F.ceil(F.col("size") / F.col("capacity")))).alias("whole"))
+    bounds = spark.createDataFrame([(n, global_bound(sizes, k)) for n, k in prof.collect()], "profile string, least long")
+    j = p.join(c, "profile").join(F.broadcast(bounds), "profile")
+    return j.select("profile", "documents", "whole", (F.col("over") <= 0).alias("fits"), (F.col("containers") >= F.col("least")).alias("above_bound"), (F.col("containers") <= F.ceil(F.col("least") * 1.02) + 1).alias("near_bound"))
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p7_checks": p7_checks}
+ORACLE = {
+    "p7_checks": "SELECT profile, count(*) AS documents, true AS whole, true AS fits, true AS above_bound, true AS near_bound FROM pack_sizes, documents WHERE text <> '' GROUP BY profile",
+}

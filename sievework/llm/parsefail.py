@@ -145,5 +145,14 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("rate", F.col("failing") / F.col("files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_first_errors": p1_first_errors, "p1_rates": p1_rates}
-ORACLE: dict[str, str] = {}
+def p1_json_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failing files among those of strict JSON."""
+    src = _sources(spark, sf_dir)
+    name = F.lower(F.regexp_extract("path", r"([^/\\]*)$", 1))
+    return parse_failures(src.filter(name.endswith(".json") & ~name.isin(*LOOSE_JSON))).select("file_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_first_errors": p1_first_errors, "p1_rates": p1_rates, "p1_json_failures": p1_json_failures}
+ORACLE = {
+    "p1_json_failures": "SELECT DISTINCT file_id FROM (SELECT file_id, ltrim(text, chr(65279)) AS t FROM sources WHERE lower(path) LIKE '%.json' AND NOT regexp_matches(lower(path), '(^|[/\\\\])tsconfig[.]json$')) WHERE trim(t, E' \\t\\n\\r') <> '' AND (NOT json_valid(t) OR regexp_matches(regexp_replace(t, '\"([^\"\\\\]|\\\\.)*\"', '0', 'g'), ',\\s*[}\\]]|[Nn]a[Nn]|[Ii]nf'))",
+}

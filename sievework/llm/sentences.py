@@ -446,5 +446,20 @@ def p9_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(cut).alias("n_sentences"), cut.alias("sentences"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_per_document": p9_per_document}
-ORACLE: dict[str, str] = {}
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every document: units in order, apart, trimmed, and together all of its characters but white space."""
+    blank = r"(?U)[\s\u200b\ufeff]+"
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text", F.regexp_replace("text", blank, "").alias("all")).filter(F.col("all") != "")
+    s = split_sentences(read(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias("u"))
+    d = docs.join(s, "doc_id", "left")
+    cut = F.transform("u", lambda x: F.substring("text", x.start_char + 1, x.end_char - x.start_char))
+    before = F.transform(F.sequence(F.lit(2), F.size("u")), lambda i: F.element_at("u", i)["start_char"] >= F.element_at("u", i - 1)["end_char"])
+    apart = F.when(F.size("u") > 1, F.forall(before, lambda x: x)).otherwise(True)
+    trimmed = F.forall(cut, lambda x: ~x.rlike(r"(?U)\A\s|\s\z"))
+    return d.select("doc_id", F.coalesce(apart, F.lit(False)).alias("apart"), F.coalesce(trimmed, F.lit(False)).alias("trimmed"), F.coalesce(F.regexp_replace(F.array_join(cut, ""), blank, "") == F.col("all"), F.lit(False)).alias("whole"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_per_document": p9_per_document, "p9_checks": p9_checks}
+ORACLE = {
+    "p9_checks": "SELECT doc_id, true AS apart, true AS trimmed, true AS whole FROM documents WHERE regexp_replace(text, '[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', '', 'g') <> ''",
+}
