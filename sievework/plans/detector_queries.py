@@ -11,13 +11,13 @@ from sievework.session import read
 
 _C = F.col
 #: Report lengths are lifted, so that every finding comes out.
-_WHOLE = {"todo-comments": {"limit": None}, "similar-functions": {"limit": None}, "hot-hub-file": {"limit": None, "threshold": 1}, "long-function": {"low": 10, "med": 40, "high": 80}, "long-file": {"low": 40, "med": 100, "high": 200}, "deep-nesting": {"low": 1, "med": 2, "high": 3}, "magic-numbers": {"per_file": None}}
+_WHOLE = {"todo-comments": {"limit": None}, "similar-functions": {"limit": None}, "hot-hub-file": {"limit": None, "threshold": 1}, "long-function": {"low": 10, "med": 40, "high": 80}, "long-file": {"low": 40, "med": 100, "high": 200}, "deep-nesting": {"low": 1, "med": 2, "high": 3}, "magic-numbers": {"per_file": None}, "bad-config": {"depth": None}}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     src = read(spark, sf_dir, "sources").select("workspace", "path", "text")
     ws = read(spark, sf_dir, "workspaces").select(_C("name").alias("workspace"), "package_name")
-    mtime = read(spark, sf_dir, "sources").filter("path IS NOT NULL").groupBy("path").agg(F.max("mtime").alias("ts"))
+    mtime = read(spark, sf_dir, "sources").filter("path IS NOT NULL").groupBy("path").agg(F.max(_C("mtime").cast("timestamp").cast("long")).alias("ts"))
     return Corpus(src, packages=ws, given_symbols=read(spark, sf_dir, "symbols"), file_mtime=mtime)
 
 

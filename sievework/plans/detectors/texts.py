@@ -142,11 +142,13 @@ def _in_order(bases: list[tuple[list[int], str]]) -> list[str]:
 
 
 @detector("bad-config")
-def bad_config(c: Corpus) -> DataFrame:
+def bad_config(c: Corpus, depth: int | None = 2) -> DataFrame:
+    """Loose settings of compilers and linters; ``depth`` is how deep, in names, a configuration may lie."""
     d = c.fact("config").select("workspace", "path", "line", "end_line", "key", "attrs", "snippet").unionByName(_extended(c))
-    # configurations lie at a workspace's root or one folder below; scripts among the parsed files anywhere
+    # by default at a workspace's root or one folder below; scripts among the parsed files anywhere
     local = F.when(F.lit(c.multi) & _C("workspace").isNotNull(), F.expr("substring(path, length(workspace) + 2)")).otherwise(_C("path"))
-    d = d.filter((F.size(F.split(local, "/")) <= 2) | _C("path").rlike(r"\.tsx?\z"))
+    if depth is not None:
+        d = d.filter((F.size(F.split(local, "/")) <= depth) | _C("path").rlike(r"\.tsx?\z"))
     return finding(d, "bad-config", _C("attrs")["severity"], 0.95, _where(_C("attrs")["title"], " in ", _C("path")), _at(d), fingerprint("bad-config", _C("path"), ":", _C("key")), suggestion="Set the option to its strict value.")
 
 
