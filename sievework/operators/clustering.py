@@ -32,6 +32,27 @@ def distinct_actor_clusters(df: DataFrame, keys: Sequence[str], actor: str, min_
     return df.groupBy(*keys).agg(F.count_distinct(actor).alias("actors"), F.count("*").alias("sites"), *[c.alias(k) for k, c in aggs.items()]).filter(F.col("actors") >= min_actors)
 
 
+def origins(df: DataFrame, keys: Sequence[str], origin: str, at_least: int = 2, **aggs: Column) -> DataFrame:
+    """``(*keys, n)`` of the keys with ``at_least`` different origins, with further aggregates over the distinct rows."""
+    return df.select(*keys, origin).distinct().groupBy(*keys).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in aggs.items()]).filter(F.col("n") >= at_least)
+
+
+def names_in_use(df: DataFrame, key: str, name: str, at_least: int = 2) -> DataFrame:
+    """``(key, names, ranked)`` of the keys that go by several names, the most used first, then by name."""
+    per = df.groupBy(key, name).agg(F.count("*").alias("n"))
+    g = per.groupBy(key).agg(F.count("*").alias("names"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(name).alias("name")))).alias("r"))
+    return g.filter(F.col("names") >= at_least).select(key, "names", F.transform("r", lambda x: x["name"]).alias("ranked"))
+
+
+def unmet(wanted: DataFrame, given: DataFrame, on: str, items: str) -> DataFrame:
+    """Rows of ``wanted`` with the ``missing`` of their items that nobody gives under their key.
+
+    Keys under which nothing is given are left out: of them nothing is known.
+    """
+    sets = given.select(on, F.explode(items).alias("_i")).groupBy(on).agg(F.collect_set("_i").alias("_given"))
+    return wanted.join(sets, on).withColumn("missing", F.array_sort(F.array_except(items, "_given"))).filter(F.size("missing") > 0).drop("_given")
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in a total order."""
     return cap_per(df, keys, order, 1)

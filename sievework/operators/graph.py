@@ -13,6 +13,12 @@ def edges_of(imports: DataFrame) -> DataFrame:
     return imports.filter("target IS NOT NULL").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
 
 
+def in_degree(edges: DataFrame, at_least: int = 1, limit: int | None = None) -> DataFrame:
+    """``(dst, n)``: how many different sources each target has, from ``at_least`` on; ``limit`` keeps the most, by name among equals."""
+    g = edges.groupBy("dst").agg(F.count_distinct("src").alias("n")).filter(F.col("n") >= at_least)
+    return g if limit is None else g.orderBy(F.col("n").desc(), "dst").limit(limit)
+
+
 def nodes_of(imports: DataFrame) -> DataFrame:
     """Every source, resolved or not, and every target."""
     return imports.select(F.explode(F.array("source", "target")).alias("node")).filter("node IS NOT NULL").distinct()

@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 #: One key in so many starts a new chunk.
 CHUNK_ROWS = 64
-#: Key ranges by hash into which each group is split, so that a hot group is many tasks.
-BUCKETS = 64
+#: Key ranges by hash into which each group is split, so that a hot group is many tasks: at least so many, and one for
+#: so many rows of the table. Rows that one task sorts.
+BUCKETS, PER_BUCKET, PER_TASK = 64, 100_000, 500_000
 
 
 def content_digest(cols: Sequence[Column]) -> Column:
@@ -33,7 +34,7 @@ def snapshot_changes(
     delivered: str,
     pairs: Sequence[int] | None = None,
     chunk_rows: int = CHUNK_ROWS,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``(group, snapshot, key, change_kind)`` of each snapshot n against n - 1.
 
@@ -48,8 +49,10 @@ def snapshot_changes(
     snapshot had no rows then; an empty table gives no changes. ``pairs`` are the n to report, by
     default all from the table's least number plus one to its greatest.
     """
+    lo, hi, total = rows.agg(F.min(snapshot), F.max(snapshot), F.count("*")).first()
+    buckets = buckets or max(BUCKETS, -(-total // PER_BUCKET))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // PER_TASK))
     if pairs is None:
-        lo, hi = rows.agg(F.min(snapshot), F.max(snapshot)).first()
         pairs = range(lo + 1, hi + 1) if lo is not None else []
     pairs = [int(n) for n in pairs]
     wanted = sorted({m for n in pairs for m in (n - 1, n)}) or [-1]
@@ -62,7 +65,7 @@ def snapshot_changes(
         F.pmod(F.xxhash64(F.col(key), F.lit("range")), F.lit(buckets)).cast("int").alias("b"),
     )
     # one exchange on (g, b) serves the dedup, the chunking, the digests and the joins
-    r = r.repartition("g", "b").groupBy("g", "b", "n", "k").agg(F.max(F.struct("t", "d")).alias("last")).select("g", "b", "n", "k", F.col("last.d").alias("d"))
+    r = r.repartition(tasks, "g", "b").groupBy("g", "b", "n", "k").agg(F.max(F.struct("t", "d")).alias("last")).select("g", "b", "n", "k", F.col("last.d").alias("d"))
     starts = F.pmod(F.xxhash64("k"), F.lit(chunk_rows)) == 0
     order = Window.partitionBy("g", "b", "n").orderBy(F.col("k").asc_nulls_first())
     r = r.withColumn("c", F.last(F.when(starts, F.xxhash64(F.col("k"), F.lit(1))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))

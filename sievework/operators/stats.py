@@ -20,6 +20,11 @@ def latency_stats(rows: DataFrame, by: str, latency: str) -> DataFrame:
     )
 
 
+def outcome_counts(verdicts: DataFrame, by: str, hit: str) -> DataFrame:
+    """Verdicts with and without the outcome per ``by``; a null outcome counts as neither."""
+    return verdicts.groupBy(by).agg(F.count_if(hit).alias("races"), F.count_if(~F.col(hit)).alias("safe"))
+
+
 def window_summary(scans: DataFrame, by: str) -> DataFrame:
     """Per ``by``: scans, newest minus oldest high count, mean duration (unfinished as 0), mean p50 and p95 of scans with calls."""
     order = Window.partitionBy(by).orderBy("started_at", "scan_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.clustering import anti_chain
-from sievework.operators.graph import edges_of, forward_re_exports, nodes_of, reach
+from sievework.operators.clustering import anti_chain, names_in_use, origins
+from sievework.operators.graph import edges_of, forward_re_exports, in_degree, nodes_of, reach
 from sievework.plans.corpus import Corpus
 from sievework.plans.detectors import detector, finding, fingerprint, site
 from sievework.plans.detectors.symbols import distinct_symbols
@@ -105,8 +105,7 @@ def dead_api(c: Corpus) -> DataFrame:
 @detector("hot-hub-file")
 def hot_hub_file(c: Corpus, threshold: int = 20, limit: int | None = 10) -> DataFrame:
     """Files with many importers, the most imported first."""
-    g = edges_of(c.imports).groupBy(_C("dst").alias("path")).agg(F.count("*").alias("n")).filter(_C("n") >= threshold)
-    g = g if limit is None else g.orderBy(_C("n").desc(), "path").limit(limit)
+    g = in_degree(edges_of(c.imports), threshold, limit).withColumnRenamed("dst", "path")
     return finding(g, "hot-hub-file", "low", 1.0, F.concat(F.lit("Import hub: "), "path", F.lit(" ("), _C("n").cast("string"), F.lit(" importers)")), _whole(), fingerprint("hot-hub-file", _C("path")), suggestion="Split it.", workspace=F.lit(None))
 
 
@@ -116,7 +115,7 @@ def re_export_shadow(c: Corpus) -> DataFrame:
     i = c.imports.filter("is_re_export AND target IS NOT NULL")
     r = i.select(_C("source").alias("file"), F.explode(F.coalesce("re_export_local_names", "re_export_names")).alias("name"), _C("target").alias("origin"))
     local = distinct_symbols(c.symbols).filter("exported").select("file", "name", F.lit("\0local").alias("origin")).join(r.select("file", "name").distinct(), ["file", "name"], "left_semi")
-    g = r.union(local).distinct().groupBy("file", "name").agg(F.count("*").alias("n"), F.max((_C("origin") == "\0local").cast("int")).alias("own")).filter("n >= 2").withColumn("path", _C("file"))
+    g = origins(r.union(local), ["file", "name"], "origin", own=F.max((_C("origin") == "\0local").cast("int"))).withColumn("path", _C("file"))
     title = F.concat(F.lit("`"), "name", F.lit("` has "), _C("n").cast("string"), F.lit(" origins in "), "file")
     return finding(g, "re-export-shadow", F.when(_C("own") == 1, "high").otherwise("medium"), 0.92, title, _whole(), fingerprint("re-export-shadow", _C("file"), "::", _C("name")), suggestion="Publish one of them.", workspace=F.lit(None))
 
@@ -126,9 +125,8 @@ def default_name_drift(c: Corpus) -> DataFrame:
     """Default exports that importers know by different names."""
     owners = distinct_symbols(c.symbols).filter("is_default").select(_C("file").alias("target")).distinct()
     d = c.imports.filter("default_import IS NOT NULL AND target IS NOT NULL").join(owners, "target", "left_semi")
-    per = d.groupBy("target", "default_import").agg(F.count("*").alias("n"))
-    g = per.groupBy("target").agg(F.count("*").alias("names"), F.array_sort(F.collect_list(F.struct((-_C("n")).alias("k"), "default_import"))).alias("ranked")).filter("names >= 2").withColumn("path", _C("target"))
-    title = F.concat(F.lit("Default export of "), "target", F.lit(" goes by "), F.array_join(F.transform("ranked", lambda r: r.default_import), ", "))
+    g = names_in_use(d, "target", "default_import").withColumn("path", _C("target"))
+    title = F.concat(F.lit("Default export of "), "target", F.lit(" goes by "), F.array_join("ranked", ", "))
     return finding(g, "default-export-name-drift", "low", 0.95, title, _whole(), fingerprint("default-export-name-drift", _C("target")), suggestion="Agree on one name.", workspace=F.lit(None))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.config_rules import judged
-from sievework.operators.clustering import anti_chain, cap_per, distinct_actor_clusters, first_per
+from sievework.operators.clustering import anti_chain, cap_per, distinct_actor_clusters, first_per, unmet
 from sievework.plans.corpus import Corpus
 from sievework.plans.detectors import detector, finding, fingerprint, site, steps
 from sievework.session import Scratch
@@ -181,8 +181,7 @@ def dead_endpoint(c: Corpus) -> DataFrame:
 @detector("producer-consumer-field-drift")
 def field_drift(c: Corpus) -> DataFrame:
     """Fields that a handler reads and no client of the endpoint sends; without a client nothing is claimed."""
-    sent = c.fact("client_body").select("key", F.explode("items").alias("f")).groupBy("key").agg(F.collect_set("f").alias("sent"))
-    d = c.fact("route_reads").join(sent, "key").withColumn("missing", F.array_sort(F.array_except("items", "sent"))).filter("size(missing) > 0")
+    d = unmet(c.fact("route_reads"), c.fact("client_body"), "key", "items")
     d = d.withColumn("m", F.array_join("missing", ","))
     d = first_per(d, ["path", "line", "key", "m"], ["end_line"])
     title = _where("Drift on ", F.upper(_C("attrs")["method"]), " ", _C("attrs")["url"], ": no client sends ", _C("m"), " (", _C("path"), ":", _C("line"), ")")

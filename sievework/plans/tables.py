@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators.clustering import anti_chain, cap_per, distinct_actor_clusters, first_per, hash_edges
+from sievework.operators.clustering import anti_chain, cap_per, distinct_actor_clusters, first_per, hash_edges, names_in_use, origins, unmet
 from sievework.operators.components import connected_components
-from sievework.operators.graph import reach
+from sievework.operators.graph import edges_of, in_degree, reach
 from sievework.operators.similarity import set_similarity_join
-from sievework.operators.stats import latency_stats
+from sievework.operators.stats import latency_stats, outcome_counts
 from sievework.operators.trees import roll_up
 from sievework.plans import serving, verdict
 from sievework.functions.scan import http_paths
@@ -77,7 +77,8 @@ SELECT h AS hash, min(doc_id) AS representative, count(*) AS copies FROM t GROUP
 )
 def exact_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")).alias("t")).filter(F.length("t") > 0)
-    return d.select("doc_id", F.sha2(F.lower("t"), 256).alias("hash")).groupBy("hash").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies")).filter("copies > 1")
+    e = hash_edges(d.select("doc_id", F.sha2(F.lower("t"), 256).alias("h")), "doc_id", "h", "exact")
+    return e.groupBy("hash", _C("src").alias("representative")).agg((F.count("*") + 1).alias("copies"))
 
 
 # --- chained anti joins ------------------------------------------------------------------------------
@@ -101,26 +102,25 @@ def dead_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_partkey ORDER BY suppliers DESC, l_partkey LIMIT 10")
 def hub_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten parts with the most suppliers; the length of the list is the feature."""
-    g = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("suppliers"))
-    return g.orderBy(_C("suppliers").desc(), "l_partkey").limit(10)
+    e = edges_of(read(spark, sf_dir, "lineitem").select(_C("l_suppkey").alias("source"), _C("l_partkey").alias("target")))
+    return in_degree(e, limit=10).select(_C("dst").alias("l_partkey"), _C("n").alias("suppliers"))
 
 
 @query("SELECT p_name, count(DISTINCT p_brand) AS brands FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 12")
 def ambiguous_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").groupBy("p_name").agg(F.count_distinct("p_brand").alias("brands")).filter("brands >= 12")
+    """Names of parts under which many brands sell."""
+    return origins(read(spark, sf_dir, "part"), ["p_name"], "p_brand", 12).withColumnRenamed("n", "brands")
 
 
 @query(
-    """WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY ALL),
+    """WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
 g AS (SELECT user_id, count(*) AS kinds FROM e GROUP BY user_id HAVING count(*) >= 2),
 r AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rn FROM e)
 SELECT g.user_id, kinds, event_type AS most_used FROM g JOIN r ON r.user_id = g.user_id AND rn = 1"""
 )
 def name_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with two kinds of events or more in the first days, and their most used kind."""
-    e = read(spark, sf_dir, "events").filter("ts < TIMESTAMP '2024-01-03'").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    top = first_per(e, ["user_id"], [_C("n").desc(), "event_type"]).select("user_id", _C("event_type").alias("most_used"))
-    return e.groupBy("user_id").agg(F.count("*").alias("kinds")).filter("kinds >= 2").join(top, "user_id")
+    """Users with two kinds of events or more, and their most used kind."""
+    return names_in_use(read(spark, sf_dir, "events"), "user_id", "event_type").select("user_id", _C("names").alias("kinds"), _C("ranked")[0].alias("most_used"))
 
 
 @query(
@@ -129,10 +129,8 @@ SELECT user_id, event_type FROM a WHERE user_id IN (SELECT user_id FROM b) AND N
 )
 def field_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds that a user had on the first day and lacks on the second, for users seen on both."""
-    e = read(spark, sf_dir, "events")
-    day = lambda d: e.filter(F.to_date("ts") == F.lit(d).cast("date")).groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
-    a, b = day("2024-01-01"), day("2024-01-02").withColumnRenamed("t", "sent")
-    return a.join(b, "user_id").select("user_id", F.explode(F.array_except("t", "sent")).alias("event_type"))
+    e = read(spark, sf_dir, "events").select("user_id", F.array("event_type").alias("kinds"), F.to_date("ts").alias("d"))
+    return unmet(e.filter("d = DATE '2024-01-01'"), e.filter("d = DATE '2024-01-02'"), "user_id", "kinds").select("user_id", F.explode("missing").alias("event_type")).distinct()
 
 
 @query(
@@ -189,7 +187,7 @@ def previous_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def race_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "verdict_log").select("verdict_id", "detector_id", "race").distinct()
-    return v.groupBy("detector_id").agg(F.count_if("race").alias("races"), F.count_if(~_C("race")).alias("safe"))
+    return outcome_counts(v, "detector_id", "race")
 
 
 _LATEST = """l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace, snapshot_no, fingerprint ORDER BY delivered_at DESC, to_json(evidence)::VARCHAR, title, confidence) AS rn FROM findings) WHERE rn = 1)"""
