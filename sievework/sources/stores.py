@@ -46,12 +46,11 @@ def write_set(fps: DataFrame, path: str) -> None:
     ``fps`` may derive from the set at ``path`` itself, whose files stay until the new ones are written.
     """
     spark = fps.sparkSession
-    if not _exists(spark, path + "/_SUCCESS") and _exists(spark, path + ".new/_SUCCESS"):
-        _rename(spark, path + ".new", path)  # a write that ended between its renames
-    fps.select("fingerprint").distinct().sort("fingerprint").write.mode("overwrite").parquet(path + ".new")
-    p, fs = _fs(spark, path)
-    fs.delete(p, True)
-    _rename(spark, path + ".new", path)
+    fps.select("fingerprint").distinct().sort("fingerprint").write.mode("overwrite").parquet(path + ".tmp")
+    for old, new in ((path + ".new", path + ".tmp"), (path, path + ".new")):
+        p, fs = _fs(spark, old)
+        fs.delete(p, True)
+        _rename(spark, new, old)
 
 
 def _rename(spark: SparkSession, source: str, target: str) -> None:

@@ -125,6 +125,23 @@ def test_cross_file_clusters(spark):
     assert titles(spark, "api-race", files) == ["`PUT /u/:id` is called from 2 files"]
 
 
+def test_configurations_are_judged_with_their_bases(spark):
+    files = {
+        "tsconfig.json": '{"extends": ["./a.json", "./conf/b"], "compilerOptions": {"allowJs": true}}', "a.json": '{"compilerOptions": {"strict": false, "checkJs": true}}', "conf/b.json": '{"extends": "../c.json", "compilerOptions": {"strict": true}}',
+        "c.json": '{"compilerOptions": {"noImplicitReturns": false, "strict": false}}', "tsconfig.loop.json": '{"extends": "./tsconfig.loop.json"}', "tsconfig.gone.json": '{"extends": "./none.json", "compilerOptions": {"strict": true}}',
+        "node_modules/@org/base/tsconfig.json": '{"compilerOptions": {"target": "es5", "strict": true}}', "pkg/tsconfig.json": '{"extends": "@org/base"}', "deep/er/tsconfig.json": '{"compilerOptions": {}}',
+    }
+    want = ["tsconfig: noImplicitReturns disabled in tsconfig.json", "tsconfig: strict not set in tsconfig.loop.json", "tsconfig: target is es5 in pkg/tsconfig.json"]
+    assert titles(spark, "bad-config", files) == want
+    deep = REGISTRY["bad-config"](corpus(spark, files), depth=None)
+    assert sorted(r.title for r in deep.collect()) == sorted([*want, "tsconfig: strict not set in deep/er/tsconfig.json", "tsconfig: target is es5 in node_modules/@org/base/tsconfig.json"])
+
+
+def test_words_of_a_file_keep_its_exports_alive(spark):
+    files = {"src/a.ts": "export function used(): void {\n}\nexport function $cash(): void {\n}\nexport function user(): void {\n  used();\n  $cash();\n}\nexport function users(): void {\n  user_2();\n}\n"}
+    assert titles(spark, "dead-export", files) == ["Unused export: user in src/a.ts", "Unused export: users in src/a.ts"]
+
+
 def test_magic_numbers_query_is_whole(spark, monkeypatch):
     monkeypatch.setattr(detector_queries, "corpus", lambda *_: corpus(spark, {"a.ts": "".join(f"f({n});\n" for n in range(301, 320))}))
     assert detector_queries.QUERIES["detector_magic_numbers"](spark, "").count() == 19

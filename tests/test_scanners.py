@@ -233,3 +233,26 @@ def test_long_annotations_keep_their_functions():
     (f,) = declare.symbols("a.ts", f"function f<T extends {{ {fields} }}>(x: T) {{ return x; }}")
     assert f["name"] == "f"
     assert not list(declare.symbols("a.ts", "let a: string\nb = () => 1\nexports.c = () => 2"))
+
+
+def test_token_stream():
+    t = Source("a?.b.c(x, [1, 2], (y) => { return /[)]/; }) // (c\nit.each(rows)('t', f); new Function(z); if (q) {} don't").tokens
+    calls = {c.parts: (len(c.args), c.new) for c in t.calls()}
+    assert calls == {("a", "b", "c"): (3, False), ("it", "each"): (1, False), ("it", "each", "()"): (2, False), ("Function",): (1, True)}
+    assert [x for _, x in t.comments] == ["// (c"] and all(t.pair[t.pair[i]] == i for i in range(len(t)) if t.pair[i] >= 0)
+    assert Source("").calls == [] and Source("((]").calls == []
+
+
+def test_scanners_see_structure_not_windows():
+    far = "x" * 400
+    assert keys("test_case", f"it('{far}', () => {{ run(); }});", "a.test.ts") == [far]
+    assert keys("client_call", f"fetch('/a', {{ headers: {{ a: f(1) }}, body: '{far}', method: 'PUT' }});") == ["put /a"]
+    assert [f[5] for f in SCANNERS["client_body"]("a.ts", Source("fetch('/u', { method: 'POST', body: JSON.stringify({ a: { b: 1 }, c: [2], ...d }) });"))] == [["a", "c"]]
+    assert keys("number", "const TABLE: Record<string, number[]> = {\n  a: [3, 7, 9],\n};\nconst grid = [\n  1.5, 37,\n];\nenum E { A = 77 }\nf(a[41], 5e9, 0x1f);\nif (x >= 43) {}\nuse(51, 2);") == ["7", "9", "51"]
+    assert keys("taint", "const id = req.query.id;\nfs.rm('/tmp/' + id);\nexec(`ls ${other}`);\npool.query('a' + f(id), 1);\nquery('x', id);") == ["fs.rm:id", "pool.query:id"]
+    assert keys("mutable_global", "  let a = 1;\nif (x) { a = 2; }\nvar b = 1; o.b = 2;\n{ let c = 1; c = 2; }\n") == ["a"]
+
+
+def test_function_expressions_go_by_their_variable():
+    got = {s["name"]: (s["exported"], s["fn_struct"]["is_async"]) for s in declare.symbols("a.ts", "export const twice = function (n: number): number { return n * 2; };\nconst own = async function inner() { return 1; };\nfoo(function () { return 2; });\n")}
+    assert got == {"twice": (True, False), "own": (False, True)}

@@ -158,3 +158,57 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     batch = progress.fold(spark.read.schema(progress.EVENTS).json(str(src)).dropDuplicates(["scan_id", "seq"]))
     assert rows(spark.read.parquet(str(tmp_path / "t"))) == rows(batch) == [("s", "finished", "d", ["d"], 1, 1, 9), ("z", "queued", None, [], 0, 0, 1)]
     assert progress.eta_ms(spark.createDataFrame([], "latency_ms double"), 3).first()[0] == 4500
+
+
+def test_lines_meet_their_innermost_symbols(spark):
+    rows_ = [("out", "f", "a.ts", 1, 200, True), ("mid", "g", "a.ts", 60, 130, False), ("in", "h", "a.ts", 100, 130, True), ("same", "i", "a.ts", 100, 130, False), ("b", "j", "b.ts", 5, 5, True), ("bad", "k", "a.ts", 9, 3, True), (None, "n", "a.ts", 1, 2, True)]
+    sym = spark.createDataFrame([(i, n, f, (a, b), e) for i, n, f, a, b, e in rows_], "id string, name string, file string, line_range struct<start_line:int,end_line:int>, exported boolean").union(spark.createDataFrame([("out", "f", "a.ts", (1, 200), True)], "id string, name string, file string, line_range struct<start_line:int,end_line:int>, exported boolean"))
+    places = spark.createDataFrame([("a.ts", 1), ("a.ts", 64), ("a.ts", 128), ("a.ts", 200), ("a.ts", 201), ("b.ts", 5), (None, 3), ("a.ts", None), ("a.ts", 64)], "file string, line int")
+    assert rows(serving.enclosing_symbols(places, sym)) == [("a.ts", 1, "out"), ("a.ts", 128, "in"), ("a.ts", 200, "out"), ("a.ts", 64, "mid"), ("b.ts", 5, "b")]
+    src = spark.createDataFrame([("a.ts", "\n".join(str(i) for i in range(1, 203))), ("b.ts", "x")], "path string, text string")
+    t = {(r.file, r.line): r for r in serving.triage_context(places, sym, src, conventions="c").collect()}
+    assert t["a.ts", 1].enclosing == "f" and t["a.ts", 1].siblings == ["k", "h"] and t["a.ts", 1].window == "\n".join(str(i) for i in range(1, 10)) and t["a.ts", 1].conventions == "c"
+    assert t["a.ts", 201].enclosing is None and t["a.ts", 201].siblings == ["f", "k", "h"] and t["b.ts", 5].window == "x"
+    f = findings(spark, {"fingerprint": "e", "evidence": [F0["evidence"][0] | {"file": "a.ts", "line_range": {"start_line": 100, "end_line": 101}}]})
+    assert rows(serving.evidence_symbols(f, sym)) == [("e", "a.ts", 100, "in"), ("e", "a.ts", 100, "same")]
+    assert serving.enclosing_symbols(places.limit(0), sym).count() == 0 and serving.enclosing_symbols(places, sym.limit(0)).count() == 0
+
+
+def test_scan_lists_and_pages(spark):
+    made = lambda i, at, *fps: (i, "w", "done", at, at, [{"fingerprint": f, "detector_id": "d", "severity": sev, "llm_false_positive": None} for f, sev in fps])
+    schema = "scan_id string, workspace_root string, state string, started_at long, finished_at long, findings array<struct<fingerprint:string,detector_id:string,severity:string,llm_false_positive:struct<confidence:double,reason:string>>>"
+    old = spark.createDataFrame([made("s1", 1, ("a", "high")), made("s2", 2, ("a", "high"), ("b", "low")), made("live", 3, ("z", "low"))], schema)
+    live = spark.createDataFrame([made("live", 9, ("a", "high"), ("c", "medium"))], schema)
+    mark = lambda *x: spark.createDataFrame([(y,) for y in x], "fingerprint string")
+    got = {r.scan_id: (r.high, r.medium, r.low, r.false_positives) for r in serving.scans(old, live, mark("a", "b"), mark("b"), newest=1).collect()}
+    assert got == {"live": (0, 1, 0, 1), "s2": (0, 0, 1, 1)}
+    assert rows(serving.scan(old, "s2", "w", mark("a")), "fingerprint", "bucket") == [("a", "false-positive"), ("b", "open")]
+    assert serving.scan(old, "s2", "other").count() == 0
+    f = findings(spark, *[{"fingerprint": x, "title": f"'{t}'", "severity": s, "layer": n} for x, t, s, n in [("a", "one", "medium", 1), ("b", "two", "medium", 3), ("c", "two", "low", 1), ("d", "x", "high", 1)]])
+    assert [(r.fingerprint, r.cluster_size, r.page) for r in serving.cluster_queue(f, 2).orderBy("position").collect()] == [("d", 1, 1), ("b", 2, 1), ("a", 1, 2), ("c", 2, 2)]
+    assert rows(serving.page(f, 2, 2), "fingerprint") == [("a",), ("c",)] and rows(serving.layer_share(f)) == [("w", 4, 25.0)]
+
+
+def test_a_set_survives_a_write_that_stopped_between_its_renames(spark, tmp_path):
+    import shutil
+
+    s = lambda *x: spark.createDataFrame([(y,) for y in x], "fingerprint string")
+    p = str(tmp_path / "fp")
+    stores.write_set(s("a"), p)
+    stores.write_set(stores.read_set(spark, p).union(s("b")), p)
+    assert rows(stores.read_set(spark, p)) == [("a",), ("b",)]
+    shutil.move(p, p + ".new")
+    assert rows(stores.read_set(spark, p)) == [("a",), ("b",)]
+    stores.write_set(stores.read_set(spark, p).union(s("c")), p)
+    assert rows(stores.read_set(spark, p)) == [("a",), ("b",), ("c",)]
+
+
+def test_deep_folders_are_walked_with_every_rule_above_them(spark, tmp_path):
+    for p in ("a.ts", "x/b.ts", "x/y/c.ts", "x/y/z/d.ts", "x/y/z/skip/e.ts", "x/y/z/f.log.ts", "gone/g.ts", "node_modules/m/h.ts", ".hidden/i.ts", "x/y/z/tsconfig.json", "x/.env.example"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    (tmp_path / ".gitignore").write_text("gone/\n*.log.ts\n")
+    (tmp_path / "x/y/.gitignore").write_text("z/skip\n")
+    c = load_corpus(spark, str(tmp_path))
+    assert rows(c.sources, "path", "text") == sorted([(p, p) for p in ("a.ts", "x/b.ts", "x/y/c.ts", "x/y/z/d.ts", ".hidden/i.ts", "x/y/z/tsconfig.json", "x/.env.example")], key=str)
+    assert rows(load_corpus(spark, str(tmp_path), only=["x/y/c.ts"]).sources, "path") == [("x/y/c.ts",)]
