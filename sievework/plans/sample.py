@@ -146,7 +146,7 @@ def sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the texts of the detectors' corpus: environment, manifests, infrastructure, lengths."""
-    return sample(spark).fact("env_read", "env_decl", "pkg_target", "pkg_dep", "iac_entry", "todo", "console").select("kind", "path", "line", "key")
+    return sample(spark).fact("env_read", "env_decl", "pkg_target", "pkg_dep", "published", "iac_entry", "todo", "console").select("kind", "path", "line", "key")
 
 
 QUERIES |= {f.__name__: f for f in (sample_symbols, sample_fields, sample_twins, sample_imports, sample_sibling_imports, sample_facts, sample_text_facts)}
@@ -237,6 +237,6 @@ ORACLE = {
     "sample_text_facts": _values(
         "kind path line key",
         "('iac_entry', 'infra/stack.ts', 1, 'src/handlers/busy.main'), ('todo', 'src/log.ts', 1, 'TODO:trim this'), ('console', 'src/log.ts', 2, 'log'), ('env_read', 'src/env.ts', 1, 'PORT_NAME'), ('env_read', 'src/env.ts', 2, 'NODE_ENV'), ('env_read', 'src/env.ts', 3, 'DECLARED'), ('env_read', 'src/env.ts', 5, 'SKIPPED'), "
-        "('env_decl', '.env.example', 1, 'DECLARED'), ('env_decl', '.env.example', 2, 'NEVER'), ('pkg_target', 'package.json', 1, 'main::dist/index.js'), ('pkg_target', 'package.json', 1, 'types::dist/none.d.ts'), ('pkg_dep', 'package.json', 1, 'left-pad'), ('pkg_dep', 'package.json', 1, 'right-pad'), ('pkg_dep', 'package.json', 1, 'tsx')",
+        "('env_decl', '.env.example', 1, 'DECLARED'), ('env_decl', '.env.example', 2, 'NEVER'), ('pkg_target', 'package.json', 1, 'main::dist/index.js'), ('pkg_target', 'package.json', 1, 'types::dist/none.d.ts'), ('pkg_dep', 'package.json', 1, 'left-pad'), ('pkg_dep', 'package.json', 1, 'right-pad'), ('pkg_dep', 'package.json', 1, 'tsx'), ('published', 'package.json', 1, 'p')",
     ),
 }

@@ -226,11 +226,14 @@ def enclosing_symbols(places: DataFrame, symbols: DataFrame) -> DataFrame:
     return j.groupBy("file", "line").agg(best).select("file", "line", _C("m.id").alias("symbol_id"))
 
 
-def triage_context(places: DataFrame, symbols: DataFrame, sources: DataFrame, siblings: int = 6, around: int = 8, conventions: str = "") -> DataFrame:
+def triage_context(places: DataFrame, symbols: DataFrame, sources: DataFrame, siblings: int = 6, around: int = 8, conventions: str = "", published: bool = False) -> DataFrame:
     """What a triage prompt says about each (file, line): conventions, enclosing symbol, exported siblings and the lines around.
 
-    ``siblings`` is the length of that list, in the order of the file; ``around`` the lines on either side.
+    ``siblings`` is the length of that list, in the order of the file; ``around`` the lines on either side. Of a
+    ``published`` package (see the scanner of that name) the conventions say that outsiders may import anything.
     """
+    if published:
+        conventions = "\n".join(filter(None, (conventions, "The package is published: files outside the workspace may use its exports.")))
     p = places.select("file", "line").dropna().distinct()
     d = _distinct_symbols(symbols)
     inner = enclosing_symbols(p, symbols).join(d.select(_C("id").alias("symbol_id"), _C("name").alias("enclosing")), "symbol_id")

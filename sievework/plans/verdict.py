@@ -52,13 +52,35 @@ def apply_verdicts(findings: DataFrame, verdicts: DataFrame, threshold: float =
     return out.select(*[{"confidence": _C("_c"), "severity": _C("_s"), "llm_false_positive": _C("_f"), "layer": _C("_l").cast("int"), "description": _C("_d")}.get(x, _C(x)).alias(x) for x in findings.columns])
 
 
+#: What each confirmer asks, by the detectors it serves; all others are triaged.
+QUESTIONS = {
+    "duplicate": (DUPLICATES, "Do these definitions mean the same, so that one shared definition could replace them?"),
+    "mutation": (("mutation",), "Does this change a value that its caller still relies on?"),
+    "race": (("race-condition",), "Can another task run between the read and the write, so that an update is lost?"),
+    "shared-db-write": (("shared-db-write",), "Do these places write the same column without coordinating?"),
+    "api-race": (("api-race",), "Can these requests overwrite each other's change of one resource?"),
+    "triage": ((), "Is this finding worth a developer's time?"),
+}
+#: Characters of source beyond which the confirmers of duplicates and mutations are not asked (fixed).
+MAX_SOURCE = 2500
+
+
+def confirmer(detector: Column) -> Column:
+    """Name of the confirmer that judges a detector's findings."""
+    out = F.lit("triage")
+    for name, (detectors, _) in QUESTIONS.items():
+        if detectors:
+            out = F.when(detector.isin(*detectors), name).otherwise(out)
+    return out
+
+
 def chunk_sites(findings: DataFrame) -> DataFrame:
-    """(fingerprint, chunk, sites): up to 8 sites in one call, in pairs if their text exceeds the budget."""
+    """(fingerprint, detector_id, chunk, sites): up to 8 sites in one call, in pairs if their text exceeds the budget."""
     sites = F.slice("evidence", 1, MAX_SITES)
     long_ = F.aggregate(sites, F.lit(0), lambda a, x: a + F.length(F.coalesce(x["snippet"], F.lit("")))) > PROMPT_CHARS
-    d = findings.select("fingerprint", long_.alias("long"), F.posexplode(sites).alias("i", "site"))
+    d = findings.select("fingerprint", "detector_id", long_.alias("long"), F.posexplode(sites).alias("i", "site"))
     chunk = F.when(_C("long"), F.floor(_C("i") / CHUNK_SITES)).otherwise(0).cast("int")
-    return d.select("fingerprint", chunk.alias("chunk"), "i", "site").groupBy("fingerprint", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "site"))).alias("s")).select("fingerprint", "chunk", F.transform("s", lambda x: x["site"]).alias("sites"))
+    return d.select("fingerprint", "detector_id", chunk.alias("chunk"), "i", "site").groupBy("fingerprint", "detector_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "site"))).alias("s")).select("fingerprint", "detector_id", "chunk", F.transform("s", lambda x: x["site"]).alias("sites"))
 
 
 def merge_chunks(chunks: DataFrame, sure: float = 0.7) -> DataFrame:
@@ -113,8 +135,15 @@ def stub_provider(fingerprint: str, prompt: str) -> str:
 def ask(chunks: DataFrame, provider: Callable[[str, str], str] = stub_provider, workers: int = 4) -> DataFrame:
     """(fingerprint, chunk, positive, confidence, reason) of each prompt; any failure leaves no verdict.
 
-    ``workers`` partitions call in parallel; equal prompts are asked once per partition.
+    ``workers`` partitions call in parallel; equal prompts are asked once per partition. Each confirmer has its own
+    question; duplicates and mutations with more than MAX_SOURCE characters of source are not asked about. If the
+    provider fails on a first call of the driver's, nothing is asked at all.
     """
+    schema = "fingerprint string, chunk int, positive boolean, confidence double, reason string"
+    try:
+        provider("", "Answer with {}.")
+    except Exception:
+        return chunks.sparkSession.createDataFrame([], schema)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, dict | None] = {}
@@ -131,9 +160,13 @@ def ask(chunks: DataFrame, provider: Callable[[str, str], str] = stub_provider,
                     rows.append((fp, chunk, bool(x["positive"]), float(x["confidence"]), str(x.get("reason", ""))))
             yield pd.DataFrame(rows, columns=["fingerprint", "chunk", "positive", "confidence", "reason"])
 
+    who = confirmer(_C("detector_id"))
+    size = F.aggregate("sites", F.lit(0), lambda a, s: a + F.length(F.coalesce(s["snippet"], F.lit(""))))
+    question = F.element_at(F.create_map(*[F.lit(x) for name, (_, q) in QUESTIONS.items() for x in (name, q)]), who)
     text = F.array_join(F.transform("sites", lambda s: F.concat_ws("\n", s["file"], s["snippet"])), "\n---\n")
-    p = chunks.select("fingerprint", "chunk", text.alias("prompt")).repartition(workers)
-    return p.mapInPandas(run, "fingerprint string, chunk int, positive boolean, confidence double, reason string")
+    asked = chunks.filter(~(who.isin("duplicate", "mutation") & (size > MAX_SOURCE)))
+    p = asked.select("fingerprint", "chunk", F.concat_ws("\n\n", question, text).alias("prompt")).repartition(workers)
+    return p.mapInPandas(run, schema)
 
 
 def split_false_positives(findings: DataFrame, fp_set: DataFrame, kept_open: DataFrame) -> DataFrame:

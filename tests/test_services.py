@@ -45,6 +45,20 @@ def test_gate_chunks_and_replies(spark):
     assert verdict.json_from_reply('sure: {"a": "}{", "b": 1} done') == {"a": "}{", "b": 1} and verdict.json_from_reply("no") is None
 
 
+def test_confirmers_ask_their_own_question(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def provider(fp, prompt):
+        asked.add(1)
+        return json.dumps({"positive": True, "confidence": 0.9, "reason": prompt.split("\n")[0]})
+
+    long_ = [F0["evidence"][0] | {"snippet": "x" * 1300}] * 2
+    f = findings(spark, {"fingerprint": "m", "detector_id": "mutation"}, {"fingerprint": "big", "detector_id": "mutation", "evidence": long_}, {"fingerprint": "t"}, {"fingerprint": "wide", "evidence": long_}, {"fingerprint": "d", "detector_id": "duplicate-type"})
+    got = {r.fingerprint: r.reason for r in verdict.ask(verdict.chunk_sites(f), provider, 2).collect()}
+    q = {k: v for k, (_, v) in verdict.QUESTIONS.items()}
+    assert got == {"m": q["mutation"], "t": q["triage"], "wide": q["triage"], "d": q["duplicate"]} and asked.value == 5
+
+
 def test_false_positive_precedence(spark):
     f = findings(spark, *[{"fingerprint": x, "llm_false_positive": {"confidence": 0.9, "reason": "r"} if x in "cd" else None} for x in "abcd"])
     s = lambda *x: spark.createDataFrame([(y,) for y in x], "fingerprint string")
