@@ -54,7 +54,7 @@ def test_invalid_texts_fail(dialect):
     [
         ("js", "x = (a b);", 7), ("js", "if (a) else b", 7), ("js", "1 = 2;", 2), ("js", "a ?? b || c", 7), ("js", "let let = 1", 4), ("js", "var a = 1 var b", 10), ("js", '{\n  "a": 1\n}', 7),
         ("ts", "interface A { a: string b: number }", 24), ("ts", "a.b(c => {\n  const = 1;\n});", 19), ("ts", "f(1;", 3), ("tsx", "let c = <p>a > b</p>;", 13),
-        ("py", "f(a=1, 2)", 7), ("py", "f(**a, b)", 8), ("py", "f(a for a in b, c)", 14), ("py", "def f(a=1, b): pass", 12), ("py", "def f(*, **k): pass", 9), ("py", "try: pass\nexcept A, b: pass", 18), ("py", "x = (1\ny = 2", 9),
+        ("py", "f(a=1, 2)", 7), ("py", "f(**a, b)", 8), ("py", "f(a for a in b, c)", 14), ("py", "def f(a=1, b): pass", 12), ("py", "def f(*, **k): pass", 9), ("py", "try: pass\nexcept A, b: pass", 18), ("py", "x = (1\ny = 2", 7),
         ("json", '{"a": 1,}', 8), ("json", "[1 2]", 3), ("jsonc", "[1,,]", 3),
     ],
 )
