@@ -3,6 +3,7 @@
 import ast
 import json
 import sys
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -106,13 +107,13 @@ def test_deep_and_long_texts():
 
 
 def test_errors_of_the_parser_are_passed_on(monkeypatch):
-    def broken(text, dialect):
+    def broken(text, dialect, exact):
         raise MemoryError("lexer")
 
     monkeypatch.setattr(parsefail, "tokens", broken)
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a.ts"]), pa.array(["let a = ;"])], ["file_id", "path", "text"])
     with pytest.raises(MemoryError):
-        list(parsefail._parse(iter([batch])))
+        list(parsefail._parse(SimpleNamespace(value={"ts": parsefail.tables("ts")}))(iter([batch])))
 
 
 def test_parse_failures_table(spark):
