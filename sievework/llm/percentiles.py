@@ -196,11 +196,16 @@ def multi_select(runs: DataFrame, targets: DataFrame, scratch: Scratch, max_roun
     """
     ranks = F.array_sort(F.collect_list(F.struct("q", "k")))
     groups = targets.groupBy("g").agg(F.first("n").alias("n"), ranks.alias("t")).select("g", "n", F.col("t.q").alias("qs"), F.col("t.k").alias("ks"))
-    large = _checked(targets.filter(F.col("n") > TOGETHER).select("g").distinct())
+    wide = targets.filter(F.col("n") > TOGETHER)
+    # no side of a round has more rows or longer keys than the targets of the large groups
+    n_wide, key_bytes = wide.agg(F.count("*"), F.coalesce(F.max(F.octet_length("g")), F.lit(0))).first()
+    large = broadcast_if_small(wide.select("g").distinct(), n_wide, key_bytes + 64)
     parts = runs.join(large, "g", "left_anti").groupBy("g").agg(F.collect_list("vals").alias("parts"))
     done = parts.join(groups, "g").select("g", "n", "qs", "ks", "parts").mapInArrow(_rounds_within, _FOUND)
+    if not n_wide:
+        return done
     null = F.lit(None).cast("double")
-    state = scratch.cut(targets.filter(F.col("n") > TOGETHER).select("g", "q", "k", "n", null.alias("lo"), null.alias("hi"), F.lit(True).alias("open"), null.alias("value")))
+    state = scratch.cut(wide.select("g", "q", "k", "n", null.alias("lo"), null.alias("hi"), F.lit(True).alias("open"), null.alias("value")))
     data = state.groupBy("g").agg(F.first("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     slices, on = runs.join(large, "g", "left_semi"), ["g"]
     for _ in range(max_rounds):
@@ -210,7 +215,7 @@ def multi_select(runs: DataFrame, targets: DataFrame, scratch: Scratch, max_roun
         def bounded(live: DataFrame) -> DataFrame:
             """Each run or slice with its open targets."""
             ts = live.groupBy(*on).agg(F.collect_list(F.struct("q", "lo", "hi", "pivot")).alias("ts"))
-            return slices.join(_checked(ts, "g", 256), on).select("g", "vals", "ts")
+            return slices.join(broadcast_if_small(ts, n_wide, key_bytes + 128), on).select("g", "vals", "ts")
 
         live = state.filter("open").select("g", "q", "lo", "hi", null.alias("pivot"))
         left = bounded(live).mapInArrow(_proposals, "g string, q double, med double, n long").groupBy("g", "q").agg(F.sum("n").alias("left"), F.expr("percentile(med, 0.5, n)").alias("pivot"))
