@@ -10,19 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators.components import connected_components
-from sievework.session import BROADCAST_BYTES, Scratch, broadcast_if_small, read
-
-#: Minima per band and bands: a pair at Jaccard 0.65 shares no band with probability
-#: (1 - 0.65**8)**240 < 5e-4, one at 0.7 with 1e-6; at the usual background of 0.2 one pair in 1,600 meets.
-ROWS, BANDS = 8, 240
-#: One-bit minima kept as the signature: 3 x 64 of them.
-SKETCH = 192
+from sievework.session import Scratch, read
+
+#: Minima per band and bands. The bands of a family begin with the same ``SHARED`` minima, by which its sets meet in one
+#: task, so a set is sent once per family and not per band. A pair at Jaccard 0.65 meets in no family with probability
+#: (1 - 0.65**3 (1 - (1 - 0.65**5)**12))**40 < 1e-4, one at 0.7 with 5e-7.
+ROWS, BANDS = 8, 480
+FAMILY, SHARED = 12, 3
+#: One-bit minima kept as the signature: 8 x 64 of the bands' own. It travels with the set, so that a pair far below the
+#: threshold ends where it arises; how many of those there are grows with the square of the sets.
+SKETCH = 512
 #: A signature's estimate must reach the threshold less so many standard deviations.
 SLACK = 4.5
-#: Members up to which a bucket's pairs are made where it lies; larger ones are split in blocks.
+#: Members up to which the pairs of copies are made in one task.
 BLOCK = 1000
-#: Rows of (band, set) that one task sorts and pairs; the number of tasks follows from the counted sets.
-PER_TASK = 500_000
+#: Members up to which a bucket's pairs are made where it lies; larger ones are split in blocks.
+BUCKET = 8192
+#: Members up to which a family's group is held by one task; those of larger ones are sent by their whole bands.
+GROUP = 400_000
+#: Rows that are paired at once, and candidate pairs that are compared at once.
+CHUNK, AT_ONCE = 60_000, 50_000
+#: Words of a signature that are compared first, and members from which a bucket is compared as a matrix.
+FIRST, MATRIX = 4, 24
+#: Sets that are signed at once.
+SIGNED = 1000
+#: Rows of (family, set) that one task sorts and pairs; the number of tasks follows from the counted sets.
+PER_TASK = 60_000
 #: Candidate pairs that one task compares in full.
 PAIRS_PER_TASK = 20_000
 
@@ -60,111 +73,191 @@ def _fresh(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
 
 
 def _bander(rows: int, bands: int, seed: int):
-    """(sid, sh) to (sid, keys): per band its key in the upper 48 bits, the set's size in the lower 16."""
+    """(sid, sh) to (grp, sid, size, body), a row per family: its group, and 16 bits of its bands' keys before the signature."""
+    families, own = bands // FAMILY, rows - SHARED
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _constants(rows * bands, seed)
-        number, seen = np.arange(bands), set()
-        for batch in batches:
+        a, b = _constants(families * SHARED + families * FAMILY * own, seed)
+        number, seen = np.arange(families * (1 + FAMILY)), set()
+        for batch in (whole.slice(q, SIGNED) for whole in batches for q in range(0, whole.num_rows, SIGNED)):
             batch = _fresh(batch, seen)
             n = batch.num_rows
-            keys = np.empty((n, bands), np.int64)
+            grp, size = np.empty((n, families), np.int64), np.empty(n, np.int32)
+            body = np.empty((n, families, 2 * FAMILY + SKETCH // 8), np.uint8)
             for i, s in enumerate(_sets(batch)):
-                keys[i] = (_mix(minima(s, a, b).reshape(bands, rows), number) & ~np.int64(0xFFFF)) | np.int64(min(len(s), 0xFFFF))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["sid", "keys"])
+                m = minima(s, a, b)
+                grp[i], size[i] = _mix(m[: families * SHARED].reshape(families, SHARED), number[:families]), min(len(s), 0xFFFF)
+                m = m[families * SHARED :]
+                keys = (_mix(m.reshape(-1, own), number[families:]).view(np.uint64) >> np.uint64(48)).astype(np.uint16)
+                body[i, :, : 2 * FAMILY] = keys.reshape(families, FAMILY).view(np.uint8)
+                # a high bit of the minimum's own hash, as bits of a minimum near 0 are not even
+                one = (m[:SKETCH] * np.uint32(2654435761) >> np.uint32(31)).astype(np.uint64)
+                body[i, :, 2 * FAMILY :] = (one.reshape(-1, 64) * bits).sum(axis=1, dtype=np.uint64).view(np.uint8)
+            ends = pa.py_buffer(np.arange(n * families + 1, dtype=np.int32) * body.shape[2])
+            body = pa.Array.from_buffers(pa.binary(), n * families, [None, ends, pa.py_buffer(body)])
+            sid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), families)
+            yield pa.RecordBatch.from_arrays([pa.array(grp.ravel()), pa.array(sid), pa.array(np.repeat(size, families)), body], ["grp", "sid", "size", "body"])
 
     return band
 
 
-def _sketcher(seed: int):
-    """(sid, sh) to (sid, s0, s1, s2): one bit of each of the signature's minima."""
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _constants(SKETCH, seed + 1)
-        weights, seen = np.uint64(1) << np.arange(64, dtype=np.uint64), set()
-        for batch in batches:
-            batch = _fresh(batch, seen)
-            out = np.empty((batch.num_rows, 3), np.int64)
-            for i, s in enumerate(_sets(batch)):
-                # a high bit of the minimum's own hash, as bits of a minimum near 0 are not even
-                bits = (minima(s, a, b) * np.uint32(2654435761) >> np.uint32(31)).astype(np.uint64)
-                out[i] = (bits.reshape(3, 64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(3)]], ["sid", "s0", "s1", "s2"])
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which signatures of 8 words differ; the words' counts lie side by side as the bytes of one number."""
+    n, low = np.bitwise_count(x ^ y).view(np.uint64).ravel(), np.uint64(0x00FF00FF00FF00FF)
+    return ((n & low) + (n >> np.uint64(8) & low)) * np.uint64(0x0001000100010001) >> np.uint64(48)
 
-    return sketch
 
+def _need(threshold: float, bits: int = SKETCH) -> int:
+    """Equal bits that two signatures must have; their share is (1 + J) / 2 on average."""
+    p = (1 + threshold) / 2
+    return int(bits * (p - SLACK * (p * (1 - p) / bits) ** 0.5))
+
+
+#: What pairing gives: pairs as (0, a, b, -1), members of a bucket beyond ``block`` as (its key, sid, size, number of
+#: their block), members of a group beyond ``GROUP`` as (key of a band, sid, size, -2), members with their signature.
+_MET = "key long, a long, b long, blk long, sig array<long>"
+
+
+def _pairer(threshold: float, block: int, group: int, whole: bool):
+    """Pairs the rows (grp, sid, size, body), sorted; ``whole``: (key, sid, size, sig) of whole bands, so groups are buckets."""
+    family = 1 if whole else FAMILY
+    few = 64 * FIRST - _need(threshold, 64 * FIRST)
+
+    def read(batch):
+        grp, sid, size = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
+        if whole:
+            sig = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(grp), -1)
+            return grp, sid, size, np.zeros((len(grp), 1), np.uint16), sig
+        ends, data = (np.frombuffer(x, t) for x, t in zip(batch.column(3).buffers()[1:], (np.int32, np.uint8)))
+        body = data[ends[batch.column(3).offset] :][: len(grp) * (2 * FAMILY + SKETCH // 8)].reshape(len(grp), -1)
+        keys, sig = (np.ascontiguousarray(x).view(t) for x, t in ((body[:, : 2 * FAMILY], np.uint16), (body[:, 2 * FAMILY :], np.uint64)))
+        return grp, sid, size, keys, sig
+
+    def out(key, a, b, blk, sig=None):
+        n = len(a)
+        sig = pa.nulls(n, pa.list_(pa.int64())) if sig is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * sig.shape[1]), pa.array(sig.view(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.broadcast_to(x, n), pa.int64()) for x in (key, a, b, blk)), sig], ["key", "a", "b", "blk", "sig"])
+
+    def bands(grp, keys, j):
+        return _mix(np.stack([grp.view(np.uint64), keys[:, j].astype(np.uint64)], axis=1), np.array([j + 1]))
+
+    def first(w, x, y):
+        """Whether the first words of the signatures leave a pair open."""
+        return sum(np.bitwise_count(v[x] ^ v[y]) for v in w) <= few
+
+    def near(rows, band, i, j):
+        _, s, z, keys, sig = rows
+        ok = (s[i] != s[j]) & ((np.minimum(z[i], z[j]) >= threshold * np.maximum(z[i], z[j]) - 1e-9) | (np.maximum(z[i], z[j]) >= 0xFFFF))
+        i, j = i[ok], j[ok]
+        ok = _differ(sig[i], sig[j]) <= SKETCH - _need(threshold)
+        i, j = i[ok], j[ok]
+        ok = ~(keys[i, :band] == keys[j, :band]).any(axis=1)  # else an earlier band of the family has the pair
+        x, y = s[i[ok]], s[j[ok]]
+        return out(0, np.minimum(x, y), np.maximum(x, y), -1)
+
+    def runs(order, length, w):
+        """Places of the pairs that the first words leave open, of all runs up to ``block``."""
+        starts = np.cumsum(length) - length
+        for m in np.unique(length[length <= block]):
+            at = starts[length == m]
+            if m < MATRIX:
+                x, y = np.triu_indices(m, 1)
+                step = max(1, AT_ONCE // len(x))
+                for q in range(0, len(at), step):
+                    p = at[q : q + step, None]
+                    i, k = (p + x).ravel(), (p + y).ravel()
+                    ok = first(w, i, k)
+                    yield i[ok], k[ok]
+                continue
+            step = max(1, AT_ONCE // m)
+            for p in at:
+                for q in range(p, p + m, step):
+                    x, y = np.divmod(np.flatnonzero(first(w, (slice(q, min(q + step, p + m)), None), (None, slice(q, p + m)))), p + m - q)
+                    later = y > x
+                    yield q + x[later], q + y[later]
+
+    def closed(rows):
+        """All groups of the rows, band by band."""
+        grp, sid, size, _, _ = rows
+        number = np.cumsum(np.concatenate([[0], grp[1:] != grp[:-1]]))
+        alone = np.bincount(number) == 1
+        at = np.flatnonzero(~alone[number])
+        if not len(at):
+            return
+        if len(at) < len(grp):
+            rows = tuple(x[at] for x in rows)
+        grp, sid, size, keys, sig = rows
+        number = number[at] << 32
+        for j in range(family):
+            key = number | keys[:, j]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            length = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+            order, length = order[np.repeat(length > 1, length)], length[length > 1]
+            w = np.ascontiguousarray(sig[order, :FIRST].T)
+            left, n = [], 0
+            for x, y in runs(order, length, w):
+                left.append((order[x], order[y]))
+                n += len(x)
+                if n > AT_ONCE:
+                    yield near(rows, j, *(np.concatenate(x) for x in zip(*left)))
+                    left, n = [], 0
+            if n:
+                yield near(rows, j, *(np.concatenate(x) for x in zip(*left)))
+            for p in np.flatnonzero(length > block):
+                r = order[(end := length[: p + 1].sum()) - length[p] : end]
+                yield out(bands(grp[r], keys[r], j), sid[r], size[r], np.arange(len(r)) // block, sig[r])
 
-def _bucket_pairs(threshold: float, block: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key with size, sid), sorted; a bucket may go on in the next batch.
-
-        Pairs come as (0, a, b, -1), members of a bucket beyond ``block`` as (key, sid, size, number of its block).
-        """
-        names = ["key", "a", "b", "blk"]
-
-        def out(key, a, b, blk):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b, blk)], names)
-
-        def paired(s, z, i, j):
-            ok = (s[i] != s[j]) & ((np.minimum(z[i], z[j]) >= threshold * np.maximum(z[i], z[j]) - 1e-9) | (np.maximum(z[i], z[j]) >= 0xFFFF))
-            x, y = s[i[ok]], s[j[ok]]
-            return out(np.zeros(len(x), np.int64), np.minimum(x, y), np.maximum(x, y), np.full(len(x), -1))
-
-        held: list[tuple[np.ndarray, ...]] = []  # of the bucket that is open
-        spilt = 0
+        held, count, wait = [], 0, CHUNK
+        opened, sent = None, 0  # the group that is too large, and its members so far
+        last = None
 
-        def flush():
-            nonlocal spilt
-            k, s = (np.concatenate(c) for c in zip(*held))
-            z = k & 0xFFFF
-            if spilt or len(s) > block:
-                blk = spilt + np.arange(len(s)) // block
-                spilt = int(blk[-1]) + 1
-                return out(k >> 16, s, z, blk)
-            return paired(s, z, *np.triu_indices(len(s), 1))
+        def large(rows):
+            nonlocal sent
+            grp, sid, size, keys, sig = rows
+            if whole:
+                yield out(grp, sid, size, (sent + np.arange(len(sid))) // block, sig)
+            else:
+                for j in range(family):
+                    yield out(bands(grp, keys, j), sid, size, -2, sig)
+            sent += len(sid)
 
-        last = None
         for batch in batches:
-            key, sid = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
-            if not len(key):
+            rows = read(batch)
+            grp, sid = rows[:2]
+            if not len(grp):
                 continue
             # copies that other tasks signed too lie side by side
-            same = np.concatenate([[last == (key[0], sid[0])], (key[1:] == key[:-1]) & (sid[1:] == sid[:-1])])
-            last = (key[-1], sid[-1])
-            key, sid = key[~same], sid[~same]
-            if not len(key):
+            same = np.concatenate([[last == (grp[0], sid[0])], (grp[1:] == grp[:-1]) & (sid[1:] == sid[:-1])])
+            last = (grp[-1], sid[-1])
+            rows = tuple(x[~same] for x in rows)
+            if opened is not None:
+                n = int(np.searchsorted(rows[0], opened, "right"))
+                if n:
+                    yield from large(tuple(x[:n] for x in rows))
+                rows = tuple(x[n:] for x in rows)
+            if not len(rows[0]):
                 continue
-            bucket, size = key >> 16, key & 0xFFFF
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-            # the first run may continue what is held and the last one stays open
-            if held and held[-1][0][0] >> 16 != bucket[0]:
-                yield flush()
-                held, spilt = [], 0
-            held.append((key[: stops[0]], sid[: stops[0]]))
-            if len(starts) > 1:
-                yield flush()
-                held, spilt = [(key[starts[-1] :], sid[starts[-1] :])], 0
-            while sum(len(h[0]) for h in held) > 64 * block:  # of a bucket that large only blocks are kept
-                yield flush()
-                held = []
-            # the closed runs between, all of one length at a time
-            starts, length = starts[1:-1], (stops - starts)[1:-1]
-            for m in np.unique(length[length > 1]):
-                at = starts[length == m]
-                if m > block:
-                    for p in at:
-                        blk = np.arange(m) // block
-                        yield out(bucket[p : p + m], sid[p : p + m], size[p : p + m], blk)
-                    continue
-                i, j = np.triu_indices(m, 1)
-                step = max(1, 200_000 // len(i))
-                for q in range(0, len(at), step):
-                    p = at[q : q + step, None]
-                    yield paired(sid, size, (p + i).ravel(), (p + j).ravel())
+            opened = None
+            held.append(rows)
+            count += len(rows[0])
+            if count < wait:
+                continue
+            rows, held = tuple(np.concatenate(x) for x in zip(*held)), []
+            n = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from closed(tuple(x[:n] for x in rows))
+            rows = tuple(x[n:] for x in rows)
+            held, count = [rows], len(rows[0])
+            if count > group:
+                opened, sent = rows[0][0], 0
+                yield from large(rows)
+                held, count = [], 0
+            wait = max(CHUNK, min(2 * count, group + 1))
         if held:
-            yield flush()
+            rows, held = tuple(np.concatenate(x) for x in zip(*held)), []
+            yield from closed(rows)
 
     return pairs
 
@@ -186,44 +279,38 @@ def _one_batch(fn):
     return run
 
 
-def similar_sets(sets: DataFrame, threshold: float, min_size: int, scratch: Scratch, rows: int = ROWS, bands: int = BANDS, seed: int = 7, block: int = BLOCK) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, min_size: int, scratch: Scratch, rows: int = ROWS, bands: int = BANDS, seed: int = 7, block: int = BUCKET, group: int = GROUP) -> DataFrame:
     """``(a, b, jaccard)``, a < b, of the different sets in ``sets`` (sid, sh) with Jaccard >= threshold.
 
     ``sh`` holds distinct 64-bit hashes, ``sid`` names the set's content, so copies share it. Sets
     below ``min_size`` are in no pair. Banded minima give candidates, one-bit signatures drop what
-    is far below the threshold, the exact Jaccard decides. Buckets beyond ``block`` members are
-    paired block by block over many tasks, so none is capped.
+    is far below the threshold before it is written anywhere, the exact Jaccard decides. Groups beyond
+    ``group`` members are sent again by whole bands, buckets beyond ``block`` are paired block by block
+    over many tasks, so none is capped.
     """
     sets = sets.select("sid", "sh").filter(F.size("sh") >= min_size)
-    sk = sets.mapInArrow(_sketcher(seed), "sid long, s0 long, s1 long, s2 long").dropDuplicates(["sid"])
-    sk = scratch.cut(sk)
-    n = sk.count()
-    banded = sets.mapInArrow(_bander(rows, bands, seed), "sid long, keys array<long>").select(F.explode("keys").alias("key"), "sid")
-    banded = banded.repartition(max(1, -(-n * bands // PER_TASK)), F.shiftright("key", 16)).sortWithinPartitions("key", "sid")
-    met = banded.mapInArrow(_one_batch(_bucket_pairs(threshold, block)), "key long, a long, b long, blk long")
-    # signature: the share of equal one-bit minima is (1 + J) / 2
-    p = (1 + threshold) / 2
-    need = int(SKETCH * (p - SLACK * (p * (1 - p) / SKETCH) ** 0.5))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        for x in "ab":
-            side = sk.select(F.col("sid").alias(x), *[F.col(f"s{k}").alias(f"{x}{k}") for k in range(3)])
-            pairs = pairs.join(broadcast_if_small(side, n, 64), x, "left")
-        differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(3)), F.lit(0))
-        return pairs.filter((F.col("blk") >= 0) | (SKETCH - differ >= need)).select("key", "a", "b", "blk")
-
-    # a small signature table is looked up where pairs arise, a larger one after equal pairs are merged
-    small = n * 64 <= BROADCAST_BYTES
-    met = scratch.cut(verified(met).distinct() if small else verified(met.distinct()))
-    close = met.filter("blk < 0").select("a", "b")
+    n = sets.count()
+
+    def paired(df: DataFrame, count: int, key: str, sid: str, whole: bool) -> DataFrame:
+        df = df.repartition(max(1, -(-count // PER_TASK)), key).sortWithinPartitions(key, sid)
+        return scratch.cut(df.mapInArrow(_one_batch(_pairer(threshold, block, group, whole)), _MET))
+
+    banded = sets.mapInArrow(_bander(rows, bands, seed), "grp long, sid long, size int, body binary")
+    met = paired(banded, n * (bands // FAMILY), "grp", "sid", False)
+    large = met.filter("blk = -2").select("key", "a", "b", "sig")
+    if found := large.count():
+        met = met.union(paired(large, found, "key", "a", True))
+    close = met.filter("blk = -1").select("a", "b")
     big = met.filter("blk >= 0")
     if big.head(1):
         spread = big.join(big.groupBy("key").agg((F.max("blk") + 1).alias("nb")), "key")
-        left = spread.select("key", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("j"), F.col("a").alias("x"), F.col("b").alias("zx"))
-        right = spread.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("i"), F.col("blk").alias("j"), F.col("a").alias("y"), F.col("b").alias("zy"))
-        both = left.join(right, ["key", "i", "j"]).filter((F.col("x") != F.col("y")) & (F.least("zx", "zy") >= threshold * F.greatest("zx", "zy") - 1e-9))
-        both = both.select(F.lit(0).cast("long").alias("key"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(-1).cast("long").alias("blk"))
-        close = scratch.cut(close.union(verified(both.distinct()).select("a", "b")).distinct())
+        left = spread.select("key", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("j"), F.col("a").alias("x"), F.col("b").alias("zx"), F.col("sig").alias("sx"))
+        right = spread.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("i"), F.col("blk").alias("j"), F.col("a").alias("y"), F.col("b").alias("zy"), F.col("sig").alias("sy"))
+        differ = sum((F.bit_count(F.col("sx")[k].bitwiseXOR(F.col("sy")[k])) for k in range(SKETCH // 64)), F.lit(0))
+        fits = (F.least("zx", "zy") >= threshold * F.greatest("zx", "zy") - 1e-9) | (F.greatest("zx", "zy") >= 0xFFFF)
+        both = left.join(right, ["key", "i", "j"]).filter((F.col("x") != F.col("y")) & fits & (SKETCH - differ >= _need(threshold)))
+        close = close.union(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    close = scratch.cut(close.distinct())
     # the exact check reads only the sets that are left
     ids = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     full = scratch.cut(sets.join(ids, "sid", "left_semi").dropDuplicates(["sid"]))
@@ -250,7 +337,7 @@ def near_duplicates(records: DataFrame, id_col: str, shingles: str, threshold: f
     row; an empty table gives two empty results; other columns are not read.
     """
     scratch = Scratch(records.sparkSession, "neardup")
-    sets = shingle_sets(records, id_col, shingles).filter(F.size("sh") >= min_size)
+    sets = scratch.cut(shingle_sets(records, id_col, shingles).filter(F.size("sh") >= min_size))
     return similar_sets(sets.select("sid", "sh"), threshold, min_size, scratch), sets.select("id", "sid").distinct()
 
 

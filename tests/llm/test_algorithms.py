@@ -99,6 +99,40 @@ def test_pairs_of_sets_expand_to_all_pairs_of_members(spark, block):
     assert rows(neardup.expand(pairs, members, Scratch(spark, "t"), block)) == brute(data, 0.65, 6)
 
 
+@pytest.mark.parametrize("block, group", [(1000, 4), (3, 4), (3, 60), (1000, 0)])
+def test_large_groups_of_sets_are_paired_whole(spark, block, group):
+    rnd = random.Random(11)
+    data = shingled(rnd, 30) + [(f"fam{i:02}", [f"f{k}" for k in range(30)] + [f"own{i}"]) for i in range(25)]
+    data += [(f"half{i:02}", rnd.sample([f"f{k}" for k in range(30)], 24)) for i in range(25)]
+    df = spark.createDataFrame(data, "id string, sh array<string>").repartition(3)
+    sets = neardup.shingle_sets(df, "id", "sh").filter("size(sh) >= 6")
+    scratch = Scratch(spark, "t")
+    pairs = scratch.cut(neardup.similar_sets(sets.select("sid", "sh"), 0.65, 6, scratch, block=block, group=group))
+    assert rows(neardup.expand(pairs, sets.select("id", "sid").distinct(), scratch)) == brute(data, 0.65, 6)
+
+
+def test_sets_far_below_the_threshold_are_written_nowhere(spark):
+    """Bodies of common lines resemble each other at 0.3 or so, and such pairs grow with the square of the sets."""
+    rnd = random.Random(12)
+    common = [f"c{k}" for k in range(60)]
+    data = [(f"id{i:04}", rnd.sample(common, 28) + [f"own{i}-{k}" for k in range(3)]) for i in range(1500)]
+    data += [(f"id{i:04}v", data[i][1][1:] + ["more"]) for i in range(40)]
+    df = spark.createDataFrame(data, "id string, sh array<string>").repartition(3)
+    sizes = []
+
+    class Counted(Scratch):
+        def cut(self, df, files=None):
+            out = super().cut(df, files)
+            sizes.append(out.count())
+            return out
+
+    sets = neardup.shingle_sets(df, "id", "sh")
+    pairs = neardup.similar_sets(sets.select("sid", "sh"), 0.65, 6, scratch := Counted(spark, "t"))
+    m = sets.select("id", "sid").distinct()
+    assert rows(neardup.expand(scratch.cut(pairs), m, scratch)) == brute(data, 0.65, 6)
+    assert max(sizes) < 2 * len(data)
+
+
 def test_near_duplicates_of_nothing(spark):
     pairs, members = neardup.near_duplicates(spark.createDataFrame([], "id string, sh array<string>"), "id", "sh")
     assert pairs.count() == 0 and members.count() == 0
@@ -108,6 +142,11 @@ def test_bands_are_chosen_for_the_threshold():
     assert (1 - 0.65**neardup.ROWS) ** neardup.BANDS < 5e-4
 
 
+def test_families_of_bands_are_chosen_for_the_threshold():
+    own, families = neardup.ROWS - neardup.SHARED, neardup.BANDS // neardup.FAMILY
+    assert all((1 - j**neardup.SHARED * (1 - (1 - j**own) ** neardup.FAMILY)) ** families < most for j, most in ((0.65, 1e-4), (0.7, 5e-7)))
+
+
 def test_groups_of_many_shapes(spark):
     rnd = random.Random(6)
     hub = [("hub", f"leaf{i:03}") for i in range(60)]
