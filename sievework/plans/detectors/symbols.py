@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from sievework.functions.lex import nesting_depth
 from sievework.operators.clustering import first_per, hash_edges, merge_signals
 from sievework.operators.components import connected_components
-from sievework.operators.similarity import set_similarity_join
+from sievework.operators.similarity import scored_links, set_similarity_join
 from sievework.plans.corpus import Corpus
 from sievework.plans.detectors import detector, finding, fingerprint, site, steps
+from sievework.session import Scratch
 
 _C = F.col
 
@@ -177,20 +178,13 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(s, r"[\s_\-.]+"), F.lower), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS)))
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either > 0, both / either).otherwise(0.0)
-
-
 @detector("similar-functions")
 def similar_functions(c: Corpus, threshold: float = 0.5, name_weight: float = 0.4, min_lines: int = 5, limit: int | None = 25) -> DataFrame:
-    """Functions of different files with alike names and bodies, candidates by shared name words.
+    """Functions of different files with alike names and bodies.
 
     A pair's score is name_weight * J(words) + (1 - name_weight) * J(shingles). Pairs without a common
     word can reach the threshold through their bodies alone only if 1 - name_weight >= threshold; those
-    come from the exact set-similarity join on the bodies, so nothing is lost. A pair with a common word
-    still needs alike bodies, so it is sought by word and body together: a common word alone pairs nothing. ``limit`` is the
+    are sought exactly as well, so nothing is lost. ``limit`` is the
     report's length, largest groups first. The canonical pick is the newest, then longest, then
     widest function.
     """
@@ -200,25 +194,17 @@ def similar_functions(c: Corpus, threshold: float = 0.5, name_weight: float = 0.
         idiom = x if idiom is None else idiom | x
     test = _C("file").rlike(r"(?:^|/)__tests__/|(?:^|/)tests?/|\.(?:test|spec)\.(?:ts|tsx|js|jsx|mts|cts|mjs|cjs)\z")
     lines = _C("line_range.end_line") - _C("line_range.start_line") + 1
-    d = distinct_symbols(c.symbols).filter((_C("kind") == "function") & _C("fn_struct").isNotNull() & ~_C("name").isin(*PLAIN_NAMES) & ~idiom & ~test & (lines >= min_lines))
-    d = d.select("id", "workspace", "file", "name", "line_range", lines.alias("lines"), F.size("fn_struct.params").alias("arity"), name_tokens(_C("name")).alias("words"), F.coalesce(F.array_distinct("fn_struct.body_shingles"), F.array()).alias("sh")).persist()
-    # bodies alone reach the threshold from here on; below it a pair must share a word of its names
-    alone = threshold / (1 - name_weight) if name_weight < 1 else 2.0
-    least = (threshold - name_weight) / (1 - name_weight) if name_weight < 1 else 0.0
-    if least > 0:
-        key = F.concat_ws("\0", "id", "w")
-        by_word = d.select("id", F.explode("words").alias("w"), "sh").select(key.alias("k"), "w", "sh")
-        pairs = set_similarity_join(by_word, "k", "sh", least, ["w"]).select(F.substring_index("a", "\0", 1).alias("a"), F.substring_index("b", "\0", 1).alias("b")).distinct()
-    else:
-        pairs = set_similarity_join(d, "id", "words", 0.001).select("a", "b")
-    if alone <= 1:
-        pairs = pairs.union(set_similarity_join(d, "id", "sh", alone).select("a", "b")).distinct()
-    s = d.select("id", "words", "sh")
-    j = pairs.join(s.select(_C("id").alias("a"), _C("words").alias("wa"), _C("sh").alias("sa")), "a").join(s.select(_C("id").alias("b"), _C("words").alias("wb"), _C("sh").alias("sb")), "b")
-    j = j.withColumn("score", name_weight * _jaccard(_C("wa"), _C("wb")) + (1 - name_weight) * _jaccard(_C("sa"), _C("sb"))).filter(_C("score") >= threshold).select("a", "b", "score")
+    # bodies go on as hashes, and only those of the rows that are kept
+    hashes = F.array_sort(F.array_distinct(F.transform(F.coalesce("fn_struct.body_shingles", F.array()), lambda x: F.xxhash64(x))))
+    d = c.symbols.select("id", "workspace", "file", "name", "line_range", "kind", _C("fn_struct").isNotNull().alias("fn"), F.size("fn_struct.params").alias("arity"), F.when(_C("kind") == "function", hashes).alias("items"))
+    d = distinct_symbols(d).filter((_C("kind") == "function") & _C("fn") & ~_C("name").isin(*PLAIN_NAMES) & ~idiom & ~test & (lines >= min_lines))
+    d = d.select("id", "workspace", "file", "name", "line_range", lines.alias("lines"), "arity", F.transform(name_tokens(_C("name")), lambda x: F.xxhash64(x)).alias("words"), "items")
+    scratch = Scratch(d.sparkSession, "similar")
+    d = scratch.cut(d)
+    j = scored_links(d.select("id", "words", "items"), threshold, name_weight)
     comp = connected_components(j, "a", "b")
     best = j.join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.max("score").alias("score"))
-    m = d.join(comp.withColumnRenamed("node", "id"), "id")
+    m = d.drop("words", "items").join(comp.withColumnRenamed("node", "id"), "id")
     if c.file_mtime is not None:
         m = m.join(c.file_mtime.select(_C("path").alias("file"), "ts"), "file", "left")
     else:
