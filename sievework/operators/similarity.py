@@ -187,7 +187,7 @@ def forest(a: np.ndarray, b: np.ndarray, score: np.ndarray, n: int) -> np.ndarra
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(t, id, n, four words of bits) of the rarest items of each set; ``heavy`` are the frequent ones, the most frequent last."""
+    """(t, h, id, n, four words of bits) of the rarest items of each set; ``heavy`` are the frequent ones, the most frequent last."""
     by_value = np.argsort(heavy)
     values = heavy[by_value]
     for batch in batches:
@@ -202,25 +202,32 @@ def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, heavy: np.nda
         keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
         chosen = order[np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(keep, n)]
         bits, of = parity_bits(flat, n, NARROW).view(np.int64), row[chosen]
-        yield pa.RecordBatch.from_pydict({"t": flat[chosen], "id": batch.column("id").take(pa.array(of)), "n": n[of], **{f"b{k}": bits[of, k] for k in range(NARROW // 64)}})
+        yield pa.RecordBatch.from_pydict({"t": flat[chosen], "h": batch.column("h").take(pa.array(of)), "id": batch.column("id").take(pa.array(of)), "n": n[of], **{f"b{k}": bits[of, k] for k in range(NARROW // 64)}})
 
 
 def alike_items(s: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """``(a, b)``, a < b, among them all pairs of (id, items) whose items have a Jaccard >= threshold, by the rarest of their items."""
+    """``(a, b)``, a < b, by the rarest items: what links all (id, items) that pairs with a Jaccard >= threshold link.
+
+    Rows of equal items hang on the least of them, which alone meets other sets.
+    """
     spark = s.sparkSession
-    counted = s.filter("size(items) > 0").agg(F.count("*")).first()[0]
+    s = s.filter("size(items) > 0").select("id", "items", F.xxhash64("items").alias("h"))
+    counted = s.count()
     # items of more than one set in 256 come last, by frequency; their number is bounded by 256 times the mean size of a set
     freq = s.select(F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("f")).filter(F.col("f") > max(8, counted // 256))
     heavy = np.array([r.t for r in freq.orderBy("f", "t").select("t").collect()], np.int64)
     shared = spark.sparkContext.broadcast(heavy)
     longs = [f"b{k}" for k in range(NARROW // 64)]
-    schema = f"t long, id string, n long, {', '.join(f'{x} long' for x in longs)}"
-    pre = scratch.cut(s.select("id", "items").mapInArrow(lambda batches: _prefixes(batches, threshold, shared.value), schema))
-    a, b = pre.alias("a"), pre.alias("b")
+    schema = f"t long, h long, id string, n long, {', '.join(f'{x} long' for x in longs)}"
+    pre = scratch.cut(s.mapInArrow(lambda batches: _prefixes(batches, threshold, shared.value), schema))
+    low = pre.repartition("t").groupBy("t", "h").agg(F.min(F.struct("id", "n", *longs)).alias("m")).select("t", "m.*")
+    a, b = low.alias("a"), low.alias("b")
     apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in longs), F.lit(0))
     on = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9)
     on &= apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) + 1e-6
-    met = scratch.cut(a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    each = s.select("h", "id")
+    hung = each.join(each.groupBy("h").agg(F.min("id").alias("a")), "h").filter("a < id").select("a", F.col("id").alias("b"))
+    met = scratch.cut(a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().union(hung))
     scratch.drop(pre)
     return met
 
